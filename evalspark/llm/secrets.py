@@ -1,0 +1,141 @@
+"""Secret scans over an incremental blob ledger, in DataFrame expressions only.
+
+Every version of every text is addressed by the SHA-256 of its content. The
+ledger holds one row per (blob, rule version) that has been scanned, with the
+spans found, so a scan reads only blobs that this version of the rules has not
+seen, appends them, and joins the ledger back to all rows that carry the blob.
+
+Positions come from splitting a text at a rule's matches: a match starts after
+the summed lengths of what lies before it. Lengths count code points.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .scratch import Scratch
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Leftmost non-overlapping matches of ``pattern``; those whose ``group`` is shorter than ``least`` are dropped."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 0
+
+
+# The patterns of the three base kinds, in the order that breaks ties of position.
+RULES = (
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
+)
+RULE_VERSION = "base-1"
+
+SPANS = "array<struct<start:int,kind:int,stop:int>>"
+
+
+def _found(text: Column, number: int, rule: Rule) -> Column:
+    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    both = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["gap"]
+        stop = start + F.length(x["match"])
+        held = F.regexp_extract(x["match"], rule.pattern, rule.group) if rule.group else x["match"]
+        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop")))
+        spans = F.when(F.length(held) >= rule.least, F.concat(state["spans"], one)).otherwise(state["spans"])
+        return F.when(x["match"].isNull(), state).otherwise(F.struct(stop.alias("at"), spans.alias("spans")))
+
+    return F.when(text.rlike(rule.pattern), F.aggregate(both, begin, step, lambda s: s["spans"])).otherwise(F.array().cast(SPANS))
+
+
+def find_spans(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """All spans of a text by start, then by the rules' order; ends are exclusive."""
+    return F.array_sort(F.concat(*[_found(text, i, r) for i, r in enumerate(rules)]))
+
+
+def describe(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each span replaced; a span that begins inside an earlier one extends it."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = F.concat(state["out"], _slice(text, state["at"], s["start"]), F.lit(mark))
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+
+    whole = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], _slice(text, s["at"], F.length(text))))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, whole).otherwise(text)
+
+
+def _slice(text: Column, start: Column, stop: Column) -> Column:
+    return F.substring(text, start + 1, F.greatest(stop - start, F.lit(0)))
+
+
+class BlobLedger:
+    """Scanned (blob, rule version) pairs with their spans, as an append-only Parquet table."""
+
+    SCHEMA = f"blob string, rule_version string, spans {SPANS}"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or f"{Scratch(spark, 'ledger').root}/blobs"
+
+    def exists(self) -> bool:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def update(self, texts: DataFrame, rules: Sequence[Rule] = RULES, version: str = RULE_VERSION) -> None:
+        """Scan what ``texts(blob, text)`` holds that this rule version has not seen yet."""
+        blobs = texts
+        if self.exists():
+            blobs = blobs.join(self.table().where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+        blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+        found = blobs.select("blob", F.lit(version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
+        found.write.mode("append").parquet(self.path)
+
+
+def _addressed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """All rows of ``docs(text, ...)`` with the spans that their texts hold.
+
+    Adds ``blob`` (SHA-256 of the text) and ``spans``; a column of either name is
+    replaced. A null text is an empty one; both hold no spans. Repeated rows and
+    copies of a text are scanned once and answered each. Without a ledger a new
+    one is begun, in which nothing has been seen. Secrets never leave the scan:
+    the ledger holds positions, not matches. An empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    ledger = ledger or BlobLedger(spark)
+    rows = _addressed(docs.drop("blob", "spans"))
+    ledger.update(rows.select(F.col("_blob").alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rules, version)
+    found = ledger.table().where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), "spans")
+    joined = rows.join(found, "_blob", "left")
+    return joined.select(*[c for c in rows.columns if c != "_blob"], F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def secret_report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
+    """Counts, digest and list of spans of each row's text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
+    out = scan_secrets(docs.select("doc_id", "text"), ledger).select("doc_id", "spans")
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
+    return out.select("doc_id", *counts, describe(F.col("spans")).alias("listed")).select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2("listed", 256).alias("base_sha256"), F.col("listed").alias("spans"))
