@@ -296,6 +296,12 @@ class Decoder:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def _plain(model: str | Vocabulary) -> tuple:
+    """The vocabulary in built-in types only, which a broadcast can carry to any executor."""
+    v = load(model) if isinstance(model, str) else model
+    return v.pieces, v.scores, v.matches, v.byte_ids, v.unknown, v.kind, v.prefix
+
+
 def _parts(texts: list[str | None]):
     yield from portions(texts, lambda t: len(t or ""), 1 << 22)
 
@@ -314,10 +320,10 @@ def encode(docs: DataFrame, model: str | Vocabulary = MODEL) -> DataFrame:
 def decode(encoded: DataFrame, model: str | Vocabulary = MODEL) -> DataFrame:
     """``encoded(doc_id, ids array<int>)`` -> ``doc_id, text``; null ids give a null text."""
     bounded_batches(encoded.sparkSession)
-    v = encoded.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
+    v = encoded.sparkSession.sparkContext.broadcast(_plain(model))
 
     def go(batches):
-        decoder = Decoder(v.value)
+        decoder = Decoder(Vocabulary(*v.value))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if i is None else decoder.decode(i) for i in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -336,14 +342,14 @@ def round_trip(docs: DataFrame, model: str | Vocabulary = MODEL) -> DataFrame:
 
 def _run(docs: DataFrame, model: str | Vocabulary, maker, schema: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    v = docs.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
+    v = docs.sparkSession.sparkContext.broadcast(_plain(model))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(maker(v), schema)
 
 
 def _encoder(v):
     def go(batches):
-        encoder = Encoder(v.value)
+        encoder = Encoder(Vocabulary(*v.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _parts(texts):
@@ -357,7 +363,7 @@ def _encoder(v):
 
 def _tripper(v):
     def go(batches):
-        encoder, decoder = Encoder(v.value), Decoder(v.value)
+        encoder, decoder = Encoder(Vocabulary(*v.value)), Decoder(Vocabulary(*v.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _parts(texts):
