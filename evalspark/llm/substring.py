@@ -11,8 +11,10 @@ The index is cut into reference blocks instead: a block is named by an anchor,
 the smallest 8-word hash inside a window, so equal windows always name the same
 block, and neighbouring windows mostly share one. First only anchors are counted;
 a block with one anchor place holds nothing that repeats. The windows of the
-other blocks alone are indexed, by a 96-bit hash, with their first place; starts
-that have an earlier place go back to their document, where the parse runs.
+other blocks alone are indexed, by a 96-bit hash, with the first document that
+has them. That document's starts go back to it as its own; all other starts of
+its indexed windows have an earlier place, and there the parse runs. Documents
+with the words of a smaller one are a single factor and never reach the index.
 """
 
 from __future__ import annotations
@@ -76,9 +78,20 @@ def _scanner(window: int):
     return scan
 
 
-def _windower(window: int):
+def _indexed(h: np.ndarray, named: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts whose block is named, in order, their two hashes, and which of them are the document's first of their kind."""
     other = np.uint64(0xD6E8FEB86659FD93)
+    _, least = _anchors(h, window)
+    at = np.flatnonzero(np.isin(least, named))
+    one = rolling(h, window)[at].view(np.int64)
+    two = (rolling(mix(h ^ MIX_A), window, other)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    order = np.lexsort((at, two, one))
+    new = np.ones(len(at), bool)
+    new[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    return at, one, two, new
+
 
+def _windower(window: int):
     def emit(batches):
         for batch in batches:
             ids, repeated = batch.column("doc_id").to_pylist(), batch.column("repeated")
@@ -86,13 +99,8 @@ def _windower(window: int):
             for i, _, h in _parts(batch.column("text").to_pylist()):
                 if len(h) < window:
                     continue
-                _, least = _anchors(h, window)
-                named = repeated[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                at = np.flatnonzero(np.isin(least, named))
-                if len(at):
-                    one = rolling(h, window)[at].view(np.int64)
-                    two = (rolling(mix(h ^ MIX_A), window, other)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    rows.append([one, two, np.full(len(at), ids[i], np.int64), at.astype(np.int32)])
+                at, one, two, new = _indexed(h, repeated[i].values.to_numpy(zero_copy_only=False).view(np.uint64), window)
+                rows.append([one[new], two[new], np.full(int(new.sum()), ids[i], np.int64), at[new].astype(np.int32)])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["h1", "h2", "doc_id", "start"])
 
@@ -110,16 +118,19 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def _parser(window: int, with_text: bool):
     def parse(batches):
         for batch in batches:
-            ids, texts, starts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("starts")
-            removed, digests, kept_texts = [], [], []
-            for i, text in enumerate(texts):
-                ws = words(text)
-                gone = covered(len(ws), starts[i].values.to_numpy(zero_copy_only=False), window)
+            ids, repeated, own = batch.column("doc_id"), batch.column("repeated"), batch.column("own")
+            removed, digests, kept_texts = [0] * len(batch), [""] * len(batch), [None] * len(batch)
+            for i, ws, h in _parts(batch.column("text").to_pylist()):
+                gone = np.zeros(len(ws), bool)
+                if len(h) >= window:
+                    at, *_, new = _indexed(h, repeated[i].values.to_numpy(zero_copy_only=False).view(np.uint64), window)
+                    first = np.isin(at, own[i].values.to_numpy(zero_copy_only=False)) if own[i].is_valid else np.zeros(len(at), bool)
+                    gone = covered(len(ws), at[~(new & first)], window)
                 kept = [w for w, g in zip(ws, gone.tolist(), strict=True) if not g]
-                removed.append(len(ws) - len(kept))
-                digests.append(_digest(kept))
-                kept_texts.append(b" ".join(kept).decode("utf-8", "surrogatepass") if with_text else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+                removed[i], digests[i] = len(ws) - len(kept), _digest(kept)
+                if with_text and len(kept) < len(ws):
+                    kept_texts[i] = b" ".join(kept).decode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
 
     return parse
 
@@ -140,20 +151,29 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     scratch = Scratch(spark, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = scratch.save(texts.mapInArrow(_scanner(window), "doc_id long, n_words long, whole_sha256 string, anchors array<long>"), "scanned")
-    places = scanned.where("doc_id is not null and size(anchors) > 0").select("doc_id", F.explode("anchors").alias("anchor"))
+    long = scanned.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    leaders = long.groupBy("whole_sha256").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("whole_sha256", "leader")
+    copies = scratch.save(long.select("doc_id", "whole_sha256").join(leaders, "whole_sha256").where("doc_id > leader").select("doc_id").distinct(), "copies")
+    places = long.select("doc_id", "anchors").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
     repeated = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     named = scratch.save(places.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated")), "named")
     scratch.sweep()
-    index = scratch.save(texts.join(named, "doc_id").mapInArrow(_windower(window), "h1 long, h2 int, doc_id long, start int"), "windows")
-    scratch.sweep()
-    place = F.struct("doc_id", "start")
-    first = index.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
-    later = index.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    starts = scratch.save(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "starts")
-    scratch.drop(index, named)
+    index = texts.join(named, "doc_id").mapInArrow(_windower(window), "h1 long, h2 int, doc_id long, start int")
+    #: A document has each window once here, so the smallest document's start is the first place.
+    first = index.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
+    own = scratch.save(first.groupBy("doc_id").agg(F.collect_list("start").alias("own")), "own")
     scratch.sweep()
-    parsed = scratch.save(texts.join(starts, "doc_id").mapInArrow(_parser(window, with_text), "doc_id long, n_removed long, kept_sha256 string, kept_text string"), "parsed")
+    rest = named.join(own, "doc_id", "left")
+    parsed = scratch.save(texts.join(rest, "doc_id").mapInArrow(_parser(window, with_text), "doc_id long, n_removed long, kept_sha256 string, kept_text string"), "parsed")
+    scratch.drop(named, own)
     scratch.sweep()
-    out = scanned.select("doc_id", "n_words", "whole_sha256").join(parsed.dropDuplicates(["doc_id"]), "doc_id", "left")
-    kept = [F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")]
-    return out.select("doc_id", "n_words", *kept, *(["kept_text"] if with_text else []))
+    nothing = F.lit(_digest([]))
+    whole = copies.select("doc_id", F.lit(True).alias("copy"))
+    out = scanned.select("doc_id", "n_words", "whole_sha256").join(parsed.dropDuplicates(["doc_id"]), "doc_id", "left").join(whole, "doc_id", "left")
+    copied = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= window)
+    kept = [
+        F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copied, nothing).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
+        *([F.when(copied, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
+    ]
+    return out.select("doc_id", "n_words", *kept)
