@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, pieces, quality, toxicity
 from .minhash import near_duplicates
-from .secrets import secret_report
+from .secretscan import secret_report
 from .sharding import shard
 from .substring import remove_repeats
 
