@@ -32,13 +32,12 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large, "large")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(*[F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")])
         now = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
         after = _fingerprint(now)
-        scratch.drop(edges, large)
+        scratch.drop(edges)
         edges = now
         if after == before:
             break

@@ -1,18 +1,22 @@
 """MinHash near-duplicate detection with b-bit signatures.
 
 A document's set holds its distinct k-word shingles. One pass over the texts
-keeps, per document, 128 minima cut to their low 4 bits and packed into eight
-longs, 32 band hashes over the whole minima, and a 128-bit hash of the set.
-Documents with equal sets collapse into one class. Classes that share a band are
-candidates; bit counts of the packed signatures give a similarity estimate that
-is corrected for chance collisions, and pairs far below the threshold go. What
-is left is confirmed exactly on the full shingle sets.
-
-Only connectivity is asked of a group, so the members of a band bucket are not
-all paired: each bucket pairs one centre with the others, links are confirmed,
-components are found, and only buckets that still hold several components are
-looked at again - with new centres while the pairs left are many, and then with
-every pair left between different components. Nothing is capped.
+keeps, per document, 256 minima cut to their low 4 bits and packed into a binary
+signature, and a 128-bit hash of the set. Bands are drawn from the packed bits,
+64 of 8 minima each. Documents with equal sets collapse into one class; classes
+that share a band are candidates. Bit counts of the packed signatures give a
+similarity estimate that is corrected for chance collisions, and pairs far below
+the threshold go. What is left is confirmed exactly on the full shingle sets.
+
+Only connectivity is asked of a group, so a group of copies is not paired with
+itself: each band bucket first pairs one centre with its other members, links
+are confirmed and components found. Then buckets that still hold several
+components are compared in blocks of bounded size, and a pair leaves its block
+only if it joins different components, has a good estimate, and shares no
+earlier band. Nothing is capped.
+
+At similarity 0.8 a pair shares a band with a probability of over 0.9999. A band
+has 2**32 values, so beyond some 10**9 classes BITS should be 8.
 """
 
 from __future__ import annotations
@@ -27,11 +31,18 @@ from .components import connected_components
 from .scratch import Scratch, bounded_batches
 from .words import hashes, pieces, rolling, words
 
-MINIMA, BANDS, BITS = 128, 32, 4
-ROWS = MINIMA // BANDS
+MINIMA, BANDS, ROWS, BITS = 256, 64, 8, 4
 CHUNK = 2048
+#: Members of a bucket that one block holds on each side.
+BLOCK = 1024
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, packed binary"
+
+
+def _layout() -> np.ndarray:
+    """Which minima each band reads; each minimum is read by two bands."""
+    rng = np.random.default_rng(20240602)
+    return np.concatenate([rng.permutation(MINIMA) for _ in range(BANDS * ROWS // MINIMA)]).reshape(BANDS, ROWS)
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -66,37 +77,80 @@ def _minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def _pack(least: np.ndarray) -> np.ndarray:
+    low = (least & np.uint32(2**BITS - 1)).astype(np.uint8)
+    return low[:, 0::2] | (low[:, 1::2] << np.uint8(BITS))
+
+
+def _unpack(packed: list[bytes]) -> np.ndarray:
+    both = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), MINIMA // 2)
+    return np.stack([both & np.uint8(15), both >> np.uint8(BITS)], axis=2).reshape(len(packed), MINIMA)
+
+
+def _bands(low: np.ndarray) -> np.ndarray:
+    """The value of each band of the unpacked signatures."""
+    nibbles = low[:, _layout()].astype(np.uint32)
+    return np.bitwise_or.reduce(nibbles << (np.arange(ROWS, dtype=np.uint32) * np.uint32(BITS)), axis=2)
+
+
 def _signer(k: int):
     def sign(batches):
         a, b = _permutations()
-        shift = (np.arange(MINIMA // 8, dtype=np.uint64) * np.uint64(BITS))[None, :]
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            sets = shingle_sets(texts, k)
+            sets = shingle_sets(batch.column("text").to_pylist(), k)
             n = len(sets)
-            least = np.zeros((n, MINIMA), np.uint32)
-            digest = np.zeros((n, 2), np.int64)
+            least, digest = np.zeros((n, MINIMA), np.uint32), np.zeros((n, 2), np.int64)
             for i, s in enumerate(sets):
                 if len(s):
                     least[i] = _minima(s, a, b)
                     digest[i] = np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64)
-            low = (least & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(n, 8, MINIMA // 8)
-            packed = np.bitwise_or.reduce(low << shift, axis=2).view(np.int64)
-            bands = np.empty((n, BANDS), np.int64)
-            for j in range(BANDS):
-                rows = least[:, j * ROWS : (j + 1) * ROWS].astype(np.uint64)
-                bands[:, j] = (rolling((rows + np.uint64(j << 33)).ravel(), ROWS)[::ROWS] if n else np.empty(0, np.uint64)).view(np.int64)
-            filled = np.array([len(s) > 0 for s in sets], bool)
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(filled * BANDS))).astype(np.int32), bands[filled].ravel())
-            packs = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(filled * 8))).astype(np.int32), packed[filled].ravel())
+            packed = pa.array([row.tobytes() if len(s) else None for row, s in zip(_pack(least), sets, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists, packs],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "packed"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), packed],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "packed"],
             )
 
     return sign
 
 
+def _bander(batches):
+    """``rep, packed`` -> ``rep, band``: the band's number above its 32-bit value."""
+    for batch in batches:
+        values = _bands(_unpack(batch.column("packed").to_pylist())).astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 32)
+        reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(values.ravel())], names=["rep", "band"])
+
+
+def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity estimates of signature pairs from bit counts, less the matches that chance gives."""
+    differ = x ^ y
+    differ |= differ >> np.uint64(2)
+    differ |= differ >> np.uint64(1)
+    unequal = np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(axis=-1)
+    chance = 1.0 / 2**BITS
+    return (1 - unequal / MINIMA - chance) / (1 - chance)
+
+
+def _comparer(least: float):
+    """Pairs of one block of a bucket: different labels, a good estimate, and no earlier shared band."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rep, label, side = (group.column(c).to_numpy() for c in ("rep", "label", "side"))
+        packed = group.column("packed").to_pylist()
+        number = group.column("band")[0].as_py() >> 32
+        words, bands = np.frombuffer(b"".join(packed), np.uint64).reshape(len(rep), -1), _bands(_unpack(packed))[:, :number]
+        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        for i in left.tolist():
+            j = right[(label[right] != label[i]) & ((side[right] != 1) | (side[i] != 1) | (rep[right] > rep[i]))]
+            j = j[_estimate(words[j], words[i]) >= least]
+            j = j[~(bands[j] == bands[i]).any(axis=1)]
+            us.append(np.minimum(rep[j], rep[i])), vs.append(np.maximum(rep[j], rep[i]))
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return compare
+
+
 def _set_maker(k: int):
     def make(batches):
         for batch in batches:
@@ -109,20 +163,20 @@ def _set_maker(k: int):
     return make
 
 
-def estimated_similarity(x: str, y: str):
-    """Jaccard estimate of two packed signatures, less the matches that chance gives."""
-    ones = F.lit(0x1111111111111111)
+def _close(x: str, y: str):
+    """The estimate of two packed signatures as a column expression."""
     differ = F.lit(0)
-    for i in range(8):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+    for i in range(MINIMA // 16):
+        one, two = (F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long") for c in (x, y))
+        d = one.bitwiseXOR(two)
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        differ = differ + F.bit_count(d.bitwiseAND(ones))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
     chance = 1.0 / 2**BITS
     return ((1 - differ / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.27, pair_budget: int = 200_000, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.15) -> DataFrame:
     """Components of documents whose shingle sets have 100 * |A & B| >= percent * |A | B|.
 
     ``docs(doc_id long, text string, ...)``; other columns are not read. Returns
@@ -133,71 +187,60 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     Repeated rows are copies of each other; of a doc_id that carries several
     texts, each row is judged by its own text. A row with a null doc_id takes no
     part: null component, kept. An empty table gives an empty table.
-    ``slack`` is how far below the threshold the signature estimate may lie
-    (0.27 is over seven standard deviations). While more than ``pair_budget``
-    (plus four per bucket member) pairs are left, up to ``rounds`` new rounds of
-    centres come first; the pairs left are then checked in full.
+    ``slack`` is how far below the threshold the signature estimate may lie: 0.15
+    is over five standard deviations.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(texts.mapInArrow(_signer(k), _SIGNED), "signed")
-    classes = scratch.save(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min_by(F.struct("bands", "packed"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("set_a", "set_b", "n_shingles", "rep", "s.bands", "s.packed"),
-        "classes",
-    )
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    order = F.xxhash64("rep", F.lit(0))
+    key = ["set_a", "set_b", "n_shingles"]
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("packed").alias("packed"))
+    classes = scratch.save(classes, "classes")
+    banded = scratch.save(classes.select("rep", "packed").mapInArrow(_bander, "rep long, band long"), "banded")
+    order = F.xxhash64("rep")
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by("rep", order).alias("centre")).where("n > 1")
-    members = scratch.save(banded.join(buckets.select("band", "centre"), "band"), "members")
+    members = scratch.save(banded.join(buckets, "band"), "members")
+    scratch.drop(banded)
     scratch.sweep()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     #: A class's smallest document carries its shingles; an id with several texts has several sets.
     holders = texts.join(involved, "doc_id").mapInArrow(_set_maker(k), "doc_id long, set_a long, shingles array<long>")
-    held = holders.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "n_shingles", F.col("packed").alias("sig")), ["doc_id", "set_a"])
+    held = holders.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "n_shingles", "packed"), ["doc_id", "set_a"])
     sets = scratch.save(held.dropDuplicates(["doc_id", "set_a"]).drop("set_a"), "sets")
     scratch.sweep()
-    small = sets.select("doc_id", "sig")
+    least = percent / 100 - slack
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = small.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u")), small.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v"))
-        close = pairs.join(left, "u").join(right, "v").where(estimated_similarity("sig_u", "sig_v") >= percent / 100 - slack).select("u", "v").distinct()
-        full = sets.select("doc_id", "shingles", "n_shingles")
-        a, b = full.toDF("u", "set_u", "n_u"), full.toDF("v", "set_v", "n_v")
-        fits = close.join(a, "u").join(b, "v").where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")))
+        a, b = sets.select("doc_id", "shingles", "n_shingles").toDF("u", "set_u", "n_u"), sets.select("doc_id", "shingles", "n_shingles").toDF("v", "set_v", "n_v")
+        fits = pairs.join(a, "u").join(b, "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         both = F.size(F.array_intersect("set_u", "set_v"))
         return fits.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
 
-    def pairs_with(column: str, rows: DataFrame) -> DataFrame:
-        return rows.where(F.col(column) != F.col("rep")).select(F.least(column, "rep").alias("u"), F.greatest(column, "rep").alias("v")).distinct()
-
-    links = scratch.save(confirmed(pairs_with("centre", members)), "links")
+    stars = members.where(F.col("centre") != F.col("rep")).select(F.least("centre", "rep").alias("u"), F.greatest("centre", "rep").alias("v")).distinct()
+    marks = sets.select("doc_id", "packed")
+    near = stars.join(marks.toDF("u", "p_u"), "u").join(marks.toDF("v", "p_v"), "v").where(_close("p_u", "p_v") >= least).select("u", "v").distinct()
+    label = scratch.save(connected_components(scratch, confirmed(near)), "label")
+    scratch.sweep()
+    labelled = members.select("band", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    several = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    # Large buckets are cut into parts by hash, and each two parts meet in a block: side 0, 2, or 1 for a part with itself.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    part = F.pmod(order, F.col("blocks")).cast("int")
+    split = labelled.join(several, "band").withColumn("blocks", blocks).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 1).when(F.col("part") < F.col("other"), 0).otherwise(2)
+    placed = split.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), F.col("rep"), "label")
+    placed = placed.join(marks.distinct().withColumnRenamed("doc_id", "rep"), "rep")
+    pairs = placed.groupBy("band", "x", "y").applyInArrow(_comparer(least), "u long, v long")
+    more = confirmed(pairs.distinct())
+    # The new links are between components, so only component ids need joining again.
+    a, b = label.toDF("u", "label_u"), label.toDF("v", "label_v")
+    between = more.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
+    outer = scratch.save(connected_components(scratch, between), "outer")
     scratch.sweep()
-    for turn in range(1, rounds + 1):
-        label = connected_components(scratch, links)
-        labelled = scratch.save(members.select("band", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label")), "labelled")
-        tally = labelled.groupBy("band", "label").count().groupBy("band").agg(F.count("*").alias("labels"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq")).where("labels > 1")
-        total = tally.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)).alias("left"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        if not total["left"]:
-            break
-        open_rows = labelled.join(tally.select("band"), "band", "left_semi")
-        if total["left"] <= pair_budget + 4 * total["n"] or turn == rounds:
-            x, y = open_rows.toDF("band", "u", "lu"), open_rows.toDF("band", "v", "lv")
-            pairs = x.join(y, "band").where("u < v and lu <> lv").select("u", "v").distinct()
-        else:
-            order = F.xxhash64("rep", F.lit(turn))
-            centres = open_rows.groupBy("band").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("label").alias("cl")), order).alias("c")).select("band", "c.*")
-            pairs = pairs_with("centre", open_rows.join(centres, "band").where("label <> cl"))
-        more = scratch.save(links.unionByName(confirmed(pairs)).distinct(), "links")
-        scratch.drop(labelled)
-        scratch.sweep()
-        links = more
-        if total["left"] <= pair_budget + 4 * total["n"]:
-            break
-    label = connected_components(scratch, links)
-    found = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
+    first = classes.select(*key, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("inner"))
+    found = first.join(outer.toDF("inner", "outer"), "inner", "left").select(*key, F.coalesce("outer", "inner").alias("found"))
+    out = signed.select("doc_id", *key).join(found, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
