@@ -57,8 +57,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return ranked.select("key", "source", "source_size", F.when(level * F.col("weight") > F.col("most"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def _meet(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    return rows.join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, "key")
+def _meet(rows: DataFrame, table: DataFrame, n: int, on: str = "key") -> DataFrame:
+    return rows.join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, on)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
@@ -75,9 +75,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    base = docs.drop("size", "source_size", "target", "copies", "taken", "key", "hash")
-    sized = base.withColumns({"size": word_count(F.col("text")), "key": _key(F.col("source")), "hash": _hash(F.col("doc_id"))})
-    narrow = scratch.save(sized.select("key", "source", "size", "hash"), "narrow")
+    base = docs.drop("size", "source_size", "target", "copies", "taken")
+    sized = base.withColumns({"size": word_count(F.col("text")), "_mix_key": _key(F.col("source")), "_mix_hash": _hash(F.col("doc_id"))})
+    narrow = scratch.save(sized.select(F.col("_mix_key").alias("key"), "source", "size", F.col("_mix_hash").alias("hash")), "narrow")
     sizes = narrow.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = scratch.save(targets(sizes, weights, share, float(limit)), "targets")
     n = goal.count()
@@ -96,9 +96,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             break
     nearer = 2 * (F.col("rest") - F.col("below")) >= F.col("inside")
     cut = edge.select("key", F.when(nearer, F.col("lo") + 1).otherwise(F.col("lo")).alias("cut"))
-    plan = state.select("key", "source_size", "target", "times").join(cut, "key", "left")
-    copies = F.col("times") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
-    out = _meet(sized, plan, n).withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    plan = state.select("key", "source_size", "target", "times").join(cut, "key", "left").toDF("_mix_key", "source_size", "target", "_mix_times", "_mix_cut")
+    copies = F.col("_mix_times") + F.when(F.col("_mix_hash") < F.col("_mix_cut"), 1).otherwise(0)
+    out = _meet(sized, plan, n, "_mix_key").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
     return out.select(*base.columns, "size", "source_size", "target", "copies", "taken")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, toxicity
+from . import ann, crosspolytope, mixing, pieces, quality, toxicity
 from .minhash import near_duplicates
 from .secretscan import secret_report
 from .sharding import shard
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,11 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_mixing, op4_toxicity, op6_minhash, op7_secrets, op8_quality, op9_substring)
+    f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_mixing, op4_toxicity, op5_neighbours, op6_minhash, op7_secrets, op8_quality, op9_substring, op10_crosspolytope)
 }
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
