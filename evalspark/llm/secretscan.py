@@ -137,5 +137,9 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Seque
 def secret_report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """Counts, digest and list of spans of each row's text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
     out = scan_secrets(docs.select("doc_id", "text"), ledger).select("doc_id", "spans")
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
+
+    def of_kind(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [of_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
     return out.select("doc_id", *counts, describe(F.col("spans")).alias("listed")).select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2("listed", 256).alias("base_sha256"), F.col("listed").alias("spans"))

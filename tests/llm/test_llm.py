@@ -230,7 +230,7 @@ def test_secrets_against_a_plain_scan(spark, docs, rows):
         want = spans(text_of[r.doc_id])
         listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
         assert (r.spans, r.base_sha256) == (listed, hashlib.sha256(listed.encode()).hexdigest())
-        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in want) for n in range(3)]
 
 
 def test_ledger_scans_only_what_it_has_not_seen(spark):
