@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .scratch import Scratch, bounded_batches
 
 WORD = re.compile(r"\w+")
 STEMS = range(4, 8)
@@ -90,50 +90,32 @@ class Scorer:
 # -- fitting --------------------------------------------------------------------
 
 
-def _matrix(bags: list[dict[str, int]], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, column, value = [], [], []
-    for i, bag in enumerate(bags):
-        for f, c in bag.items():
-            if (j := vocabulary.get(f)) is not None:
-                row.append(i), column.append(j), value.append(c)
-    return np.array(row, np.int64), np.array(column, np.int64), np.array(value, float)
+def fit(names: list[str], strength: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, natural: float, grades: int = 3, ridge: float = 3e-4, steps: int = 400) -> SeverityModel:
+    """Fit to counts ``value`` of feature ``column`` in text ``row``.
 
-
-def fit(bags: list[dict[str, int]], sizes: np.ndarray, toxic: np.ndarray, natural: float, grades: int = 3, most_features: int = 600, ridge: float = 3e-4, steps: int = 400) -> SeverityModel:
-    """Fit to feature counts; ``natural`` is the toxic share of all labelled rows, to which classes are reweighted."""
+    ``strength`` is each feature's z score for the toxic class, ``natural`` the
+    toxic share of all labelled rows, to which the classes are reweighted.
+    """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return SeverityModel({}, 0.0, 0.0, tuple(30.0 + k for k in range(grades)) if not n1 else tuple(-30.0 + k for k in range(grades)))
-    seen = [Counter(), Counter()]
-    for bag, t in zip(bags, toxic, strict=True):
-        seen[int(t)].update(bag.keys())
-    strength = {}
-    for f in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][f], seen[0][f]
-        if a + b >= 4:
-            odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-            strength[f] = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    chosen = sorted(strength, key=lambda f: (-abs(strength[f]), f))[:most_features]
-    vocabulary = {f: j for j, f in enumerate(chosen)}
-    row, column, value = _matrix(bags, vocabulary)
     size = sizes / LENGTH
     damp = 1 + size
-    marks = np.array([strength[f] > 4 for f in chosen], bool)
-    density = np.bincount(row, value * marks[column] if len(row) else value, minlength=len(bags)) / np.maximum(sizes, 1)
+    density = np.bincount(row, value * (strength > 4)[column], minlength=len(toxic)) / np.maximum(sizes, 1)
     cuts = np.quantile(density[toxic], np.arange(1, grades) / grades)
     grade = np.where(toxic, 1 + np.searchsorted(cuts, density, "right"), 0)
     weight = np.where(toxic, natural / n1, (1 - natural) / n0)
     x = value / damp[row]
-    d = len(chosen)
+    d = len(names)
     # Parameters: feature weights, length and shortness weights, the first threshold, logs of the steps between thresholds.
     p = np.zeros(d + 2 + grades)
     p[d + 2] = 2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
-    at = np.arange(len(bags))
+    at = np.arange(len(toxic))
     for t in range(1, steps + 1):
         theta = np.cumsum(np.concatenate(([p[d + 2]], np.exp(p[d + 3 :]))))
-        z = np.bincount(row, x * p[column], minlength=len(bags)) + (size * p[d] + p[d + 1]) / damp
-        above = np.column_stack([np.ones(len(bags)), _sigmoid(z[:, None] - theta[None, :]), np.zeros(len(bags))])
+        z = np.bincount(row, x * p[column], minlength=len(toxic)) + (size * p[d] + p[d + 1]) / damp
+        above = np.column_stack([np.ones(len(toxic)), _sigmoid(z[:, None] - theta[None, :]), np.zeros(len(toxic))])
         slope = above * (1 - above)
         chance = np.maximum(above[at, grade] - above[at, grade + 1], 1e-9)
         up, down = -weight * slope[at, grade] / chance, weight * slope[at, grade + 1] / chance
@@ -147,28 +129,44 @@ def fit(bags: list[dict[str, int]], sizes: np.ndarray, toxic: np.ndarray, natura
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     theta = np.cumsum(np.concatenate(([p[d + 2]], np.exp(p[d + 3 :]))))
-    return SeverityModel({f: float(p[j]) for f, j in vocabulary.items()}, float(p[d]), float(p[d + 1]), tuple(theta.tolist()))
+    return SeverityModel({f: float(p[j]) for j, f in enumerate(names)}, float(p[d]), float(p[d + 1]), tuple(theta.tolist()))
+
 
+def _bag(text: str | None) -> tuple[int, Counter]:
+    words = WORD.findall(text.lower()) if text else []
+    bag = Counter()
+    for w, c in Counter(words).items():
+        for f in features(w):
+            bag[f] += c
+    return len(words), bag
 
-def _bags(batches):
+
+def _names(batches):
     for batch in batches:
-        lists, sizes = [], []
-        for text in batch.column("text").to_pylist():
-            words = WORD.findall(text.lower()) if text else []
-            bag = Counter()
-            for w, c in Counter(words).items():
-                for f in features(w):
-                    bag[f] += c
-            lists.append(list(bag.items())), sizes.append(len(words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array([[f for f, _ in x] for x in lists], pa.list_(pa.string())), pa.array([[c for _, c in x] for x in lists], pa.list_(pa.int32()))],
-            names=["toxic", "size", "names", "counts"],
-        )
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, **options) -> SeverityModel:
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            names = list(_bag(text)[1])
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(names), pa.bool_()), pa.array(names, pa.string())], names=["toxic", "name"])
+
+
+def _counter(vocabulary: dict[str, int]):
+    def count(batches):
+        for batch in batches:
+            sizes, columns, values = [], [], []
+            for text in batch.column("text").to_pylist():
+                size, bag = _bag(text)
+                held = [(vocabulary[f], c) for f, c in bag.items() if f in vocabulary]
+                sizes.append(size), columns.append([j for j, _ in held]), values.append([c for _, c in held])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], names=["toxic", "size", "columns", "counts"])
+
+    return count
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, most_features: int = 600, **options) -> SeverityModel:
     """Fit on at most ``sample`` labelled rows of each class, those of the smallest id hashes.
 
+    Of the features in at least four sampled texts, the ``most_features`` that
+    tell the classes apart best are used.
+
     ``labels(doc_id, toxic)``; rows with a null in either take no part, and a
     doc_id with several labels counts by its largest. Without both classes the
     model says what it has seen: all clean (also when nothing is labelled), or all toxic.
@@ -181,12 +179,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, **options) ->
     picked = known.where("toxic").orderBy(order, "doc_id").limit(sample).unionByName(known.where("not toxic").orderBy(order, "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most two samples of ids, whatever the input's size.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(_bags, "toxic boolean, size long, names array<string>, counts array<int>").toLocalIterator()
-    bags, sizes, toxic = [], [], []
-    for r in rows:
-        bags.append(dict(zip(r["names"], r["counts"], strict=True))), sizes.append(r["size"]), toxic.append(r["toxic"])
+    taken = Scratch(docs.sparkSession, "toxicity").save(texts.join(F.broadcast(picked), "doc_id").select("toxic", "text").repartition(16), "sample")
+    held = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = held.get(True, 0), held.get(False, 0)
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    rest_a, rest_b = n1 - F.col("a") + 0.5, n0 - F.col("b") + 0.5
+    odds = F.log(a / rest_a) - F.log(b / rest_b)
+    counted = taken.mapInArrow(_names, "toxic boolean, name string").groupBy("name").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).where("a + b >= 4")
+    best = counted.select("name", (odds / F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)).alias("z")).orderBy(F.desc(F.abs("z")), "name").limit(most_features).collect()
+    names = [r["name"] for r in best]
+    rows = taken.mapInArrow(_counter({f: j for j, f in enumerate(names)}), "toxic boolean, size long, columns array<int>, counts array<int>").collect()
+    row = np.repeat(np.arange(len(rows)), [len(r["columns"]) for r in rows]) if rows else np.empty(0, np.int64)
+    column = np.array([j for r in rows for j in r["columns"]], np.int64)
+    value = np.array([c for r in rows for c in r["counts"]], float)
     natural = total.get(True, 0) / max(1, sum(total.values()))
-    return fit(bags, np.array(sizes, float), np.array(toxic, bool), natural, **options)
+    return fit(names, np.array([r["z"] for r in best]), row, column, value, np.array([r["size"] for r in rows], float), np.array([r["toxic"] for r in rows], bool), natural, **options)
 
 
 def score(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> DataFrame:
