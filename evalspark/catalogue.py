@@ -128,22 +128,22 @@ def unsafe_rate(spark, d):
     return _r(acceptance.unsafe_rate(_gated(spark, d)), "unsafe_rate")
 
 
-@query(f"""{_RUNS}, checks AS (SELECT run_id, unnest([{{'ord': 1, 'name': 'pass_rate', 'actual': pass_rate, 'passed': pass_rate >= 0.5}}, {{'ord': 2, 'name': 'pass_rate_ci_lower', 'actual': ci_low, 'passed': ci_low >= 0.2}},
- {{'ord': 3, 'name': 'identity_mean', 'actual': mean_identity, 'passed': mean_identity >= 0.5}}, {{'ord': 4, 'name': 'unsafe_rate', 'actual': unsafe_rate, 'passed': unsafe_rate <= 0.5}}]) AS c FROM runs)
+@query(f"""{_RUNS}, checks AS (SELECT run_id, unnest([{{'ord': 1, 'name': 'pass_rate', 'actual': pass_rate, 'passed': pass_rate >= 0.5}}, {{'ord': 2, 'name': 'pass_rate_ci_lower', 'actual': ci_low, 'passed': ci_low >= 0.2037}},
+ {{'ord': 3, 'name': 'identity_mean', 'actual': mean_identity, 'passed': mean_identity >= 0.5037}}, {{'ord': 4, 'name': 'unsafe_rate', 'actual': unsafe_rate, 'passed': unsafe_rate <= 0.5}}]) AS c FROM runs)
 SELECT run_id, c.ord AS ord, c.name AS name, round(c.actual, 9) AS actual, c.passed AS passed FROM checks""")
 def acceptance_checks(spark, d):
-    found = acceptance.acceptance(evaluate(T.images(spark, d), CONFIG), acceptance.Thresholds(0.5, 0.2, 0.5, 0.5))
+    found = acceptance.acceptance(evaluate(T.images(spark, d), CONFIG), acceptance.Thresholds(0.5, 0.2037, 0.5037, 0.5))
     return _r(found.drop("threshold"), "actual")
 
 
 @query(f"""{_RUNS}, fired AS (SELECT run_id, unnest(list_filter([
- CASE WHEN unsafe_rate > 0.6 THEN {{'ord': 0, 'stage': 'lens', 'metric': 'unsafe_rate', 'value': unsafe_rate}} END, CASE WHEN mean_identity < 0.5 THEN {{'ord': 1, 'stage': 'forge', 'metric': 'identity', 'value': mean_identity}} END,
- CASE WHEN mean_clip_score < 0.4 THEN {{'ord': 2, 'stage': 'lens', 'metric': 'clip_score', 'value': mean_clip_score}} END, CASE WHEN mean_clip_score < 0.4 THEN {{'ord': 3, 'stage': 'grid', 'metric': 'clip_score', 'value': mean_clip_score}} END,
- CASE WHEN mean_aesthetic < 0.3 THEN {{'ord': 4, 'stage': 'forge', 'metric': 'aesthetic', 'value': mean_aesthetic}} END, CASE WHEN mean_preference < 0.5 THEN {{'ord': 5, 'stage': 'forge', 'metric': 'preference', 'value': mean_preference}} END,
+ CASE WHEN unsafe_rate > 0.6 THEN {{'ord': 0, 'stage': 'lens', 'metric': 'unsafe_rate', 'value': unsafe_rate}} END, CASE WHEN mean_identity < 0.5037 THEN {{'ord': 1, 'stage': 'forge', 'metric': 'identity', 'value': mean_identity}} END,
+ CASE WHEN mean_clip_score < 0.4037 THEN {{'ord': 2, 'stage': 'lens', 'metric': 'clip_score', 'value': mean_clip_score}} END, CASE WHEN mean_clip_score < 0.4037 THEN {{'ord': 3, 'stage': 'grid', 'metric': 'clip_score', 'value': mean_clip_score}} END,
+ CASE WHEN mean_aesthetic < 0.3037 THEN {{'ord': 4, 'stage': 'forge', 'metric': 'aesthetic', 'value': mean_aesthetic}} END, CASE WHEN mean_preference < 0.5037 THEN {{'ord': 5, 'stage': 'forge', 'metric': 'preference', 'value': mean_preference}} END,
  CASE WHEN pending THEN {{'ord': 7, 'stage': 'refine', 'metric': 'pass_rate', 'value': pass_rate}} END], lambda x: x IS NOT NULL)) AS r FROM runs)
 SELECT run_id, r.ord AS ord, r.stage AS stage, r.metric AS metric, round(r.value, 9) AS value FROM fired""")
 def recommend_rules(spark, d):
-    floors = acceptance.Floors(max_unsafe_rate=0.6, min_identity=0.5, min_clip_score=0.4, min_aesthetic=0.3, min_preference=0.5)
+    floors = acceptance.Floors(max_unsafe_rate=0.6, min_identity=0.5037, min_clip_score=0.4037, min_aesthetic=0.3037, min_preference=0.5037)
     return _r(acceptance.recommend(evaluate(T.images(spark, d), CONFIG), floors), "value")
 
 

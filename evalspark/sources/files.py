@@ -55,8 +55,7 @@ def png_size(content: Column) -> tuple[Column, Column]:
     return number(17), number(21)
 
 
-@F.pandas_udf("map<string,string>")
-def png_text(content: pd.Series) -> pd.Series:
+def png_text(content: Column | str) -> Column:
     """Keywords and texts of a PNG's text chunks; a broken chunk is skipped, a later keyword wins."""
 
     def read(raw: bytes | None) -> dict[str, str]:
@@ -82,7 +81,10 @@ def png_text(content: pd.Series) -> pd.Series:
                 continue
         return out
 
-    return content.map(read)
+    def each(column: pd.Series) -> pd.Series:
+        return column.map(read)
+
+    return F.pandas_udf(each, "map<string,string>")(content)
 
 
 def reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:
