@@ -78,19 +78,24 @@ def decide(config: GateConfig) -> tuple[Column, Column]:
     return passed, F.when(low, F.array(F.lit("low_quality"))).otherwise(codes)
 
 
+def unit_range(x: Column) -> Column:
+    """Into [0, 1]; null stays null, which ``least`` and ``greatest`` alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
 def clamp01(x: Column) -> Column:
-    """Into [0, 1]; NaN and infinities pass through."""
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    """Into [0, 1]; null, NaN and infinities pass through."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(unit_range(x))
 
 
 def linear_normalize(raw: Column, low: float, high: float) -> Column:
     """[low, high] to [0, 1]; an empty range is a step at low."""
-    return F.when(raw >= low, 1.0).otherwise(0.0) if high <= low else clamp01((raw - low) / (high - low))
+    return F.when(raw >= low, 1.0).when(raw < low, 0.0) if high <= low else clamp01((raw - low) / (high - low))
 
 
 def detector_score(x: Column) -> Column:
     """A detector's score in [0, 1]; a non-finite one counts as certain."""
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(1.0)).otherwise(unit_range(x))
 
 
 def checked(metric: str) -> Column:

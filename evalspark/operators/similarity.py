@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scores import cosine
+from ..functions.scores import cosine, unit_range
 
 
 def sign_hash(table: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -82,4 +82,4 @@ def identity(images: DataFrame, references: DataFrame, how: str = "max") -> Data
     met = images.join(refs, "subject", "left")
     score = F.when(F.col("reference").isNull(), F.lit(None).cast("double")).when(F.col("embedding").isNull(), 0.0).otherwise(cosine(F.col("embedding"), F.col("reference")))
     best = met.groupBy("image_id", "subject").agg(pick(score).alias("s"))
-    return best.select("image_id", "subject", F.when(F.isnan("s"), F.col("s")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s")))).alias("identity"))
+    return best.select("image_id", "subject", F.when(F.isnan("s"), F.col("s")).otherwise(unit_range(F.col("s"))).alias("identity"))

@@ -64,10 +64,10 @@ def test_gate(spark):
 
 def test_normalisation(spark):
     nan, inf = float("nan"), float("inf")
-    table = spark.createDataFrame([(-1.0,), (0.25,), (7.0,), (nan,), (inf,)], "x double")
+    table = spark.createDataFrame([(-1.0,), (0.25,), (7.0,), (nan,), (inf,), (None,)], "x double")
     got = table.select(S.clamp01(F.col("x")).alias("c"), S.detector_score(F.col("x")).alias("d"), S.linear_normalize(F.col("x"), 0.25, 0.25).alias("s")).collect()
     assert [r.c for r in got[:3]] == [0.0, 0.25, 1.0] and math.isnan(got[3].c) and got[4].c == inf
-    assert [r.d for r in got] == [0.0, 0.25, 1.0, 1.0, 1.0] and [r.s for r in got[:3]] == [0.0, 1.0, 1.0]
+    assert [r.d for r in got] == [0.0, 0.25, 1.0, 1.0, 1.0, None] and got[5].c is None and got[5].s is None and [r.s for r in got[:3]] == [0.0, 1.0, 1.0]
     with pytest.raises(Exception, match="out of range"):
         spark.createDataFrame([(6.5,)], "safety double").select(S.checked("safety")).collect()
 
