@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores as S
 from .functions import stats, text
-from .operators import acceptance, crossrun, grid, moderation, review, rollup, similarity
+from .operators import acceptance, crossrun, explore, grid, moderation, review, rollup, similarity
 from .plans import tables as T
 from .plans.evaluation import evaluate
 
@@ -316,6 +316,11 @@ def alpha_nominal(spark, d):
     return _r(review.krippendorff_alpha(both, "nominal"), "alpha")
 
 
+@query(f"WITH im AS (SELECT o_orderkey AS image_id, {_PASSED} AS passed FROM orders) SELECT image_id, CASE WHEN passed THEN 'passed' WHEN NOT passed THEN 'failed' ELSE 'needs_review' END AS tags FROM im")
+def sample_tags(spark, d):
+    return explore.sample_tags(_reviewed(spark, d)[0]).select("image_id", F.array_join("tags", ",").alias("tags"))
+
+
 # -- similarity ------------------------------------------------------------------
 
 _HASH = "h AS (SELECT label AS run_id, vec_id AS ordinal, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings)"
@@ -334,6 +339,20 @@ def dup_components(spark, d):
     return similarity.group_labels(T.hashes(spark, d), 17)
 
 
+_LABELLED = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT run_id, u, v FROM p WHERE distance <= 17 UNION ALL SELECT run_id, v, u FROM p WHERE distance <= 17),
+r AS (SELECT run_id, ordinal, ordinal AS seen FROM h UNION SELECT r.run_id, r.ordinal, e.v FROM r JOIN e ON e.run_id = r.run_id AND e.u = r.seen), m AS (SELECT run_id, ordinal, min(seen) AS label FROM r GROUP BY ALL),
+g AS (SELECT run_id, label, max(CASE WHEN ordinal % 100 >= 70 THEN 2 WHEN ordinal % 100 <= 40 THEN 0 ELSE 1 END) AS best FROM m GROUP BY ALL)"""
+
+
+@query(f"{_LABELLED} SELECT run_id, count(*) AS n_groups, count(*) FILTER (best = 2) AS n_passed, count(*) FILTER (best = 1) AS n_needs_hitl FROM g GROUP BY run_id")
+def collapsed_pass_rate(spark, d):
+    hashed = T.hashes(spark, d)
+    none = F.lit(None).cast("double")
+    rows = hashed.select("run_id", "ordinal", none.alias("identity"), none.alias("clip_score"), ((F.col("ordinal") % 100) / 100).alias("aesthetic"), none.alias("preference"), none.alias("safety"))
+    grouped = rows.join(similarity.group_labels(hashed, 17), ["run_id", "ordinal"])
+    return rollup.roll_up(rollup.gate(grouped)).select("run_id", "n_groups", "n_passed", "n_needs_hitl")
+
+
 @query(f"WITH {_PAIRS} SELECT run_id, round(avg(distance) / 64.0, 9) AS diversity FROM p GROUP BY run_id")
 def diversity(spark, d):
     return _r(similarity.diversity(T.hashes(spark, d)).select("run_id", "diversity"), "diversity")

@@ -102,9 +102,33 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "interval") -> DataFrame
         values = counts.join(units.select("unit_id"), "unit_id").groupBy("rating").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("vv"))
         sums = units.agg(F.sum("m").alias("n"), F.count("*").alias("u"), F.sum((F.col("m") * F.col("m") - F.col("cc")) / (F.col("m") - 1)).alias("o")).crossJoin(F.broadcast(values))
         expected = (F.col("n") * F.col("n") - F.col("vv")) / (F.col("n") * (F.col("n") - 1))
+    elif level in ("ordinal", "ratio"):
+        return _alpha_by_values(held, level)
     else:
         raise ValueError(f"level {level!r} is not supported")
     raters = held.agg(F.approx_count_distinct("rater").alias("raters"))
     ok = (F.col("raters") > 1) & (F.col("u") > 0) & (expected > 0)
     alpha = F.when(ok, 1 - (F.col("o") / F.col("n")) / expected).otherwise(F.lit(float("nan")))
     return sums.crossJoin(F.broadcast(raters)).select(alpha.alias("alpha"), F.coalesce("n", F.lit(0)).alias("n_ratings"), F.col("u").alias("n_units"))
+
+
+def _alpha_by_values(held: DataFrame, level: str) -> DataFrame:
+    """Levels whose distance depends on both values: pairs of distinct values within units, and over all; values are few."""
+    from pyspark.sql import Window
+
+    counts = held.groupBy("unit_id", F.col("rating").alias("x")).agg(F.count("*").alias("c"))
+    units = counts.groupBy("unit_id").agg(F.sum("c").alias("m")).where("m > 1")
+    counts = counts.join(units, "unit_id")
+    totals = counts.groupBy("x").agg(F.sum("c").alias("t"))
+    upto = F.sum("t").over(Window.orderBy("x"))  # a row per distinct rating
+    totals = totals.withColumn("mid", upto - F.col("t") / 2)
+    a, b = totals.toDF("x", "t", "mid"), totals.toDF("y", "u", "mid2")
+    gap = F.col("mid") - F.col("mid2") if level == "ordinal" else (F.col("x") - F.col("y")) / F.nullif(F.col("x") + F.col("y"), F.lit(0.0))
+    far = a.join(b, F.col("x") < F.col("y")).select("x", "y", "t", "u", F.coalesce(gap * gap, F.lit(0.0)).alias("d"))
+    inside = counts.join(counts.select("unit_id", F.col("x").alias("y"), F.col("c").alias("c2")), "unit_id").where("x < y").join(far.select("x", "y", "d"), ["x", "y"])
+    observed = inside.agg(F.coalesce(F.sum(2 * F.col("c") * F.col("c2") * F.col("d") / (F.col("m") - 1)), F.lit(0.0)).alias("o"))
+    expected = far.agg(F.coalesce(F.sum(2 * F.col("t") * F.col("u") * F.col("d")), F.lit(0.0)).alias("e"))
+    sums = units.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count("*").alias("k")).crossJoin(observed).crossJoin(expected).crossJoin(held.agg(F.count_distinct("rater").alias("raters")))
+    e = F.col("e") / (F.col("n") * (F.col("n") - 1))
+    alpha = F.when((F.col("raters") > 1) & (F.col("k") > 0) & (F.col("e") > 0), 1 - (F.col("o") / F.col("n")) / e).otherwise(F.lit(float("nan")))
+    return sums.select(alpha.alias("alpha"), F.col("n").alias("n_ratings"), F.col("k").alias("n_units"))

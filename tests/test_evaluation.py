@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import scores as S
 from evalspark.functions import stats, text
-from evalspark.operators import acceptance, crossrun, grid, moderation, review, rollup, similarity
-from evalspark.sources import files
+from evalspark.operators import acceptance, crossrun, explore, grid, manifests, moderation, review, rollup, similarity
+from evalspark.sources import archive, files
 from evalspark.streaming import upsert
 
 IMAGE = "run_id string, image_id string, identity double, clip_score double, aesthetic double, preference double, safety double, duplicate_group int"
@@ -175,6 +175,8 @@ def test_alpha(spark):
     schema = "unit_id int, rater string, rating double"
     table = spark.createDataFrame(units, schema)
     assert review.krippendorff_alpha(table).first().alpha == pytest.approx(0.8108108108108109) and review.krippendorff_alpha(table, "nominal").first().alpha == pytest.approx(0.16)
+    assert review.krippendorff_alpha(table, "ratio").first().alpha == pytest.approx(0.5875537, abs=1e-6)
+    assert 0.7 < review.krippendorff_alpha(table, "ordinal").first().alpha < 0.95
     same = spark.createDataFrame([(u, r, float(u)) for u in range(3) for r in "ab"], schema)
     assert review.krippendorff_alpha(same).first().alpha == 1.0
     assert math.isnan(review.krippendorff_alpha(table.where("rater = 'a'")).first().alpha)
@@ -318,3 +320,39 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     spark.createDataFrame([("r1", 0.9, 0)], schema).coalesce(1).write.mode("append").parquet(inbox)
     upsert.follow(spark, inbox, schema, log, checkpoint).awaitTermination()
     assert {r.run_id: r.pass_rate for r in upsert.current(spark, log).collect()} == {"r1": 0.9, "r2": 0.2}
+
+
+def test_viewer_round_trip(spark):
+    table = spark.createDataFrame([("r", "a", True, 5, 0.5, ["x"]), ("r", "b", None, None, None, [])], "run_id string, image_id string, passed boolean, rank int, safety double, reject_codes array<string>")
+    fields = {r.image_id: r.fields for r in explore.sample_fields(table).collect()}
+    assert fields == {"a": '{"verdict":"passed","safety":0.5,"refined_rank":5,"reject_codes":["x"]}', "b": '{"verdict":"needs_review"}'}
+    assert {r.image_id: r.tags for r in explore.sample_tags(table).collect()} == {"a": ["passed", "refined"], "b": ["needs_review"]}
+    tagged = spark.createDataFrame([("a", ["passed", "rating:2"]), ("b", ["needs_review"]), ("z", ["rating:5"])], "image_id string, tags array<string>")
+    assert [(r.image_id, r.hitl_rating, r.reject_codes) for r in explore.updates_from_tags(tagged, table).collect()] == [("a", 2, [])]
+
+
+def test_manifests(spark):
+    specs = spark.createDataFrame([("r1", "base", None, [("l2", 0.5), ("l1", 1.0)]), ("r2", "base", "vae", [])], "run_id string, base_checkpoint string, vae string, loras array<struct<name:string,weight:double>>")
+    digests = spark.createDataFrame([("base", "hb"), ("vae", "hv"), ("l1", "h1"), ("l2", "h2")], "name string, sha256 string")
+    got = {r.run_id: r for r in manifests.with_digests(specs, digests).collect()}
+    assert [tuple(x) for x in got["r1"].loras] == [("l2", "h2", 0.5), ("l1", "h1", 1.0)] and got["r2"].vae_sha256 == "hv" and got["r2"].loras == []
+    with pytest.raises(Exception, match="not found"):
+        manifests.with_digests(specs, digests.where("name <> 'l1'")).collect()
+    a = spark.createDataFrame([("r", "p", None)], "run_id string, prompt string, negative_prompt string")
+    b = spark.createDataFrame([("r", "q", None)], "run_id string, prompt string, negative_prompt string")
+    assert manifests.differences(a, b, ("run_id", "prompt", "negative_prompt")).first().differing == ["prompt"]
+    listing = spark.createDataFrame([(1, "m.ckpt", "/b/m.ckpt"), (0, "z/m.ckpt", "/a/z/m.ckpt"), (0, "y/m.ckpt", "/a/y/m.ckpt"), (1, "note.txt", "/b/note.txt")], "root_ord int, rel string, path string")
+    assert {r.name: r.path for r in manifests.resolve(spark.createDataFrame([("m.ckpt",), ("gone",)], "name string"), listing).collect()} == {"m.ckpt": "/a/y/m.ckpt", "gone": None}
+    assert {r.rel for r in manifests.models(listing).collect()} == {"m.ckpt", "z/m.ckpt", "y/m.ckpt"}
+
+
+def test_archive(spark, tmp_path):
+    import json
+    import zipfile
+
+    table = spark.createDataFrame([("r", "a", True, "/p", 1), ("r", "b", False, "/p", 2), ("r", "c", None, "/p", 3), ("r", "d", True, "/p", 4), ("../x", "e", True, "/p", 5)], "run_id string, image_id string, passed boolean, path string, seed int")
+    held = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"two"))], "image_id string, content binary")
+    got = archive.write_archives(table, held, spark.createDataFrame([("r", "m")], "run_id string, engine string"), str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("r", 2, 1, 1, 1)]
+    assert zipfile.ZipFile(tmp_path / "r" / "passing_images.zip").namelist() == ["a.png"]
+    assert json.loads((tmp_path / "r" / "reject_archive.json").read_text()) == [{"run_id": "r", "seed": 2}]
