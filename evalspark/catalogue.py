@@ -359,7 +359,7 @@ def diversity(spark, d):
 
 
 _COSINE = """WITH refs AS (SELECT label, embedding FROM embeddings WHERE vec_id % 25 = 0), c AS (SELECT e.vec_id AS image_id, list_cosine_similarity(e.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings e LEFT JOIN refs r USING (label))
-SELECT image_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}(s))), 9) AS identity FROM c GROUP BY image_id"""
+SELECT image_id, CASE WHEN count(s) > 0 THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}(s))), 9) END AS identity FROM c GROUP BY image_id"""
 
 
 def _identity(spark, d, how):
