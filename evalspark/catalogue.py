@@ -489,14 +489,10 @@ def stream_upsert(spark, d):
     """Orders arrive as files in three batches; the newest order of a customer is current. Rows only: the result is checked in the tests."""
     from uuid import uuid4
 
+    from .sources.shared import shared_folder
     from .streaming.upsert import current, follow
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="evalspark-stream-")
-    root = f"{folder}/stream-{uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     rows = T.read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_totalprice").alias("pass_rate"), F.col("o_orderkey").alias("ord"))
     for i in range(3):
         rows.where(F.col("ord") % 3 == i).coalesce(1).write.mode("append").parquet(f"{root}/inbox")

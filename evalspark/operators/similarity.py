@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scores import cosine, unit_range
+from ..sources.shared import shared_folder
 
 
 def sign_hash(table: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -35,18 +36,13 @@ def group_labels(hashed: DataFrame, threshold: int = 5, run: str = "run_id") ->
     """``run, ordinal, duplicate_group``: components of near hashes, numbered by first appearance.
 
     Labels spread to the smallest ordinal until nothing changes; each round is
-    checkpointed when a checkpoint folder is set, which bounds the plan.
+    checkpointed, which bounds the plan and survives lost executors.
     """
     pairs = hamming_pairs(hashed, threshold, run).select(run, "u", "v")
     both = pairs.unionByName(pairs.select(run, F.col("v").alias("u"), F.col("u").alias("v")))
     spark = hashed.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="evalspark-groups-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     both = both.checkpoint()
     label = hashed.select(run, "ordinal", F.col("ordinal").alias("label")).checkpoint()
     while True:
