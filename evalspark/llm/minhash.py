@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     classes = scratch.save(classes, "classes")
     banded = scratch.save(classes.select("rep", "packed").mapInArrow(_bander, "rep long, band long"), "banded")
     order = F.xxhash64("rep")
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by("rep", order).alias("centre")).where("n > 1")
+    # Written, so that the join has a plain shuffle on either side and Spark can split a crowded band.
+    buckets = scratch.save(banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by("rep", order).alias("centre")).where("n > 1"), "buckets")
     members = scratch.save(banded.join(buckets, "band"), "members")
-    scratch.drop(banded)
+    scratch.drop(banded, buckets)
     scratch.sweep()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     #: A class's smallest document carries its shingles; an id with several texts has several sets.
