@@ -155,7 +155,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     leaders = long.groupBy("whole_sha256").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("whole_sha256", "leader")
     copies = scratch.save(long.select("doc_id", "whole_sha256").join(leaders, "whole_sha256").where("doc_id > leader").select("doc_id").distinct(), "copies")
     places = long.select("doc_id", "anchors").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
-    repeated = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join has a plain shuffle on either side and Spark can split a common anchor.
+    repeated = scratch.save(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     named = scratch.save(places.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated")), "named")
     scratch.sweep()
     index = texts.join(named, "doc_id").mapInArrow(_windower(window), "h1 long, h2 int, doc_id long, start int")
@@ -165,7 +166,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     scratch.sweep()
     rest = named.join(own, "doc_id", "left")
     parsed = scratch.save(texts.join(rest, "doc_id").mapInArrow(_parser(window, with_text), "doc_id long, n_removed long, kept_sha256 string, kept_text string"), "parsed")
-    scratch.drop(named, own)
+    scratch.drop(named, own, repeated)
     scratch.sweep()
     nothing = F.lit(_digest([]))
     whole = copies.select("doc_id", F.lit(True).alias("copy"))
