@@ -109,6 +109,26 @@ def test_minhash_estimate_is_unbiased():
         assert abs(float(minhash._estimate(packed[:1], packed[1])[0]) - both / (2 * n - both)) < 0.12
 
 
+def test_minhash_finds_small_sets(spark):
+    """Pairs of 5 and 4, or of 10 and 8 shingles, with a similarity of exactly 0.8."""
+    cases = [(i, 5) for i in (364, 1537, 3223, 3757, 4425, 4615, 7158, 7178)] + [(i, 10) for i in (3969, 5190, 5625, 6071, 10830, 13563, 14620)]
+    texts = [" ".join(f"{i}x{j}" for j in range(m + 3)) for i, n in cases for m in (n, n * 4 // 5)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_minhash_estimate_spreads_alike_at_all_sizes():
+    a, b = minhash._permutations()
+    rng = np.random.default_rng(3)
+    for n in (5, 10, 40):
+        found = []
+        for _ in range(2000):
+            x = rng.integers(0, 2**63, n, np.uint64)
+            packed = minhash._pack(np.array([minhash._minima(x, a, b), minhash._minima(x[: n * 4 // 5], a, b)])).view(np.uint64)
+            found.append(float(minhash._estimate(packed[:1], packed[1])[0]))
+        assert abs(np.mean(found) - 0.8) < 0.002 and np.std(found) < 0.016
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 21), (2, 1)]
     scratch = Scratch(spark, "test")
