@@ -21,10 +21,12 @@ def hamming_pairs(hashed: DataFrame, threshold: int = 5, run: str = "run_id") ->
     """``u, v, distance`` of pairs of a run's images within ``threshold`` bits.
 
     With t + 1 bands of the 64 bits, two hashes within t bits agree on one band
-    at least, so equal bands give all pairs without comparing everything.
+    at least, so equal bands give all pairs without comparing everything. Widths
+    differ by one bit at most. From 64 bits on, one empty band pairs everything.
     """
-    bands, width = threshold + 1, -(-64 // (threshold + 1))
-    parts = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("hash", b * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("p")) for b in range(bands) if b * width < 64])
+    bands = threshold + 1 if threshold < 64 else 1
+    cuts = [b * 64 // bands for b in range(bands + 1)] if threshold < 64 else [0, 0]
+    parts = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("hash", low).bitwiseAND(F.lit((1 << high - low) - 1 if high - low < 64 else -1).cast("long")).alias("p")) for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))])
     rows = hashed.select(run, "ordinal", "hash", F.explode(parts).alias("k")).select(run, "ordinal", "hash", "k.b", "k.p")
     x, y = rows.toDF("run", "u", "hu", "b", "p"), rows.toDF("run", "v", "hv", "b", "p")
     distance = F.bit_count(F.col("hu").bitwiseXOR(F.col("hv")))

@@ -237,6 +237,29 @@ def test_hash_groups_and_diversity(spark):
     assert spread["a"] == pytest.approx(sum((h ^ g).bit_count() for i, (_, h) in enumerate(rows) for _, g in rows[i + 1 :]) / (60 * 59 / 2) / 64)
 
 
+@pytest.mark.parametrize("threshold", [0, 5, 8, 11, 13, 16, 17, 20, 24, 31, 63, 64])
+def test_hamming_pairs_at_the_threshold(spark, threshold):
+    """Pairs that differ in as many bits as allowed, spread so that few bands stay equal; one bit more is too far."""
+    import random
+
+    rng = random.Random(threshold)
+    masks = [sum(1 << (i * 64 // threshold) for i in range(threshold))] if threshold else [0]
+    masks += [0x1111111111111111] if threshold in (16, 17) else []
+    for m in [*masks, *[sum(1 << b for b in rng.sample(range(64), threshold)) for _ in range(20)]]:
+        masks += [m, m ^ 1 << (m ^ (1 << 64) - 1).bit_length() - 1] if m != (1 << 64) - 1 else [m]
+    rows, want = [], set()
+    for i, m in enumerate(masks):
+        base = rng.getrandbits(64)
+        rows += [(f"r{i}", j, h - (1 << 64) if h >> 63 else h) for j, h in enumerate((base, base ^ m))]
+        if m.bit_count() <= threshold:
+            want.add((f"r{i}", 0, 1, m.bit_count()))
+    table = spark.createDataFrame(rows, "run_id string, ordinal long, hash long")
+    assert {tuple(r) for r in similarity.hamming_pairs(table, threshold).collect()} == want
+    if threshold == 17:
+        labels = similarity.group_labels(table, threshold).collect()
+        assert {r.run_id for r in labels if r.duplicate_group == 1} == {f"r{i}" for i, m in enumerate(masks) if m.bit_count() > threshold}
+
+
 def test_identity(spark):
     e = spark.createDataFrame([("par", "s", [2.0, 0.0]), ("neg", "s", [-1.0, 0.0]), ("none", "s", None), ("nan", "s", [float("nan"), 0.0]), ("other", "t", [1.0, 0.0])], "image_id string, subject string, embedding array<double>")
     refs = spark.createDataFrame([("s", [1.0, 0.0]), ("s", [0.0, 1.0])], "subject string, embedding array<double>")
