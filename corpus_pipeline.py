@@ -21,9 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group linked by five-word shingles at 0.8."""
-    gone = minhash.near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest id of each group linked by five-word shingles at 0.8.
+
+    Of an id with several texts, only the texts that are copies go. Rows that
+    repeat an id and its text stay or go together.
+    """
+    gone = minhash.near_duplicates(docs, k=5, with_hash=True).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

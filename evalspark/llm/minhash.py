@@ -38,7 +38,7 @@ CHUNK = 64
 #: Members of a bucket that one block holds on each side.
 BLOCK = 1024
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, packed binary"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, packed binary"
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +109,8 @@ def _signer(k: int):
                     digest[i] = np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64)
             packed = pa.array([row.tobytes() if len(s) else None for row, s in zip(_pack(least), sets, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), packed],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "packed"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), packed],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "packed"],
             )
 
     return sign
@@ -179,16 +179,18 @@ def _promising(least: float):
     return choose
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.0615) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.0615, with_hash: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have 100 * |A & B| >= percent * |A | B|.
 
     ``docs(doc_id long, text string, ...)``; other columns are not read. Returns
-    one row per input row: ``doc_id, n_shingles, component_id, kept``.
+    one row per input row: ``doc_id, n_shingles, component_id, kept``, and with
+    ``with_hash`` also ``text_hash``, Spark's ``xxhash64`` of the row's text.
 
     Texts with fewer than ``k`` words have the whole word sequence as their one
     shingle; null, empty and blank texts have an empty set and link with nothing.
     Repeated rows are copies of each other; of a doc_id that carries several
-    texts, each row is judged by its own text. A row with a null doc_id takes no
+    texts, each row is judged by its own text; those of one component all stay if
+    the id is its smallest. A row with a null doc_id takes no
     part: null component, kept. An empty table gives an empty table.
     ``slack`` is how far below the threshold the signature estimate may lie: 0.0615
     is five standard deviations of the estimate at similarity 0.8.
@@ -197,10 +199,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.save(texts.mapInArrow(_signer(k), _SIGNED), "signed")
+    signed = scratch.save(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signer(k), _SIGNED), "signed")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("packed").alias("packed"))
-    classes = scratch.save(classes, "classes")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.max("packed").alias("packed"))
+    # Classes have numbers of their own, which stay as written: one id may be the smallest of several.
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = scratch.save(classes.select("rep", "n_shingles", "packed").mapInArrow(_bander, "rep long, n_shingles long, band long"), "banded")
     order = F.xxhash64("rep")
     # Written, so that the join has a plain shuffle on either side and Spark can split a crowded band.
@@ -208,23 +211,23 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     members = scratch.save(banded.join(buckets, "band"), "members")
     scratch.drop(banded, buckets)
     scratch.sweep()
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
+    involved = classes.select("rep", F.col("least_id").alias("doc_id"), "set_a").join(members.select("rep").distinct(), "rep", "left_semi")
     #: A class's smallest document carries its shingles; an id with several texts has several sets.
-    holders = texts.join(involved, "doc_id").mapInArrow(_set_maker(k), "doc_id long, set_a long, shingles array<long>")
-    held = holders.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "n_shingles", "packed"), ["doc_id", "set_a"])
-    sets = scratch.save(held.dropDuplicates(["doc_id", "set_a"]).drop("set_a"), "sets")
+    holders = texts.join(involved.select("doc_id").distinct(), "doc_id").mapInArrow(_set_maker(k), "doc_id long, set_a long, shingles array<long>")
+    held = holders.join(classes.select("rep", F.col("least_id").alias("doc_id"), "set_a", "n_shingles", "packed"), ["doc_id", "set_a"])
+    sets = scratch.save(held.dropDuplicates(["rep"]).drop("doc_id", "set_a"), "sets")
     scratch.sweep()
     least = percent / 100 - slack
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select("doc_id", "shingles", "n_shingles").toDF("u", "set_u", "n_u"), sets.select("doc_id", "shingles", "n_shingles").toDF("v", "set_v", "n_v")
+        a, b = sets.select("rep", "shingles", "n_shingles").toDF("u", "set_u", "n_u"), sets.select("rep", "shingles", "n_shingles").toDF("v", "set_v", "n_v")
         fits = pairs.join(a, "u").join(b, "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         both = F.size(F.array_intersect("set_u", "set_v"))
         return fits.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
 
     alike = 100 * F.least("n_shingles", "centre_size") >= percent * F.greatest("n_shingles", "centre_size")
     stars = members.where((F.col("centre") != F.col("rep")) & alike).select(F.least("centre", "rep").alias("u"), F.greatest("centre", "rep").alias("v")).distinct()
-    marks = sets.select("doc_id", "packed")
+    marks = sets.select("rep", "packed")
     near = stars.join(marks.toDF("u", "p_u"), "u").join(marks.toDF("v", "p_v"), "v").select("u", "p_u", "v", "p_v").mapInArrow(_promising(least), "u long, v long").distinct()
     label = scratch.save(connected_components(scratch, confirmed(near)), "label")
     scratch.sweep()
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     split = labelled.join(several, "band").withColumn("blocks", blocks).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("part") == F.col("other"), 1).when(F.col("part") < F.col("other"), 0).otherwise(2)
     placed = split.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), F.col("rep"), "label", "n_shingles", "centre")
-    placed = placed.join(marks.distinct().withColumnRenamed("doc_id", "rep"), "rep")
+    placed = placed.join(marks, "rep")
     pairs = placed.groupBy("band", "x", "y").applyInArrow(_comparer(least, percent), "u long, v long")
     more = confirmed(pairs.distinct())
     # The new links are between components, so only component ids need joining again.
@@ -244,8 +247,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     between = more.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
     outer = scratch.save(connected_components(scratch, between), "outer")
     scratch.sweep()
-    first = classes.select(*key, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("inner"))
-    found = first.join(outer.toDF("inner", "outer"), "inner", "left").select(*key, F.coalesce("outer", "inner").alias("found"))
-    out = signed.select("doc_id", *key).join(found, key, "left")
+    first = classes.select(*key, "rep", "least_id").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "least_id", F.coalesce("component", "rep").alias("inner"))
+    # Written, so that Spark can split the join of a large component.
+    numbered = scratch.save(first.join(outer.toDF("inner", "outer"), "inner", "left").select(*key, "least_id", F.coalesce("outer", "inner").alias("number")), "numbered")
+    roots = scratch.save(numbered.groupBy("number").agg(F.min("least_id").alias("found"), F.count("*").alias("n")).where("n > 1").select("number", "found"), "roots")
+    found = numbered.join(roots, "number", "left").select(*key, F.coalesce("found", "least_id").alias("found"))
+    out = signed.select("doc_id", "text_hash", *key).join(found, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", *(["text_hash"] if with_hash else []), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

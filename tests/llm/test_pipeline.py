@@ -7,7 +7,7 @@ import sentencepiece
 from test_llm import components_of, linked, shingles, spans
 
 import corpus_pipeline
-from evalspark.llm import pieces
+from evalspark.llm import minhash, pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,5 +44,16 @@ def test_stages(spark):
     assert all(r.ids == model.encode(text_of[r.doc_id]) and r.n_pieces == len(r.ids) for r in out)
 
 
+def test_near_copies_of_an_id_with_several_texts(spark):
+    """Id 5 carries a copy of id 3's text and two that nothing else has; id 7 copies one of these."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(3, one), (5, one + " end"), (5, two), (5, two), (5, three), (7, three + " end"), (None, one), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect())
+    assert got == Counter(r for r in rows if r not in ((5, one + " end"), (7, three + " end")))
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).where("doc_id is not null").collect()}
+    assert found == {(3, 57, 3, True), (5, 58, 3, False), (5, 57, 5, True), (7, 58, 5, False), (8, 0, 8, True)}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
