@@ -1,10 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the corpus.
+"""Substring dedup by hashed windows, in place of relative Lempel-Ziv parsing.
 
-Every document is parsed relative to all text that comes before it. A factor is
-a run of words that also starts earlier - in a smaller document, or earlier in
-the same one - and is at least ``window`` words long. The parse needs, for each
-start, whether the ``window`` words from there occur earlier; the union of such
-windows is what the factors and the windows across their boundaries cover.
+No greedy factor is computed, nor is any factor boundary checked. A greedy parse
+of a document relative to all text before it would yield runs of words that also
+start earlier - in a smaller document, or earlier in the same one. What is
+removed needs less: for each start, whether the ``window`` words from there occur
+earlier. The union of such windows is what factors of at least ``window`` words
+and the windows across their boundaries cover. Names with "parse" mean this step.
 
 Indexing every window of every document would shuffle several times the input.
 The index is cut into reference blocks instead: a block is named by an anchor,
@@ -13,8 +14,8 @@ block, and neighbouring windows mostly share one. First only anchors are counted
 a block with one anchor place holds nothing that repeats. The windows of the
 other blocks alone are indexed, by a 96-bit hash, with the first document that
 has them. That document's starts go back to it as its own; all other starts of
-its indexed windows have an earlier place, and there the parse runs. Documents
-with the words of a smaller one are a single factor and never reach the index.
+its indexed windows have an earlier place, and their words go. Documents with
+the words of a smaller one go whole and never reach the index.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def _windower(window: int):
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words the factors cover: runs of starts, each ``window`` words beyond its last."""
+    """Which of n words the repeated windows cover: runs of starts, each ``window`` words beyond its last."""
     steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, starts, 1)
     np.add.at(steps, np.minimum(starts + window, n), -1)
