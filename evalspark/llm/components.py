@@ -31,13 +31,15 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     before = _fingerprint(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Written, so that the joins have a plain shuffle on either side and Spark can split a crowded vertex.
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = scratch.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        scratch.drop(least)
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(*[F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")])
         now = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
         after = _fingerprint(now)
-        scratch.drop(edges)
+        scratch.drop(edges, large, least)
         edges = now
         if after == before:
             break

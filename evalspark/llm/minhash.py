@@ -9,14 +9,15 @@ similarity estimate that is corrected for chance collisions, and pairs far below
 the threshold go. What is left is confirmed exactly on the full shingle sets.
 
 Only connectivity is asked of a group, so a group of copies is not paired with
-itself: each band bucket first pairs one centre with its other members, links
-are confirmed and components found. Then buckets that still hold several
+itself. Each band bucket has a centre. A class is first paired with one centre of
+all its buckets, the link is confirmed and components are found; then with one
+centre of each other component that it has met. Buckets that still hold several
 components are compared in blocks of bounded size, and a pair leaves its block
 only if it joins different components, has a good estimate, and shares no
 earlier band. Nothing is capped.
 
 At similarity 0.8 a pair shares a band with a probability of over 0.9999, and its
-estimate is kept with over 0.99999. Both are probabilities, not proofs; they hold
+estimate, which only pairs of the blocks need, is kept with over 0.99999. Both are probabilities, not proofs; they hold
 for sets of any size, as minima are mixed like independent random orders. A band
 has 2**32 values, so beyond some 10**9 classes BITS should be 8.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from .blocks import placed
 from .components import connected_components
 from .scratch import Scratch, bounded_batches
 from .words import hashes, pieces, rolling, words
@@ -135,23 +137,22 @@ def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _comparer(least: float, percent: int):
-    """Pairs of one block of a bucket: different labels, a good estimate, no earlier shared band, and not yet met as a star."""
+    """Pairs of one block of a bucket, with their labels: different labels, a good estimate, and no earlier shared band."""
 
     def compare(group: pa.Table) -> pa.Table:
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        rep, label, side = (group.column(c).to_numpy() for c in ("rep", "label", "side"))
-        size, centre = group.column("n_shingles").to_numpy(), group.column("centre").to_numpy()
+        found: list[np.ndarray] = [np.empty((0, 4), np.int64)]
+        rep, label, side, size = (group.column(c).to_numpy() for c in ("rep", "label", "side", "n_shingles"))
         packed = group.column("packed").to_pylist()
         number = group.column("band")[0].as_py() >> 32
         words, bands = np.frombuffer(b"".join(packed), np.uint64).reshape(len(rep), -1), _bands(_unpack(packed))[:, :number]
-        left, right = np.flatnonzero((side <= 1) & (rep != centre)), np.flatnonzero((side >= 1) & (rep != centre))
+        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
         for i in left.tolist():
             j = right[(label[right] != label[i]) & ((side[right] != 1) | (side[i] != 1) | (rep[right] > rep[i]))]
             j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
             j = j[_estimate(words[j], words[i]) >= least]
             j = j[~(bands[j] == bands[i]).any(axis=1)]
-            us.append(np.minimum(rep[j], rep[i])), vs.append(np.maximum(rep[j], rep[i]))
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+            found.append(np.column_stack([np.full(len(j), rep[i]), rep[j], np.full(len(j), label[i]), label[j]]))
+        return pa.table(dict(zip(("u", "v", "label_u", "label_v"), np.concatenate(found).T, strict=True)))
 
     return compare
 
@@ -168,17 +169,6 @@ def _set_maker(k: int):
     return make
 
 
-def _promising(least: float):
-    """``u, p_u, v, p_v`` -> ``u, v`` of the pairs with a good estimate."""
-
-    def choose(batches):
-        for batch in (b for b in batches if len(b)):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("p_u", "p_v"))
-            yield batch.select(["u", "v"]).filter(pa.array(_estimate(x, y) >= least))
-
-    return choose
-
-
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.0615, with_hash: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have 100 * |A & B| >= percent * |A | B|.
 
@@ -205,9 +195,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     # Classes have numbers of their own, which stay as written: one id may be the smallest of several.
     classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = scratch.save(classes.select("rep", "n_shingles", "packed").mapInArrow(_bander, "rep long, n_shingles long, band long"), "banded")
-    order = F.xxhash64("rep")
     # Written, so that the join has a plain shuffle on either side and Spark can split a crowded band.
-    buckets = scratch.save(banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_size")), order).alias("c")).where("n > 1").select("band", "n", "c.*"), "buckets")
+    buckets = scratch.save(banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_size")), F.xxhash64("rep")).alias("c")).where("n > 1").select("band", "n", "c.*"), "buckets")
     members = scratch.save(banded.join(buckets, "band"), "members")
     scratch.drop(banded, buckets)
     scratch.sweep()
@@ -217,35 +206,41 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     held = holders.join(classes.select("rep", F.col("least_id").alias("doc_id"), "set_a", "n_shingles", "packed"), ["doc_id", "set_a"])
     sets = scratch.save(held.dropDuplicates(["rep"]).drop("doc_id", "set_a"), "sets")
     scratch.sweep()
-    least = percent / 100 - slack
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs(u, v, ...)`` whose full sets are linked."""
         a, b = sets.select("rep", "shingles", "n_shingles").toDF("u", "set_u", "n_u"), sets.select("rep", "shingles", "n_shingles").toDF("v", "set_v", "n_v")
         fits = pairs.join(a, "u").join(b, "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         both = F.size(F.array_intersect("set_u", "set_v"))
-        return fits.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
+        return fits.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select(*pairs.columns)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The members of bands that hold several labels, and the label of the band's centre."""
+        bands = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("label"))).alias("main_label"))
+        return rows.join(bands.where("lo < hi").select("band", "main_label"), "band")
+
+    def relabelled(rows: DataFrame, component: DataFrame) -> DataFrame:
+        return rows.join(component.toDF("label", "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
 
     alike = 100 * F.least("n_shingles", "centre_size") >= percent * F.greatest("n_shingles", "centre_size")
-    stars = members.where((F.col("centre") != F.col("rep")) & alike).select(F.least("centre", "rep").alias("u"), F.greatest("centre", "rep").alias("v")).distinct()
-    marks = sets.select("rep", "packed")
-    near = stars.join(marks.toDF("u", "p_u"), "u").join(marks.toDF("v", "p_v"), "v").select("u", "p_u", "v", "p_v").mapInArrow(_promising(least), "u long, v long").distinct()
-    label = scratch.save(connected_components(scratch, confirmed(near)), "label")
+    # First one pair a class, with one centre of all its bands: in a crowd mostly the same one.
+    star = members.where((F.col("centre") != F.col("rep")) & alike).groupBy(F.col("rep").alias("u")).agg(F.min_by("centre", F.xxhash64("centre")).alias("v"))
+    label = scratch.save(connected_components(scratch, confirmed(star)), "label")
+    scratch.sweep()
+    apart = scratch.save(mixed(relabelled(members.drop("n").withColumn("label", F.col("rep")), label)), "apart")
+    # Then one pair for each class and other component whose centre it has met.
+    again = apart.where((F.col("label") != F.col("main_label")) & alike).groupBy(F.col("rep").alias("u"), F.col("label").alias("label_u"), F.col("main_label").alias("label_v"))
+    again = again.agg(F.min_by("centre", F.xxhash64("rep", "centre")).alias("v"))
+    between = scratch.save(confirmed(again).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")), "between")
+    # What still shares a band under different labels is compared in blocks; rows of the centre's component need no comparing.
+    left = scratch.save(mixed(relabelled(apart.drop("main_label"), connected_components(scratch, between))).withColumn("main", F.col("label") == F.col("main_label")), "left")
     scratch.sweep()
-    labelled = members.select("band", "n", "rep", "n_shingles", "centre").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    several = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    # Large buckets are cut into parts by hash, and each two parts meet in a block: side 0, 2, or 1 for a part with itself.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(order, F.col("blocks")).cast("int")
-    split = labelled.join(several, "band").withColumn("blocks", blocks).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("part") == F.col("other"), 1).when(F.col("part") < F.col("other"), 0).otherwise(2)
-    placed = split.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), F.col("rep"), "label", "n_shingles", "centre")
-    placed = placed.join(marks, "rep")
-    pairs = placed.groupBy("band", "x", "y").applyInArrow(_comparer(least, percent), "u long, v long")
-    more = confirmed(pairs.distinct())
+    counts = left.groupBy("band").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest"))
+    split = placed(left.join(counts, "band"), F.col("main"), "rep", BLOCK).select("band", "x", "y", "side", "rep", "label", "n_shingles").join(sets.select("rep", "packed"), "rep")
+    pairs = split.groupBy("band", "x", "y").applyInArrow(_comparer(percent / 100 - slack, percent), "u long, v long, label_u long, label_v long")
+    more = confirmed(pairs.distinct()).select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
     # The new links are between components, so only component ids need joining again.
-    a, b = label.toDF("u", "label_u"), label.toDF("v", "label_v")
-    between = more.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
-    outer = scratch.save(connected_components(scratch, between), "outer")
+    outer = scratch.save(connected_components(scratch, between.unionByName(more)), "outer")
     scratch.sweep()
     first = classes.select(*key, "rep", "least_id").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "least_id", F.coalesce("component", "rep").alias("inner"))
     # Written, so that Spark can split the join of a large component.
