@@ -97,6 +97,35 @@ def test_minhash_group_of_near_copies(spark):
     assert len(set(want.values())) == 2
 
 
+def test_minhash_crowd_of_five_thousand(spark):
+    """Near copies of one text, some too far from the others, and exact copies of it under later ids."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for j in range(5000):
+        w = list(base)
+        for p in rng.integers(0, 120, 1 + j % 4):
+            w[p] = f"x{j}y{p}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base)] * 500
+    sets = [frozenset(shingles(t, 4)) for t in texts]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    whole = sets[-1]
+    close = [i for i, s in enumerate(sets) if 100 * len(s & whole) >= 80 * len(s | whole)]
+    assert len(close) > 4000 and len({got[i] for i in close}) == 1
+    # Others that a plain search links with one of them are found as well.
+    for i in sorted(set(range(len(texts))) - set(close))[::10]:
+        linked_too = any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in close)
+        assert not linked_too or got[i] == got[close[0]]
+
+
+def test_minhash_recall_on_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text, 4) for r in docs.collect()}
+    want = components_of(sets, linked(sets))
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_minhash_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     a, b = minhash._permutations()
@@ -406,6 +435,29 @@ def test_crosspolytope_against_all_pairs(spark):
             assert (r.n_links, r.component_id) == (near[r.vec_id].sum(), want[r.vec_id])
 
 
+def test_crosspolytope_counts_in_wide_groups(spark):
+    """10,256 vectors: tight crowds, a loose one whose members lie farther out than half the bound, a chain, copies, and short rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_256, 64))
+    for begin, end, spread in ((0, 1500, 0.1), (2000, 2700, 0.31), (3000, 3100, 0.2)):
+        x[begin:end] = x[begin] + rng.normal(size=(end - begin, 64)) * spread
+    x[4000] = rng.normal(size=64)
+    for i in range(4001, 4040):
+        x[i] = x[i - 1] + rng.normal(size=64) * 0.25
+    x[5000:5400] = x[10]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    n = near.sum(axis=1)
+    rows, columns = np.nonzero(near)
+    want = components_of(range(len(x)), zip(rows.tolist(), columns.tolist(), strict=True))
+    table = spark.createDataFrame([*((i, v) for i, v in enumerate(x.tolist())), *((20_000 + i, v[:3]) for i, v in enumerate(x[:5].tolist()))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in crosspolytope.near_duplicates(table).where("vec_id < 20000").collect()}
+    lost = [i for i in range(len(x)) if got[i] != (n[i], want[i])]
+    assert len(got) == len(x) and not lost, (len(lost), [(i, got[i], n[i], want[i]) for i in lost[:5]])
+    assert n[2000:2700].max() > 100 and (np.arccos(np.clip(unit[2000:2700] @ unit[2000], -1, 1)) > np.arccos(0.9) / 2).sum() > 100
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(crosspolytope.hadamard(x), axis=1), np.linalg.norm(x, axis=1) * np.sqrt(32))
