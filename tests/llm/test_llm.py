@@ -197,6 +197,55 @@ def test_substring_inside_one_document(spark):
     assert got == {0: 30, 1: 30, 2: 49, 3: 0}
 
 
+def test_substring_of_an_id_with_several_texts(spark):
+    p, q = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    rows = [(1, p), (2, p + " tail"), (2, q), (2, q.replace(" ", "  ")), (3, q), (None, p), (4, None)]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter([(1, 40, 0), (2, 41, 40), (2, 40, 0), (2, 40, 0), (3, 40, 40), (None, 40, 0), (4, 0, 0)])
+
+
+def plain_windows(rows, window=20):
+    """Words removed of each document by a plain search of all windows."""
+    out, seen = {}, set()
+    for i, t in sorted(rows):
+        w = W.findall(t or "")
+        gone = [False] * len(w)
+        for j in range(len(w) - window + 1):
+            key = tuple(w[j : j + window])
+            if key in seen:
+                gone[j : j + window] = [True] * window
+            seen.add(key)
+        out[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_substring_of_crowds_and_loops(spark, chunk):
+    """A passage in every document under changing surroundings, passages that continue one another, short cycles, and a long document."""
+    rng = np.random.default_rng(6)
+    shared = [[f"s{k}w{i}" for i in range(60)] for k in range(3)]
+    rows = []
+    for i in range(300):
+        w = [f"d{i}x{j}" for j in range(int(rng.integers(0, 30)))]
+        for _ in range(int(rng.integers(1, 4))):
+            a = int(rng.integers(0, 35))
+            w += shared[int(rng.integers(0, 3))][a : a + int(rng.integers(5, 60))] + [f"d{i}y{j}" for j in range(int(rng.integers(0, 12)))]
+        rows.append((i, " ".join(w)))
+    rows += [(1000, " ".join(["round", "and"] * 40)), (1001, " ".join(["a", "b", "c"] * 30 + ["d"] * 70)), (1002, LONG), (1003, LONG[: len(LONG) // 2] + " x " + LONG)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()}
+    assert got == plain_windows(rows)
+
+
+def test_factors_are_greedy_and_cross_boundaries():
+    block = [f"w{i}".encode() for i in range(40)]
+    index = {}
+    assert substring.factor(block[:30], ((1, 0), 0), index, 20) == ([], [(i, b" ".join(block[i : i + 20])) for i in range(11)])
+    assert substring.factor(block[15:], ((2, 0), 0), index, 20)[0] == []
+    # Words 0 to 29 come from the first block; the next source carries on from word 15, within the factor's last words.
+    factors, literals = substring.factor(block, ((3, 0), 0), index, 20)
+    assert factors == [(0, 30), (15, 40)] and [a for a, _ in literals] == [11, 12, 13, 14]
+
+
 def test_sharding_rows(docs, rows):
     got = sharding.shard(docs).collect()
     sizes = Counter(r.shard for r in got)
