@@ -459,6 +459,38 @@ def test_neighbours_against_all_rows(spark):
     assert [i for i, _ in by[200]] == list(range(201, 211))
 
 
+def test_neighbours_recall_at_size(spark):
+    """Half without structure, half around 200 centres: recall against all rows."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_256, 64)).astype(np.float32)
+    centres = rng.normal(size=(200, 64)).astype(np.float32)
+    x[5000:] = centres[rng.integers(0, 200, 5256)] + rng.normal(size=(5256, 64)).astype(np.float32) * 0.3
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    recall = []
+    y = x.astype(float)
+    for q in range(0, len(x), 100):
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert len(got[q]) == 10
+        recall.append(len(set(np.argsort(d)[:10].tolist()) & set(got[q])) / 10)
+    assert np.mean(recall) >= 0.9
+
+
+def test_neighbours_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    rng = np.random.default_rng(0)
+    base = [(i, v) for i, v in enumerate(rng.normal(size=(300, 4)).tolist(), 1)]
+    for odd in ([(400, [1.0, 2.0, 3.0]), (401, [1.0, 2.0, 3.0, 4.0, 5.0])], [(400, [1.0] * 8)]):
+        with pytest.raises(Exception, match="differ in length"):
+            ann.nearest(spark.createDataFrame(base + odd, schema), sample=50).collect()
+    # An id with two vectors searches with both and is nobody's own neighbour; null ids take no part; a repeated row counts once.
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 0.1]), (7, [1.0, 0.1]), (8, [0.1, 1.0]), (None, [1.0, 0.0]), (9, None)]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got) == [(100, 1, 7, 0.1), (100, 2, 8, 0.1)]
+
+
 def test_neighbours_of_few_rows(spark):
     table = spark.createDataFrame([(100, [1.0, 0.0]), (101, [0.0, 1.0]), (200, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(table).collect()}
