@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger, in DataFrame expressions only.
 
-Every version of every text is addressed by the SHA-256 of its content. The
-ledger holds one row per (blob, rule version) that has been scanned, with the
-spans found, so a scan reads only blobs that this version of the rules has not
-seen, appends them, and joins the ledger back to all rows that carry the blob.
+Every version of every text is addressed by the SHA-256 of its content, and every
+rule by a digest of what it says. The ledger tells which (blob, rule version)
+pairs have been scanned, and the spans found. A scan works out the pairs that are
+not there, reads only the texts that have any, applies only the missing rules,
+appends the findings, and joins the ledger back to all rows that carry a blob.
 
 Positions come from splitting a text at a rule's matches: a match starts after
 the summed lengths of what lies before it. Lengths count code points.
@@ -11,6 +12,7 @@ the summed lengths of what lies before it. Lengths count code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,6 +31,11 @@ class Rule:
     group: int = 0
     least: int = 0
 
+    @property
+    def version(self) -> str:
+        """A digest of the rule: another pattern is another version."""
+        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
+
 
 # The patterns of the three base kinds, in the order that breaks ties of position.
 RULES = (
@@ -36,9 +43,17 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-RULE_VERSION = "base-1"
+#: Kinds that later versions of the rules add; base spans stay as they are.
+ADDED = (
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("github", r"\bgh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+)
 
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
+FINDINGS = "array<struct<start:int,kind:string,version:string,stop:int>>"
+#: A session that sets this keeps one ledger there; else every report begins a new one.
+SETTING = "evalspark.secrets.ledger"
 
 
 def _found(text: Column, number: int, rule: Rule) -> Column:
@@ -86,13 +101,17 @@ def _slice(text: Column, start: Column, stop: Column) -> Column:
 
 
 class BlobLedger:
-    """Scanned (blob, rule version) pairs with their spans, as an append-only Parquet table."""
+    """Scanned (blob, rule version) pairs with their spans, as an append-only Parquet table.
+
+    A row holds the versions that one scan applied to one blob. Two scans at once
+    may both append a pair; readers count a finding once.
+    """
 
-    SCHEMA = f"blob string, rule_version string, spans {SPANS}"
+    SCHEMA = f"blob string, versions array<string>, findings {FINDINGS}"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or f"{Scratch(spark, 'ledger').root}/blobs"
+        self.spark, self.scratch = spark, Scratch(spark, "ledger")
+        self.path = path or spark.conf.get(SETTING, None) or f"{self.scratch.root}/blobs"
 
     def exists(self) -> bool:
         context = self.spark.sparkContext
@@ -102,44 +121,85 @@ class BlobLedger:
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def update(self, texts: DataFrame, rules: Sequence[Rule] = RULES, version: str = RULE_VERSION) -> None:
-        """Scan what ``texts(blob, text)`` holds that this rule version has not seen yet."""
-        blobs = texts
-        if self.exists():
-            blobs = blobs.join(self.table().where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-        blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        found = blobs.select("blob", F.lit(version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
-        found.write.mode("append").parquet(self.path)
+    def missing(self, blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+        """``blob, missing`` of the distinct ``blobs(blob)`` that lack any of the rules' versions."""
+        wanted = F.array(*[F.lit(r.version) for r in rules])
+        blobs = blobs.distinct()
+        if not self.exists():
+            return blobs.withColumn("missing", wanted)
+        # The versions of a blob are few: as many as rules have ever had.
+        seen = self.table().select("blob", F.explode("versions").alias("version")).where(F.col("version").isin(*[r.version for r in rules])).groupBy("blob").agg(F.collect_set("version").alias("seen"))
+        lacking = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+        return blobs.join(seen, "blob", "left").select("blob", lacking.alias("missing")).where(F.size("missing") > 0)
+
+    def update(self, texts: DataFrame, rules: Sequence[Rule] = RULES) -> None:
+        """Apply to each of ``texts(blob, text)`` the rules that the ledger does not yet have for it."""
+        fresh = not self.exists()
+        if not fresh:
+            # Written, so that Spark knows its size: texts move only if very many are new.
+            texts = texts.join(self.scratch.save(self.missing(texts.select("blob"), rules), "missing"), "blob")
+        else:
+            texts = texts.withColumn("missing", F.array(*[F.lit(r.version) for r in rules]))
+        blobs = texts.groupBy("blob").agg(F.first("text").alias("text"), F.first("missing").alias("versions"))
+
+        def findings(r: Rule) -> Column:
+            named = F.transform(_found(F.col("text"), 0, r), lambda s: F.struct(s["start"], F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), s["stop"]))
+            return named if fresh else F.when(F.array_contains("versions", r.version), named).otherwise(F.array().cast(FINDINGS))
+
+        blobs.select("blob", "versions", F.concat(*[findings(r) for r in rules]).cast(FINDINGS).alias("findings")).write.mode("append").parquet(self.path)
+        self.scratch.sweep()
+
+    def spans(self, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """``blob, spans`` of the blobs in which these versions of the rules have found any."""
+        held = self.table().where(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        wanted = F.filter("findings", lambda f: f["version"].isin(*[r.version for r in rules]))
+        kinds = F.array(*[F.lit(r.kind) for r in rules])
+        spans = F.transform(wanted, lambda f: F.struct(f["start"].alias("start"), (F.array_position(kinds, f["kind"]) - 1).cast("int").alias("kind"), f["stop"].alias("stop")))
+        return held.select("blob", F.array_sort(F.array_distinct(spans)).alias("spans")).where(F.size("spans") > 0)
 
 
 def _addressed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
-def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule] = RULES, version: str = RULE_VERSION) -> DataFrame:
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_blob").alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule] = RULES + ADDED) -> DataFrame:
     """All rows of ``docs(text, ...)`` with the spans that their texts hold.
 
-    Adds ``blob`` (SHA-256 of the text) and ``spans``; a column of either name is
-    replaced. A null text is an empty one; both hold no spans. Repeated rows and
-    copies of a text are scanned once and answered each. Without a ledger a new
-    one is begun, in which nothing has been seen. Secrets never leave the scan:
-    the ledger holds positions, not matches. An empty table gives an empty table.
+    Adds ``blob`` (SHA-256 of the text) and ``spans``, whose ``kind`` is the rule's
+    place in ``rules``; a column of either name is replaced. A null text is an
+    empty one; both hold no spans. Repeated rows and copies of a text are scanned
+    once and answered each. Without a ledger the session's is used, or a new one
+    begun, in which nothing has been seen. Secrets never leave the scan: the ledger
+    holds positions, not matches. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    ledger = ledger or BlobLedger(spark)
+    ledger = ledger or BlobLedger(docs.sparkSession)
     rows = _addressed(docs.drop("blob", "spans"))
-    ledger.update(rows.select(F.col("_blob").alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rules, version)
-    found = ledger.table().where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), "spans")
-    joined = rows.join(found, "_blob", "left")
+    ledger.update(_texts(rows), rules)
+    joined = rows.join(ledger.spans(rules).withColumnRenamed("blob", "_blob"), "_blob", "left")
     return joined.select(*[c for c in rows.columns if c != "_blob"], F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def secret_report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
-    """Counts, digest and list of spans of each row's text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
-    out = scan_secrets(docs.select("doc_id", "text"), ledger).select("doc_id", "spans")
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of each row: counts and digest of the base kinds, list of all.
+
+    The scan takes two steps over one ledger. A first batch, the texts of even
+    hash, meets the base rules; then all texts meet base and added rules, and only
+    the pairs that the first step has not left are worked on. Null and empty texts
+    hold nothing; every row is answered, whatever its doc_id.
+    """
+    ledger = ledger or BlobLedger(docs.sparkSession)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    ledger.update(_texts(_addressed(rows.where(F.xxhash64("text") % 2 == 0))), RULES)
+    out = scan_secrets(rows, ledger).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"] < len(RULES))
 
     def of_kind(number: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
 
     counts = [of_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
-    return out.select("doc_id", *counts, describe(F.col("spans")).alias("listed")).select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2("listed", 256).alias("base_sha256"), F.col("listed").alias("spans"))
+    every = RULES + ADDED
+    return out.select("doc_id", *counts, F.sha2(describe(base, every), 256).alias("base_sha256"), describe(F.col("spans"), every).alias("spans"))

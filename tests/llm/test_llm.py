@@ -332,15 +332,48 @@ def test_secrets_against_a_plain_scan(spark, docs, rows):
 
 
 def test_ledger_scans_only_what_it_has_not_seen(spark):
-    ledger = secretscan.BlobLedger(spark)
+    def pairs(ledger):
+        return ledger.table().select("blob", F.explode("versions")).count()
+
+    ledger, rules = secretscan.BlobLedger(spark), secretscan.RULES
     one = spark.createDataFrame([(1, "password=abcdefgh"), (2, "clean"), (3, "password=abcdefgh")], "doc_id long, text string")
     two = one.unionByName(spark.createDataFrame([(4, "AKIA" + "Q" * 16)], "doc_id long, text string"))
-    secretscan.scan_secrets(one, ledger).count()
-    assert ledger.table().count() == 2
-    found = {r.doc_id: len(r.spans) for r in secretscan.scan_secrets(two, ledger).collect()}
-    assert ledger.table().count() == 3 and found == {1: 1, 2: 0, 3: 1, 4: 1}
-    secretscan.scan_secrets(two, ledger, secretscan.RULES[:1], "other").count()
-    assert ledger.table().count() == 6
+    secretscan.scan_secrets(one, ledger, rules).count()
+    assert ledger.table().count() == 2 and pairs(ledger) == 6
+    found = {r.doc_id: len(r.spans) for r in secretscan.scan_secrets(two, ledger, rules).collect()}
+    assert pairs(ledger) == 9 and found == {1: 1, 2: 0, 3: 1, 4: 1}
+    changed = secretscan.Rule("assign", rules[0].pattern, 2, 9)
+    found = {r.doc_id: len(r.spans) for r in secretscan.scan_secrets(two, ledger, (changed, *rules[1:])).collect()}
+    assert pairs(ledger) == 12 and found == {1: 0, 2: 0, 3: 0, 4: 1}
+    secretscan.scan_secrets(two, ledger, rules[:1]).count()
+    assert pairs(ledger) == 12
+
+
+def test_ledger_keeps_versions_of_rules_apart(spark):
+    table = spark.createDataFrame([(1, "password=abcdefgh AKIA" + "Q" * 16)], "doc_id long, text string")
+    ledger = secretscan.BlobLedger(spark)
+    assert [len(secretscan.scan_secrets(table, ledger, secretscan.RULES[:n]).first().spans) for n in (1, 3, 1)] == [1, 2, 1]
+    # Two scans at once may both append; a finding counts once, and so does its row.
+    ledger.table().write.mode("append").parquet(ledger.path + "-again")
+    spark.read.parquet(ledger.path + "-again").write.mode("append").parquet(ledger.path)
+    again = secretscan.scan_secrets(table, ledger, secretscan.RULES).collect()
+    assert len(again) == 1 and len(again[0].spans) == 2
+
+
+def test_report_scans_in_two_steps_and_adds_spans(spark):
+    key, token = "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9
+    rows = [(i, f"text {i} token=abcdef{i}") for i in range(40)] + [(40, key), (41, f"see {token} and secret: hunter22"), (42, key), (43, None), (44, "")]
+    table, ledger = spark.createDataFrame(rows, "doc_id long, text string"), secretscan.BlobLedger(spark)
+    got = {r.doc_id: r for r in secretscan.secret_report(table, ledger).collect()}
+    steps = {r["n"]: r["count"] for r in ledger.table().select(F.size("versions").alias("n")).groupBy("n").count().collect()}
+    # Blobs of the first step meet three rules there and three in the second; the others all six at once.
+    assert set(steps) == {3, 6} and steps[3] // 2 + steps[6] == 43 and steps[3] % 2 == 0 and steps[3] > 0
+    assert got[40].spans == f"pem:0:{len(key)}" and got[42].spans == got[40].spans and got[40].n_assign == 0
+    assert got[41].spans == f"github:4:{4 + len(token)},assign:{9 + len(token)}:{25 + len(token)}"
+    assert got[41].base_sha256 == hashlib.sha256(f"assign:{9 + len(token)}:{25 + len(token)}".encode()).hexdigest() and got[43].spans == ""
+    before = ledger.table().count()
+    secretscan.secret_report(table, ledger).count()
+    assert ledger.table().count() == before
 
 
 def test_redaction(spark):
