@@ -155,14 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, **options) ->
     """Fit on at most ``sample`` labelled rows outside the held-out fold, those of the smallest id hashes.
 
     ``labels(doc_id, quality)``; rows with a null in either take no part, and a
-    doc_id with several labels counts by its largest. With one class only, or
-    none, the model gives every text the same score.
+    doc_id with several labels counts by its largest, one with several texts by
+    the smallest of them. With one class only, or none, the model gives every text the same score.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` ids, whatever the input's size.
-    rows = with_statistics(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", *STATISTICS).collect()
+    # At most ``sample`` rows, whatever the input's size: an id counts once.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    once = texts.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = with_statistics(once).join(F.broadcast(picked), "doc_id").orderBy("doc_id", *STATISTICS).collect()
     x = np.array([[r[s] for s in STATISTICS] for r in rows], float).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([float(r["quality"] > 0) for r in rows]), **options)
 

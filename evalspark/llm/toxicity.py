@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, most_features:
     tell the classes apart best are used.
 
     ``labels(doc_id, toxic)``; rows with a null in either take no part, and a
-    doc_id with several labels counts by its largest. Without both classes the
-    model says what it has seen: all clean (also when nothing is labelled), or all toxic.
+    doc_id with several labels counts by its largest, one with several texts by
+    the smallest of them. Without both classes the model says what it has seen: all clean (also when nothing is labelled), or all toxic.
     """
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -178,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, most_features:
     order = F.xxhash64("doc_id")
     picked = known.where("toxic").orderBy(order, "doc_id").limit(sample).unionByName(known.where("not toxic").orderBy(order, "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most two samples of ids, whatever the input's size.
-    taken = Scratch(docs.sparkSession, "toxicity").save(texts.join(F.broadcast(picked), "doc_id").select("toxic", "text").repartition(16), "sample")
+    # At most two samples of rows, whatever the input's size: an id counts once.
+    once = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    taken = Scratch(docs.sparkSession, "toxicity").save(once.select("toxic", "text").repartition(16), "sample")
     held = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = held.get(True, 0), held.get(False, 0)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5

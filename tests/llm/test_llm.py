@@ -435,6 +435,66 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.severity <= 3 and (r.severity >= r.probability - 1e-12) for r in got)
 
 
+def test_fits_take_an_id_once(spark, monkeypatch):
+    """20 labels and one id with 30,000 texts: the fits see 20 rows."""
+    docs = spark.range(20).select("id", F.concat(F.lit("word "), F.col("id")).alias("text")).unionByName(spark.range(30_000).select(F.lit(3).cast("long").alias("id"), F.concat(F.lit("other "), F.col("id")).alias("text"))).withColumnRenamed("id", "doc_id")
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda names, strength, row, column, value, sizes, toxic, natural: seen.append(len(toxic)))
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    toxicity.train(docs, labels)
+    quality.train(docs, labels)
+    assert seen == [20, sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))]
+
+
+def test_toxicity_fit_against_a_plain_descent():
+    """No small move of the parameters lowers the loss that the fit has reached."""
+    rng = np.random.default_rng(5)
+    n, d = 80, 3
+    counts = rng.poisson(1.0, (n, d))
+    toxic = counts[:, 0] + rng.normal(size=n) * 0.5 > 1.2
+    row, column = np.nonzero(counts)
+    sizes = np.full(n, 20.0)
+    model = toxicity.fit([f"f{i}" for i in range(d)], np.array([6.0, 0.0, 0.0]), row, column, counts[row, column].astype(float), sizes, toxic, 0.3, steps=2000)
+    damp = 1 + sizes / toxicity.LENGTH
+    density = counts[:, 0] / sizes
+    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, density, "right"), 0)
+    weight = np.where(toxic, 0.3 / toxic.sum(), 0.7 / (~toxic).sum())
+
+    def loss(w, extra, theta):
+        z = (counts @ w + sizes / toxicity.LENGTH * extra[0] + extra[1]) / damp
+        above = np.column_stack([np.ones(n), 1 / (1 + np.exp(-(z[:, None] - theta[None, :]))), np.zeros(n)])
+        return -(weight * np.log(above[np.arange(n), grade] - above[np.arange(n), grade + 1])).sum() + 1.5e-4 * (w**2).sum()
+
+    w, extra, theta = np.array(list(model.weights.values())), np.array([model.length_weight, model.short_weight]), np.array(model.thresholds)
+    best = loss(w, extra, theta)
+    for _ in range(300):
+        step = rng.normal(size=d + 3) * 0.05
+        moved = theta + step[d:]
+        if (np.diff(moved) > 0).all():
+            assert loss(w + step[:d], extra, moved) >= best - 1e-4
+    assert model.weights["f0"] > 1 and (np.diff(theta) > 0).all()
+
+
+def test_toxicity_catches_what_it_has_not_seen(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = toxicity.train(docs, labels.where("doc_id % 4 <> 0"))
+    got = toxicity.score(docs, model).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").where("doc_id % 4 = 0").collect()
+    assert np.mean([r.toxic for r in got if r.truth == 1]) > 0.9 and np.mean([r.toxic for r in got if r.truth == 0]) < 0.01
+
+
+def test_toxicity_on_odd_rows(spark):
+    model = toxicity.SeverityModel({"=badword": 9.0}, 0.0, -4.0, (0.0, 1.0, 2.0))
+    rows = [(1, None), (2, ""), (3, " .. "), (4, "badword badword"), (4, "badword badword"), (None, "badword " * 50_000), (5, "calm words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"toxic": F.lit("x"), "severity": F.lit("y")})
+    got = [(r.doc_id, r.toxic, round(r.severity, 2)) for r in toxicity.score(docs, model).collect()]
+    assert [g[1] for g in got] == [False, False, False, True, True, True, False] and [g[2] for g in got[:3]] == [0, 0, 0] and got[3] == got[4] and got[3][2] > 2
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 5])
+
+
 def test_toxicity_edges(spark, docs, rows):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     got = toxicity.score(docs, model).collect()
