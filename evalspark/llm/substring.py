@@ -8,8 +8,9 @@ carries on is not lost at a boundary. Factors have ``window`` words at least, an
 their words are removed.
 
 References are cut into blocks. A block is named by an anchor, the smallest 8-word
-hash inside a window, and holds all windows around one place of it; equal windows
-always lie in blocks of one name. Anchors are counted first, and only blocks whose
+hash inside a window, and holds all windows around one place of it, or around
+places that follow one another closely; equal windows always lie in blocks of one
+name. Anchors are counted first, and only blocks whose
 anchor occurs again are stored. Blocks of one name are read in the order of their
 documents: each is factored against every block before it, by exact comparison of
 words, and its literals join the index. Factors that meet or overlap at the edges
@@ -60,6 +61,16 @@ def _anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, window_min(grams, window - k + 1)
 
 
+def _runs(grams: np.ndarray, named: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the named grams, where places of one gram are joined if a window can hold both or they adjoin."""
+    at = np.flatnonzero(np.isin(grams, named))
+    at = at[np.argsort(grams[at], kind="stable")]
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = (grams[at[1:]] != grams[at[:-1]]) | (np.diff(at) > window - _gram(window) + 1) if len(at) else []
+    edge = np.flatnonzero(new)
+    return at[edge[:-1]], at[edge[1:] - 1]
+
+
 def _digest(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
@@ -73,10 +84,9 @@ def _scanner(window: int):
                 counts[i], digests[i] = len(ws), _digest(ws)
                 if len(h) >= window:
                     grams, least = _anchors(h, window)
-                    #: An anchor counts once for each place of its gram in a window that it names.
-                    chosen = np.unique(least)
-                    places = grams[np.isin(grams, chosen)]
-                    lists[i] = places.view(np.int64)
+                    #: An anchor counts once for each of its blocks, and twice for a block with several places.
+                    first, last = _runs(grams, np.unique(least), window)
+                    lists[i] = grams[np.repeat(first, 1 + (last > first))].view(np.int64)
             sizes = np.array([0 if x is None else len(x) for x in lists])
             flat = np.concatenate([np.empty(0, np.int64), *(x for x in lists if x is not None)])
             anchors = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), flat)
@@ -86,7 +96,7 @@ def _scanner(window: int):
 
 
 def _blocker(window: int):
-    """The block of each place of a named anchor: the words of all windows that hold it."""
+    """The blocks of a document's named anchors: the words of all windows that hold one place, or joined places."""
     k = _gram(window)
     reach = window - k
 
@@ -98,9 +108,10 @@ def _blocker(window: int):
                 anchors = named[i].values.field("anchor").to_numpy(zero_copy_only=False)
                 chunks = dict(zip(anchors.tolist(), named[i].values.field("chunks").to_pylist(), strict=True))
                 grams = rolling(h, k).view(np.int64)
-                for p in np.flatnonzero(np.isin(grams, anchors)).tolist():
-                    begin, g = max(0, p - reach), int(grams[p])
-                    rows.append((g, hash((ids[i], marks[i])) % chunks[g], chunks[g] > 1, ids[i], marks[i], begin, b" ".join(ws[begin : p + window])))
+                first, last = _runs(grams, anchors, window)
+                for p, q, g in zip(first.tolist(), last.tolist(), grams[first].tolist(), strict=True):
+                    begin = max(0, p - reach)
+                    rows.append((g, hash((ids[i], marks[i])) % chunks[g], chunks[g] > 1, ids[i], marks[i], begin, b" ".join(ws[begin : q + window])))
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK.types, strict=True)], schema=_BLOCK)
 
