@@ -133,7 +133,7 @@ def unsafe_rate(spark, d):
 SELECT run_id, c.ord AS ord, c.name AS name, round(c.actual, 9) AS actual, c.passed AS passed FROM checks""")
 def acceptance_checks(spark, d):
     found = acceptance.acceptance(evaluate(T.images(spark, d), CONFIG), acceptance.Thresholds(0.5, 0.2037, 0.5037, 0.5))
-    return _r(found.drop("threshold"), "actual")
+    return _r(found.drop("threshold", "detail"), "actual")
 
 
 @query(f"""{_RUNS}, fired AS (SELECT run_id, unnest(list_filter([
@@ -144,7 +144,39 @@ def acceptance_checks(spark, d):
 SELECT run_id, r.ord AS ord, r.stage AS stage, r.metric AS metric, round(r.value, 9) AS value FROM fired""")
 def recommend_rules(spark, d):
     floors = acceptance.Floors(max_unsafe_rate=0.6, min_identity=0.5037, min_clip_score=0.4037, min_aesthetic=0.3037, min_preference=0.5037)
-    return _r(acceptance.recommend(evaluate(T.images(spark, d), CONFIG), floors), "value")
+    return _r(acceptance.recommend(evaluate(T.images(spark, d), CONFIG), floors).drop("issue", "action", "threshold"), "value")
+
+
+@query(f"""{_RUNS} SELECT run_id, 'pass_rate ' || format('{{:.2f}}', pass_rate) || ' vs threshold 0.75 — ' || CASE WHEN run_passed THEN 'passed' WHEN pending THEN 'pending review' ELSE 'failed' END
+ || ' (' || n_passed || '/' || n_groups || ' groups passed, ' || n_needs_hitl || ' need review)' AS reasons FROM runs""")
+def verdict_reasons(spark, d):
+    runs = rollup.verdicts(rollup.roll_up(_gated(spark, d)))
+    return runs.select("run_id", F.array_join(rollup.verdict_reasons(runs), "; ").alias("reasons"))
+
+
+@query(f"""WITH {T.IMAGES}, {T.COMPOSITE}, {T.GATED}, r AS (SELECT run_id, unnest(CASE WHEN safety < 0.1 OR identity < 0.2 THEN list_filter([CASE WHEN identity < 0.2 THEN 'identity ' || format('{{:.3f}}', identity) || ' < hard gate 0.200' END,
+ CASE WHEN safety < 0.1 THEN 'safety ' || format('{{:.3f}}', safety) || ' < hard gate 0.100' END], lambda x: x IS NOT NULL) WHEN composite <= 0.4 THEN ['low composite'] END) AS note FROM gated) SELECT run_id, note, count(*) AS n FROM r GROUP BY ALL""")
+def gate_notes(spark, d):
+    """Notes of failed images; the composite's own digits are left out, for its sums differ in their last bits."""
+    config = S.GateConfig(hard_gates={"identity": 0.2, "safety": 0.1})
+    rows = rollup.gate(T.images(spark, d), config).select("run_id", F.explode(S.notes(config)).alias("note"))
+    return rows.withColumn("note", F.when(F.col("note").startswith("composite"), "low composite").otherwise(F.col("note"))).groupBy("run_id", "note").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_RUNS}, c AS (SELECT run_id, unnest([{{'ord': 1, 'detail': 'pass_rate ' || format('{{:.3f}}', pass_rate) || CASE WHEN pass_rate >= 0.5 THEN ' >= ' ELSE ' < ' END || '0.500'}},
+ {{'ord': 2, 'detail': '95% Wilson lower bound ' || format('{{:.3f}}', ci_low) || ' (' || n_passed || '/' || n_groups || ')' || CASE WHEN ci_low >= 0.2037 THEN ' >= ' ELSE ' < ' END || '0.204'}},
+ {{'ord': 3, 'detail': 'identity not measured'}}, {{'ord': 4, 'detail': 'unsafe rate ' || format('{{:.3f}}', unsafe_rate) || CASE WHEN unsafe_rate <= 0.5 THEN ' <= ' ELSE ' > ' END || '0.500'}}]) AS c FROM runs) SELECT run_id, c.ord AS ord, c.detail AS detail FROM c""")
+def acceptance_details(spark, d):
+    runs = evaluate(T.images(spark, d), CONFIG).withColumn("mean_identity", F.lit(None).cast("double"))
+    return acceptance.acceptance(runs, acceptance.Thresholds(0.5, 0.2037, 0.5037, 0.5)).select("run_id", "ord", "detail")
+
+
+@query(f"""{_RUNS} SELECT run_id, 0 AS ord, 'unsafe outputs' AS issue, 'filter/re-caption training data to remove unsafe content' AS action, 0.6::DOUBLE AS threshold FROM runs WHERE unsafe_rate > 0.6
+UNION ALL SELECT run_id, 4, 'technical/aesthetic quality low', 'revisit training config (learning rate / steps) or the base checkpoint', 0.3037 FROM runs WHERE mean_aesthetic < 0.3037
+UNION ALL SELECT run_id, 7, 'borderline results awaiting review', 'run a HITL review on the needs-review band before deciding', NULL FROM runs WHERE pending""")
+def recommend_texts(spark, d):
+    floors = acceptance.Floors(max_unsafe_rate=0.6, min_identity=None, min_clip_score=None, min_aesthetic=0.3037)
+    return acceptance.recommend(evaluate(T.images(spark, d), CONFIG), floors).select("run_id", "ord", "issue", "action", "threshold")
 
 
 @query(f"{_RUNS} SELECT run_id, n_images, run_passed, pending, count(*) AS n FROM runs GROUP BY ALL")
@@ -175,7 +207,7 @@ SELECT value, n_runs, n_groups, n_passed, round(pass_rate, 9) AS pass_rate, roun
 
 
 def _slice(spark, d, dimension):
-    return _r(crossrun.slice_pass_rate(_store(spark, d), dimension).drop("dimension"), "pass_rate", "ci_low", "ci_high")
+    return _r(crossrun.slice_pass_rate(_store(spark, d), dimension).drop("dimension", "text"), "pass_rate", "ci_low", "ci_high")
 
 
 @query(_slice_sql("base_checkpoint"))
@@ -198,12 +230,55 @@ def slice_label_json(spark, d):
     return _slice(spark, d, "label:arm")
 
 
-_BEST = _slice_sql("lora_weight").rpartition("ranked AS")[0]
+# A factor that the outcome depends on: the run's mean identity, in quarters.
+_SPLIT = _STORE.replace("CASE WHEN o_custkey % 5 > 0 THEN round((o_custkey % 5) / 4.0::DOUBLE, 4) END AS lora_weight", "CASE WHEN n_images > 1 THEN floor(mean_identity * 4) / 4 END AS lora_weight")
+_BEST = _slice_sql("lora_weight", _SPLIT).rpartition("ranked AS")[0] + "r2 AS (SELECT *, row_number() OVER (ORDER BY ci_low DESC, pass_rate DESC, value) AS p FROM slices WHERE value IS NOT NULL)"
+
 
+def _split_store(spark, d):
+    return _store(spark, d).withColumn("lora_weight", F.when(F.col("n_images") > 1, F.floor(F.col("mean_identity") * 4) / 4))
 
-@query(_BEST + "r2 AS (SELECT *, row_number() OVER (ORDER BY ci_low DESC, pass_rate DESC, value) AS p FROM slices WHERE value IS NOT NULL) SELECT a.value AS value, round(a.ci_low, 9) AS ci_low FROM r2 a JOIN r2 b ON a.p = 1 AND b.p = 2 AND a.ci_low > b.ci_high")
+
+@query(_BEST + " SELECT a.value AS value, round(a.ci_low, 9) AS ci_low FROM r2 a JOIN r2 b ON a.p = 1 AND b.p = 2 AND a.ci_low > b.ci_high")
 def best_cell(spark, d):
-    return _r(crossrun.clear_winner(crossrun.slice_pass_rate(_store(spark, d), "lora_weight")).select("value", "ci_low"), "ci_low")
+    return _r(crossrun.clear_winner(crossrun.slice_pass_rate(_split_store(spark, d), "lora_weight")).select("value", "ci_low"), "ci_low")
+
+
+@query(_BEST + """ SELECT 9 AS ord, 'weight' AS stage, 'lora_weight outcome varies across runs' AS issue, 'prefer lora_weight=' || chr(39) || a.value || chr(39) || ' (highest evidence-adjusted pass-rate, lower bound ' || format('{:.2f}', a.ci_low) || ')' AS action,
+ 'pass_rate' AS metric, round(a.pass_rate, 9) AS value FROM r2 a JOIN r2 b ON a.p = 1 AND b.p = 2 AND a.ci_low > b.ci_high""")
+def recommend_store(spark, d):
+    return _r(acceptance.recommend_from_store(_split_store(spark, d)).where("stage = 'weight'").drop("threshold"), "value")
+
+
+@query(_slice_sql("CASE lora_weight WHEN 0.25 THEN '0.000125' WHEN 0.5 THEN '0.00025' WHEN 0.75 THEN '0.000375' WHEN 1 THEN '0.0005' END"))
+def slice_weight_text(spark, d):
+    """Small weights as the reports write them, not as 1.25E-4; null stays a cell of its own."""
+    store = _store(spark, d).withColumn("lora_weight", F.col("lora_weight") / 2000)
+    cells = crossrun.slice_pass_rate(store, "lora_weight").withColumn("value", F.col("text"))
+    return _r(cells.drop("dimension", "text"), "pass_rate", "ci_low", "ci_high")
+
+
+@query(f"""{ROLLED}, tails AS (SELECT run_id, min(safety) AS safety_min, count(*) FILTER (safety < 0.5) / count(safety)::DOUBLE AS hit FROM images GROUP BY run_id),
+s AS (SELECT *, {_LOW} AS lo, {_HIGH} AS hi FROM rolled JOIN tails USING (run_id) JOIN orders ON o_orderkey = run_id)
+SELECT run_id, 't' || (o_custkey % 10) AS training_run_id, o_orderpriority AS base_checkpoint, 'sha-' || o_orderpriority AS base_checkpoint_sha, CASE o_custkey % 3 WHEN 1 THEN 'one' WHEN 2 THEN 'one+two' END AS lora,
+ CASE o_custkey % 3 WHEN 1 THEN 'sha-one' END AS lora_sha, CASE o_custkey % 3 WHEN 1 THEN 0.6667 END::DOUBLE AS lora_weight, 'p' || o_custkey AS prompt, n_images, n_groups, n_passed, n_needs_hitl, round(pass_rate, 9) AS pass_rate,
+ round(lo, 9) AS pass_rate_ci_low, round(hi, 9) AS pass_rate_ci_high, round((o_orderkey % 7) / 7.0::DOUBLE, 9) AS diversity, round(safety_min, 9) AS safety_min, round(hit, 9) AS safety_hit_rate,
+ '1.3' AS proof_version, CASE o_custkey % 2 WHEN 1 THEN 'clip@2,plain' END AS scorers, NULL::VARCHAR AS created_at, o_orderstatus AS step_config, '{{"arm":"' || (o_custkey % 3) || '"}}' AS labels FROM s""")
+def run_stats(spark, d):
+    """All 23 columns of the cross-run store; an order is a run and says what made it."""
+    orders = T.read(spark, d, "orders")
+    key = F.col("o_custkey")
+    lora = F.struct(F.lit("one").alias("name"), F.lit("sha-one").alias("sha256"), F.lit(2 / 3).alias("weight"))
+    other = F.struct(F.lit("two").alias("name"), F.lit("sha-two").alias("sha256"), F.lit(0.5).alias("weight"))
+    loras = F.when(key % 3 == 1, F.array(lora)).when(key % 3 == 2, F.array(lora, other)).otherwise(F.array().cast("array<struct<name:string,sha256:string,weight:double>>"))
+    manifests = orders.select(
+        F.col("o_orderkey").alias("run_id"), F.concat(F.lit("t"), (key % 10).cast("string")).alias("training_run_id"), F.struct(F.col("o_orderpriority").alias("name"), F.concat(F.lit("sha-"), "o_orderpriority").alias("sha256")).alias("base_checkpoint"),
+        loras.alias("loras"), F.concat(F.lit("p"), key.cast("string")).alias("prompt"), F.lit(None).cast("string").alias("created_at"), F.col("o_orderstatus").alias("step_config"), F.to_json(F.struct((key % 3).cast("string").alias("arm"))).alias("labels"),
+    )
+    scorers = F.when(key % 2 == 1, F.array(F.struct(F.lit("clip").alias("name"), F.lit("2").alias("version")), F.struct(F.lit("plain").alias("name"), F.lit(None).cast("string").alias("version"))))
+    reports = orders.select(F.col("o_orderkey").alias("run_id"), ((F.col("o_orderkey") % 7) / 7).alias("diversity"), F.lit("1.3").alias("proof_version"), scorers.alias("scorers"))
+    rolled = rollup.roll_up(_gated(spark, d)).join(reports, "run_id")
+    return _r(crossrun.run_stats(manifests, rolled, rollup.safety_tail(T.images(spark, d))), "pass_rate", "pass_rate_ci_low", "pass_rate_ci_high", "diversity", "safety_min", "safety_hit_rate")
 
 
 @query("""WITH log AS (SELECT o_custkey AS run_id, o_totalprice AS pass_rate, o_orderdate AS batch, o_orderkey AS ord FROM orders)

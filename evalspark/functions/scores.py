@@ -64,8 +64,24 @@ def composite(config: GateConfig) -> Column:
 
 def hard_reasons(config: GateConfig) -> Column:
     """A reason for each measured metric under its floor."""
-    found = [F.when(below(F.col(m), floor), F.struct(F.lit(REJECT_CODE.get(m, "other")).alias("code"), F.lit(m).alias("metric"))) for m, floor in config.hard_gates.items() if m in METRICS]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<code:string,metric:string>>")
+    from .text import fixed
+
+    def reason(m: str, floor: float) -> Column:
+        note = F.concat(F.lit(f"{m} "), fixed(F.col(m), 3), F.lit(f" < hard gate {floor:.3f}"))
+        return F.when(below(F.col(m), floor), F.struct(F.lit(REJECT_CODE.get(m, "other")).alias("code"), F.lit(m).alias("metric"), note.alias("note")))
+
+    found = [reason(m, floor) for m, floor in config.hard_gates.items() if m in METRICS]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<code:string,metric:string,note:string>>")
+
+
+def notes(config: GateConfig) -> Column:
+    """What the decision says of a failed image: a note for each broken gate, or that its composite is too low."""
+    from .text import fixed
+
+    passed, codes = decide(config)
+    low = F.concat(F.lit("composite "), fixed(composite(config), 3), F.lit(f" <= auto_fail {config.auto_fail:.3f}"))
+    hard = F.transform(hard_reasons(config), lambda r: r["note"])
+    return F.when(F.size(hard) > 0, hard).when(~passed, F.array(low)).otherwise(F.array().cast("array<string>"))
 
 
 def decide(config: GateConfig) -> tuple[Column, Column]:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import unsafe
 from ..functions.stats import wilson
+from ..functions.text import fixed, quoted
+from .crossrun import clear_winner, slice_pass_rate
 
 
 def unsafe_rate(gated: DataFrame, floor: float = 0.5) -> DataFrame:
@@ -26,7 +28,7 @@ class Thresholds:
 
 
 def acceptance(runs: DataFrame, t: Thresholds | None = None) -> DataFrame:
-    """``run_id, ord, name, actual, threshold, passed`` for each configured check, in order.
+    """``run_id, ord, name, actual, threshold, passed, detail`` for each configured check, in order.
 
     A check of a metric that was not measured fails. Nothing configured rejects
     each run with the one row ``no_checks``. ``runs`` has the roll-up's columns
@@ -36,23 +38,26 @@ def acceptance(runs: DataFrame, t: Thresholds | None = None) -> DataFrame:
     n = F.coalesce("n_groups", "n_images")
     low, _ = wilson(F.least("n_passed", n), n, t.confidence)
 
-    def row(ord_: int, name: str, actual: Column, bar: float, ok: Column) -> Column:
+    def row(ord_: int, name: str, actual: Column, bar: float, ok: Column, text: str, signs: tuple[str, str] = (">=", "<"), middle: Column | str = "") -> Column:
         sound = F.coalesce(ok & ~F.isnan(actual), F.lit(False))
-        return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), actual.cast("double").alias("actual"), F.lit(float(bar)).alias("threshold"), sound.alias("passed"))
+        middle = F.lit(middle) if isinstance(middle, str) else middle
+        said = F.concat(F.lit(f"{text} "), fixed(actual, 3), middle, F.when(sound, f" {signs[0]} ").otherwise(f" {signs[1]} "), F.lit(f"{bar:.3f}"))
+        detail = F.when(actual.isNull(), F.lit(f"{name.removesuffix('_mean')} not measured")).otherwise(said)
+        return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), actual.cast("double").alias("actual"), F.lit(float(bar)).alias("threshold"), sound.alias("passed"), detail.alias("detail"))
 
     rows = []
     if t.min_pass_rate is not None:
-        rows.append(row(1, "pass_rate", F.col("pass_rate"), t.min_pass_rate, F.col("pass_rate") >= t.min_pass_rate))
+        rows.append(row(1, "pass_rate", F.col("pass_rate"), t.min_pass_rate, F.col("pass_rate") >= t.min_pass_rate, "pass_rate"))
     if t.min_pass_rate_ci_lower is not None:
-        rows.append(row(2, "pass_rate_ci_lower", low, t.min_pass_rate_ci_lower, low >= t.min_pass_rate_ci_lower))
+        rows.append(row(2, "pass_rate_ci_lower", low, t.min_pass_rate_ci_lower, low >= t.min_pass_rate_ci_lower, f"{t.confidence:.0%} Wilson lower bound", middle=F.format_string(" (%d/%d)", F.least("n_passed", n), n)))
     if t.min_identity is not None:
-        rows.append(row(3, "identity_mean", F.col("mean_identity"), t.min_identity, F.col("mean_identity") >= t.min_identity))
+        rows.append(row(3, "identity_mean", F.col("mean_identity"), t.min_identity, F.col("mean_identity") >= t.min_identity, "identity mean"))
     if t.max_unsafe_rate is not None:
         rate = F.coalesce("unsafe_rate", F.lit(0.0))
-        rows.append(row(4, "unsafe_rate", rate, t.max_unsafe_rate, rate <= t.max_unsafe_rate))
+        rows.append(row(4, "unsafe_rate", rate, t.max_unsafe_rate, rate <= t.max_unsafe_rate, "unsafe rate", ("<=", ">")))
     if not rows:
         none = F.lit(None).cast("double")
-        rows.append(F.struct(F.lit(0).alias("ord"), F.lit("no_checks").alias("name"), none.alias("actual"), none.alias("threshold"), F.lit(False).alias("passed")))
+        rows.append(F.struct(F.lit(0).alias("ord"), F.lit("no_checks").alias("name"), none.alias("actual"), none.alias("threshold"), F.lit(False).alias("passed"), F.lit("no acceptance thresholds configured").alias("detail")))
     return runs.select("run_id", F.explode(F.array(*rows)).alias("c")).select("run_id", "c.*")
 
 
@@ -73,8 +78,38 @@ class Floors:
     min_diversity: float | None = 0.3
 
 
+# What a rule says is wrong, and what to do, by stage and metric.
+ADVICE = {
+    ("lens", "unsafe_rate"): ("unsafe outputs", "filter/re-caption training data to remove unsafe content"),
+    ("lens", "safety"): ("unsafe outputs", "filter/re-caption training data to remove unsafe content"),
+    ("forge", "identity"): ("identity didn't transfer", "add/curate more identity-representative training images, or adjust training steps/rank"),
+    ("lens", "clip_score"): ("prompt adherence low", "outputs drift from the prompt \u2014 revisit the captioning strategy (more descriptive captions)"),
+    ("grid", "clip_score"): ("prompt adherence low", "try different prompt / token combinations in the grid"),
+    ("forge", "aesthetic"): ("technical/aesthetic quality low", "revisit training config (learning rate / steps) or the base checkpoint"),
+    ("forge", "preference"): ("human-preference proxy low", "the LoRA's outputs are under-preferred \u2014 revisit training data quality / config"),
+    ("grid", "diversity"): ("low output diversity", "widen the token/prompt axes; if the LoRA reproduces training data, reduce training (overfit)"),
+    ("refine", "pass_rate"): ("borderline results awaiting review", "run a HITL review on the needs-review band before deciding"),
+}
+# The factors in which a clear winner is recommended, and their stages.
+FACTORS = (("base_checkpoint", "checkpoint"), ("lora_weight", "weight"))
+
+
+def recommend_from_store(store: DataFrame) -> DataFrame:
+    """``ord, stage, issue, action, metric, value, threshold``: the checkpoint and the weight whose interval lies above all others, if any does."""
+    out = None
+    for ord_, (dimension, stage) in enumerate(FACTORS, 8):
+        best = clear_winner(slice_pass_rate(store, dimension))
+        action = F.concat(F.lit(f"prefer {dimension}="), quoted(F.col("text")), F.lit(" (highest evidence-adjusted pass-rate, lower bound "), fixed(F.col("ci_low"), 2), F.lit(")"))
+        row = best.select(
+            F.lit(ord_).alias("ord"), F.lit(stage).alias("stage"), F.lit(f"{dimension} outcome varies across runs").alias("issue"), action.alias("action"),
+            F.lit("pass_rate").alias("metric"), F.col("pass_rate").alias("value"), F.lit(None).cast("double").alias("threshold"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def recommend(runs: DataFrame, floors: Floors | None = None) -> DataFrame:
-    """``run_id, ord, stage, metric, value`` of the rules that fire. A metric that was not measured fires none; NaN does."""
+    """``run_id, ord, stage, metric, value, issue, action, threshold`` of the rules that fire. A metric that was not measured fires none; NaN does."""
     f = floors or Floors()
 
     def under(value: Column, floor: float | None) -> Column:
@@ -83,14 +118,19 @@ def recommend(runs: DataFrame, floors: Floors | None = None) -> DataFrame:
     safe = F.lit(False) if f.max_unsafe_rate is None else F.coalesce(F.col("unsafe_rate") > f.max_unsafe_rate, F.lit(False))
     mean_safe = F.lit(False) if f.max_unsafe_rate is None else F.col("unsafe_rate").isNull() & under(F.col("mean_safety"), f.min_safety)
     rules = [
-        (0, "lens", "unsafe_rate", F.col("unsafe_rate"), safe), (0, "lens", "safety", F.col("mean_safety"), mean_safe),
-        (1, "forge", "identity", F.col("mean_identity"), under(F.col("mean_identity"), f.min_identity)),
-        (2, "lens", "clip_score", F.col("mean_clip_score"), under(F.col("mean_clip_score"), f.min_clip_score)),
-        (3, "grid", "clip_score", F.col("mean_clip_score"), under(F.col("mean_clip_score"), f.min_clip_score)),
-        (4, "forge", "aesthetic", F.col("mean_aesthetic"), under(F.col("mean_aesthetic"), f.min_aesthetic)),
-        (5, "forge", "preference", F.col("mean_preference"), under(F.col("mean_preference"), f.min_preference)),
-        (6, "grid", "diversity", F.col("diversity"), under(F.col("diversity"), f.min_diversity)),
-        (7, "refine", "pass_rate", F.col("pass_rate"), F.col("pending")),
+        (0, "lens", "unsafe_rate", F.col("unsafe_rate"), safe, f.max_unsafe_rate), (0, "lens", "safety", F.col("mean_safety"), mean_safe, f.min_safety),
+        (1, "forge", "identity", F.col("mean_identity"), under(F.col("mean_identity"), f.min_identity), f.min_identity),
+        (2, "lens", "clip_score", F.col("mean_clip_score"), under(F.col("mean_clip_score"), f.min_clip_score), f.min_clip_score),
+        (3, "grid", "clip_score", F.col("mean_clip_score"), under(F.col("mean_clip_score"), f.min_clip_score), f.min_clip_score),
+        (4, "forge", "aesthetic", F.col("mean_aesthetic"), under(F.col("mean_aesthetic"), f.min_aesthetic), f.min_aesthetic),
+        (5, "forge", "preference", F.col("mean_preference"), under(F.col("mean_preference"), f.min_preference), f.min_preference),
+        (6, "grid", "diversity", F.col("diversity"), under(F.col("diversity"), f.min_diversity), f.min_diversity),
+        (7, "refine", "pass_rate", F.col("pass_rate"), F.col("pending"), None),
     ]
-    made = [F.when(fires, F.struct(F.lit(o).alias("ord"), F.lit(s).alias("stage"), F.lit(m).alias("metric"), v.cast("double").alias("value"))) for o, s, m, v, fires in rules]
+
+    def one(o: int, s: str, m: str, v: Column, floor: float | None) -> Column:
+        issue, action = ADVICE[s, m]
+        return F.struct(F.lit(o).alias("ord"), F.lit(s).alias("stage"), F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(issue).alias("issue"), F.lit(action).alias("action"), F.lit(floor).cast("double").alias("threshold"))
+
+    made = [F.when(fires, one(o, s, m, v, floor)) for o, s, m, v, fires, floor in rules]
     return runs.select("run_id", F.explode(F.array_compact(F.array(*made))).alias("r")).select("run_id", "r.*")

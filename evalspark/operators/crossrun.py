@@ -6,10 +6,10 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.stats import wilson
-from ..functions.text import label_of, lora_key
+from ..functions.text import fixed, label_of, lora_key, python_float
+from .numbering import numbered
 
 # The columns that pass rates may be sliced by, besides ``label:<key>``.
 DIMENSIONS = ("base_checkpoint", "lora", "lora_weight", "prompt", "training_run_id", "step_config")
@@ -26,9 +26,14 @@ def check_dimension(dimension: str) -> str | None:
 
 
 def run_stats(manifests: DataFrame, rolled: DataFrame, tails: DataFrame | None = None, confidence: float = 0.95) -> DataFrame:
-    """One row per run of manifest identity, counts, interval and, where safety was measured, its tail."""
+    """One row per run, in the store's columns: manifest identity, counts, interval, diversity, scorers and, where safety was measured, its tail.
+
+    ``rolled`` may hold ``diversity``, ``proof_version`` and ``scorers
+    array<struct<name,version>>`` of the report; what it lacks is null. Only a
+    single LoRA has a digest and a weight; several are one key of their own.
+    """
     single = F.size("loras") == 1
-    rows = rolled.join(manifests, "run_id")
+    rows = rolled.join(manifests.drop(*[c for c in ("diversity", "proof_version", "scorers") if c in rolled.columns]), "run_id")
     if tails is not None:
         rows = rows.join(tails, "run_id", "left")
         measured = F.col("mean_safety").isNotNull()
@@ -38,11 +43,17 @@ def run_stats(manifests: DataFrame, rolled: DataFrame, tails: DataFrame | None =
     n = F.coalesce("n_groups", "n_images")
     k = F.least("n_passed", n)
     low, high = wilson(k, n, confidence)
-    weight = F.when(single, F.round(F.col("loras")[0]["weight"], 4))
+    weight = F.when(single, fixed(F.col("loras")[0]["weight"], 4).cast("double"))
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name) if name in rolled.columns else F.lit(None).cast(kind)
+
+    named = F.transform(given("scorers", "array<struct<name:string,version:string>>"), lambda s: F.concat(s["name"], F.when(F.coalesce(s["version"], F.lit("")) != "", F.concat(F.lit("@"), s["version"])).otherwise("")))
     return rows.select(
         "run_id", "training_run_id", F.col("base_checkpoint.name").alias("base_checkpoint"), F.col("base_checkpoint.sha256").alias("base_checkpoint_sha"), lora_key(F.col("loras")).alias("lora"),
         F.when(single, F.col("loras")[0]["sha256"]).alias("lora_sha"), weight.alias("lora_weight"), "prompt", "n_images", n.alias("n_groups"), k.alias("n_passed"), "n_needs_hitl", "pass_rate",
-        low.alias("pass_rate_ci_low"), high.alias("pass_rate_ci_high"), *safety, "created_at", "step_config", "labels",
+        low.alias("pass_rate_ci_low"), high.alias("pass_rate_ci_high"),
+        given("diversity", "double").alias("diversity"), *safety, F.coalesce(given("proof_version", "string"), F.lit("")).alias("proof_version"), F.nullif(F.array_join(named, ","), F.lit("")).alias("scorers"), "created_at", "step_config", "labels",
     )
 
 
@@ -71,17 +82,26 @@ def slice_value(store: DataFrame, dimension: str) -> Column:
 
 
 def slice_pass_rate(store: DataFrame, dimension: str, confidence: float = 0.95) -> DataFrame:
-    """Runs pooled by a factor; null is a cell of its own. ``place`` ranks by interval's lower end, then rate, then value."""
+    """Runs pooled by a factor; null is a cell of its own. ``place`` ranks by interval's lower end, then rate, then value.
+
+    ``value`` keeps the factor's type; ``text`` is the same as the reports write it.
+    """
     value = slice_value(store, dimension)
     cells = store.groupBy(value.alias("value")).agg(F.count("*").alias("n_runs"), F.sum("n_groups").alias("n_groups"), F.sum("n_passed").alias("n_passed"))
     k = F.greatest(F.lit(0), F.least("n_passed", "n_groups"))
     low, high = wilson(k, F.col("n_groups"), confidence)
     out = cells.withColumns({"pass_rate": F.when(F.col("n_groups") > 0, F.col("n_passed") / F.col("n_groups")).otherwise(0.0), "ci_low": low, "ci_high": high})
-    place = F.row_number().over(W.orderBy(F.desc("ci_low"), F.desc("pass_rate"), F.asc_nulls_first("value")))  # one row per cell
-    return out.withColumn("place", place).withColumn("dimension", F.lit(dimension))
+    ranked = numbered(out, "place", *_best_first())
+    written = python_float(F.col("value")) if dict(out.dtypes)["value"] in ("double", "float") else F.col("value").cast("string")
+    return ranked.withColumns({"place": (F.col("place") + 1).cast("int"), "dimension": F.lit(dimension), "text": written})
+
+
+def _best_first() -> list[Column]:
+    return [F.desc("ci_low"), F.desc("pass_rate"), F.asc_nulls_first("value")]
 
 
 def clear_winner(sliced: DataFrame) -> DataFrame:
     """The first cell, if its interval lies above the second's; null cells do not compete."""
-    ranked = sliced.where("value is not null").withColumn("next_high", F.lead("ci_high").over(W.orderBy("place"))).withColumn("first", F.min("place").over(W.partitionBy()))
-    return ranked.where("place = first and ci_low > next_high").drop("next_high", "first")
+    two = sliced.where("value is not null").orderBy("place").limit(2)
+    pair = two.agg(F.min_by(F.struct(*sliced.columns), "place").alias("best"), F.max("place").alias("last"), F.max_by("ci_high", "place").alias("next_high"))
+    return pair.where("last > best.place and best.ci_low > next_high").select("best.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import METRICS, GateConfig, composite, decide
+from ..functions.scores import METRICS, GateConfig, composite, decide, unsafe
 from ..functions.stats import percentile
+from ..functions.text import fixed
 
 
 def gate(images: DataFrame, config: GateConfig | None = None) -> DataFrame:
@@ -25,22 +26,23 @@ def group_outcomes(gated: DataFrame) -> DataFrame:
 
     Two counts per (run, group) replace a row's own group key, so rows combine before the shuffle.
     """
+    unsafe_rows = F.count_if(unsafe()) if "reject_codes" in gated.columns else F.lit(None).cast("long")
     grouped = gated.groupBy("run_id", "duplicate_group").agg(
         F.count("*").alias("n_images"), F.max(_code()).alias("best"), F.count_if(_code() == 2).alias("n_pass"), F.count_if(_code() == 1).alias("n_open"),
-        *[F.sum(m).alias(f"sum_{m}") for m in METRICS], *[F.count(m).alias(f"n_{m}") for m in METRICS],
+        *[F.sum(m).alias(f"sum_{m}") for m in METRICS], *[F.count(m).alias(f"n_{m}") for m in METRICS], unsafe_rows.alias("n_unsafe"),
     )
     return grouped
 
 
 def roll_up(gated: DataFrame) -> DataFrame:
-    """One row per run: image and group counts, pass rate and the means of measured metrics."""
+    """One row per run: image and group counts, pass rate, share of unsafe images (of gated ones) and the means of measured metrics."""
     alone = F.col("duplicate_group").isNull()
     out = group_outcomes(gated).groupBy("run_id").agg(
         F.sum("n_images").alias("n_images"),
         F.sum(F.when(alone, F.col("n_images")).otherwise(1)).alias("n_groups"),
         F.sum(F.when(alone, F.col("n_pass")).when(F.col("best") == 2, 1).otherwise(0)).alias("n_passed"),
         F.sum(F.when(alone, F.col("n_open")).when(F.col("best") == 1, 1).otherwise(0)).alias("n_needs_hitl"),
-        *[(F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(f"mean_{m}") for m in METRICS],
+        (F.sum("n_unsafe") / F.sum("n_images")).alias("unsafe_rate"), *[(F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(f"mean_{m}") for m in METRICS],
     )
     return out.withColumn("pass_rate", F.when(F.col("n_groups") > 0, F.col("n_passed") / F.col("n_groups")).otherwise(0.0))
 
@@ -53,6 +55,15 @@ def verdicts(rolled: DataFrame, bar: float = 0.75) -> DataFrame:
     return rolled.withColumns({"run_passed": passed, "pending": pending})
 
 
+def verdict_reasons(runs: DataFrame, bar: float = 0.75) -> Column:
+    """The reasons of a verdict as text, from the columns of ``verdicts`` and, where it is there, ``diversity``."""
+    status = F.when(F.col("run_passed"), "passed").when(F.col("pending"), "pending review").otherwise("failed")
+    counts = F.format_string("(%d/%d groups passed, %d need review)", F.col("n_passed"), F.col("n_groups"), F.col("n_needs_hitl"))
+    first = F.concat(F.lit("pass_rate "), fixed(F.col("pass_rate"), 2), F.lit(f" vs threshold {bar:.2f} \u2014 "), status, F.lit(" "), counts)
+    spread = F.when(F.col("diversity").isNotNull(), F.concat(F.lit("diversity "), fixed(F.col("diversity"), 2))) if "diversity" in runs.columns else F.lit(None).cast("string")
+    return F.array_compact(F.array(first, spread))
+
+
 def safety_tail(images: DataFrame, threshold: float = 0.5, q: float = 0.05) -> DataFrame:
     """Per run over scored images only: any hit, hit rate (strictly under the threshold), minimum and low percentile; zeros when none is scored."""
     hit = F.count_if((F.col("safety") < threshold) & ~F.isnan("safety"))

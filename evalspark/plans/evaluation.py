@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import METRICS, GateConfig, checked
 from ..functions.stats import wilson
-from ..operators.acceptance import unsafe_rate
 from ..operators.rollup import gate, roll_up, verdicts
 from ..operators.similarity import diversity, group_labels
 
@@ -23,7 +22,7 @@ def evaluate(images: DataFrame, config: GateConfig | None = None, hashes: DataFr
     if hashes is not None:
         rows = rows.drop("duplicate_group").join(group_labels(hashes), ["run_id", "ordinal"], "left")
     gated = gate(rows, config)
-    out = verdicts(roll_up(gated), config.run_pass_rate).join(unsafe_rate(gated), "run_id")
+    out = verdicts(roll_up(gated), config.run_pass_rate)
     spread = diversity(hashes).select("run_id", "diversity") if hashes is not None else None
     out = out.join(spread, "run_id", "left") if spread is not None else out.withColumn("diversity", F.lit(None).cast("double"))
     low, high = wilson(F.col("n_passed"), F.col("n_groups"))
