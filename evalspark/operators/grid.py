@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_id, not_blank, run_id, strip
+from .numbering import numbered
 
 
 def base_prompts(prompts: DataFrame, most: int | None = None) -> DataFrame:
     """``pos, prompt``: stripped, blanks out, each once at its first place, the first ``most``; ``item`` from 0."""
-    from pyspark.sql import Window
-
     kept = prompts.where(not_blank(F.col("prompt"))).groupBy(strip(F.col("prompt")).alias("prompt")).agg(F.min("pos").alias("pos"))
     if most is not None:
         kept = kept.orderBy("pos").limit(most)
-    return kept.withColumn("item", F.row_number().over(Window.orderBy("pos")) - 1)  # a grid's prompts
+    return numbered(kept, "item", "pos")
 
 
 def combo_count(axes: Mapping[str, Sequence[str]], cap: int | None = None) -> int:
@@ -43,28 +42,27 @@ def token_combos(spark: SparkSession, axes: Mapping[str, Sequence[str]], cap: in
         size //= len(axes[k])
         parts.append(F.element_at(F.array(*[F.lit(v) for v in axes[k]]), (F.floor(F.col("id") / size) % len(axes[k]) + 1).cast("int")))
     text = F.concat_ws(", ", *parts) if parts else F.lit("")
-    order = F.row_number().over(_window("combo")) - 1 if capped else F.col("id")
-    return rows.withColumn("combo", text).select(order.cast("long").alias("combo_pos"), "combo")
-
-
-def _window(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*keys)
+    if capped:
+        return numbered(rows.select(text.alias("combo"), "id"), "combo_pos", "combo", "id").select("combo_pos", "combo")
+    return rows.select(F.col("id").alias("combo_pos"), text.alias("combo"))
 
 
 def prompt_items(bases: DataFrame, combos: DataFrame, flexibility: DataFrame | None = None) -> DataFrame:
     """``item, prompt, kind``: every base with every combo, then flexibility prompts as they are. Items count over both."""
     joined = F.when(F.col("combo") == "", F.col("prompt")).otherwise(F.concat_ws(", ", "prompt", "combo"))
-    made = bases.crossJoin(F.broadcast(combos)).select(F.lit("p").alias("kind"), F.col("item").alias("a"), F.col("combo_pos").alias("b"), joined.alias("prompt"))
+    n = combos.count()
+    # Every base takes the same number of items, so a number needs no sorting of the product.
+    made = bases.crossJoin(combos).select((F.col("item") * n + F.col("combo_pos")).alias("item"), F.lit("p").alias("kind"), joined.alias("prompt"))
     if flexibility is not None:
-        made = made.unionByName(flexibility.where(not_blank(F.col("prompt"))).select(F.lit("f").alias("kind"), F.col("pos").alias("a"), F.lit(0).cast("long").alias("b"), strip(F.col("prompt")).alias("prompt")))
-    return made.withColumn("item", F.row_number().over(_window(F.col("kind") == "f", "a", "b")) - 1).select("item", "kind", "prompt")
+        after = bases.count() * n
+        rest = numbered(flexibility.where(not_blank(F.col("prompt"))).select("pos", strip(F.col("prompt")).alias("prompt")), "item", "pos")
+        made = made.unionByName(rest.select((F.col("item") + after).alias("item"), F.lit("f").alias("kind"), "prompt"))
+    return made
 
 
 def expand(items: DataFrame, loras: DataFrame, weights: DataFrame, prefix: str) -> DataFrame:
     """One run for each checkpoint, weight and prompt. ``loras(lora_pos, lora)``, ``weights(weight_pos, weight)``."""
-    runs = F.broadcast(loras).crossJoin(F.broadcast(weights)).crossJoin(items)
+    runs = items.crossJoin(loras).crossJoin(weights)
     args = (F.lit(prefix), F.col("lora_pos").cast("int"), F.col("weight_pos").cast("int"), F.col("item").cast("int"))
     return runs.withColumn("run_id", F.when(F.col("kind") == "f", run_id(*args, kind="f")).otherwise(run_id(*args)))
 
@@ -90,9 +88,8 @@ def experiment_cells(bases: DataFrame, steps: DataFrame, images_per_cell: int, p
 
     ``bases(base_pos, base)``, ``steps(step_pos, step, seconds)``.
     """
-    n_steps = steps.agg(F.count("*").alias("n_steps"))
-    cells = bases.crossJoin(F.broadcast(steps)).crossJoin(F.broadcast(n_steps))
-    index = (F.col("base_pos") * F.col("n_steps") + F.col("step_pos")).cast("int")
+    cells = bases.crossJoin(steps)
+    index = (F.col("base_pos") * steps.count() + F.col("step_pos")).cast("int")
     return cells.select(
         cell_id(F.lit(prefix), index, F.col("base"), F.col("step")).alias("cell_id"), "base", "step", F.lit(images_per_cell).cast("long").alias("n_images"),
         (F.coalesce("seconds", F.lit(seconds_per_image)) * images_per_cell).alias("gpu_seconds"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 # The fields in which a manifest must agree with its request.
 COMPARED = ("run_id", "base_checkpoint", "loras", "sampling", "prompt", "negative_prompt", "seeds")
@@ -34,9 +33,11 @@ def differences(manifests: DataFrame, requests: DataFrame, fields: tuple[str, ..
 def resolve(names: DataFrame, listing: DataFrame) -> DataFrame:
     """``name`` -> ``path`` from ``listing(root_ord, rel, path)``: the first root wins, in it the direct path before the first file of that name."""
     base = F.element_at(F.split("rel", "/"), -1)
-    met = names.join(listing.withColumn("base", base), (F.col("rel") == F.col("name")) | (F.col("base") == F.col("name")))
-    place = F.row_number().over(W.partitionBy("name").orderBy("root_ord", F.col("rel") != F.col("name"), "path"))
-    return names.join(met.withColumn("place", place).where("place = 1").select("name", "path"), "name", "left")
+    # Two equi-joins: a file in the root itself comes from both, which changes no minimum.
+    direct = names.join(listing.withColumn("name", F.col("rel")), "name").withColumn("within", F.lit(0))
+    deeper = names.join(listing.withColumn("name", base), "name").withColumn("within", F.lit(1))
+    best = direct.unionByName(deeper).groupBy("name").agg(F.min(F.struct("root_ord", "within", "path")).alias("best"))
+    return names.join(best.select("name", F.col("best.path").alias("path")), "name", "left")
 
 
 def models(listing: DataFrame, endings: tuple[str, ...] = ("safetensors", "ckpt", "pt")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from .components import checkpointed
 
 
 def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
@@ -14,11 +14,8 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     Rows are sorted by range; a row's number is its place in its partition after
     the sizes of those before it, of which one number a partition is collected.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.checkpoint()  # partitions must not change between the count and the result
+    placed = checkpointed(placed)  # partitions must not change between the count and the result
     part, at = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, starts = 0, []

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scores import cosine, unit_range
-from ..sources.shared import shared_folder
+from .components import checkpointed, connected_components
 
 
 def sign_hash(table: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Adds ``hash``: a 64-bit number with bit i set where component i is positive."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    """Adds ``hash``: a 64-bit number with bit i set where component i is positive. Vectors of more components are refused."""
+    held = F.when(F.size(vector) > 64, F.raise_error(F.lit("a sign hash holds 64 components at most")).cast("array<double>")).otherwise(F.col(vector).cast("array<double>"))
+    bits = F.transform(held, lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
     word = F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
     return table.withColumn("hash", word)
 
@@ -37,27 +38,15 @@ def hamming_pairs(hashed: DataFrame, threshold: int = 5, run: str = "run_id") ->
 def group_labels(hashed: DataFrame, threshold: int = 5, run: str = "run_id") -> DataFrame:
     """``run, ordinal, duplicate_group``: components of near hashes, numbered by first appearance.
 
-    Labels spread to the smallest ordinal until nothing changes; each round is
-    checkpointed, which bounds the plan and survives lost executors.
+    Images with one hash are one node, however many they are; nodes are paired by
+    bands and joined by star contraction, whose rounds are checkpointed.
     """
-    pairs = hamming_pairs(hashed, threshold, run).select(run, "u", "v")
-    both = pairs.unionByName(pairs.select(run, F.col("v").alias("u"), F.col("u").alias("v")))
-    spark = hashed.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    both = both.checkpoint()
-    label = hashed.select(run, "ordinal", F.col("ordinal").alias("label")).checkpoint()
-    while True:
-        near = both.join(label.select(run, F.col("ordinal").alias("v"), F.col("label").alias("other")), [run, "v"]).groupBy(run, F.col("u").alias("ordinal")).agg(F.min("other").alias("other"))
-        step = label.join(near, [run, "ordinal"], "left").select(run, "ordinal", F.least("label", F.coalesce("other", "label")).alias("new"), "label")
-        # Pointer jumping: take the label of one's label.
-        up = step.select(run, F.col("ordinal").alias("new"), F.col("new").alias("jump"))
-        step = step.join(up, [run, "new"]).select(run, "ordinal", "label", F.least("new", "jump").alias("new")).checkpoint()
-        moved = step.where("new <> label").limit(1).count()
-        label = step.select(run, "ordinal", F.col("new").alias("label"))
-        if not moved:
-            break
-    return label.select(run, "ordinal", (F.dense_rank().over(W.partitionBy(run).orderBy("label")) - 1).alias("duplicate_group"))
+    nodes = checkpointed(hashed.groupBy(run, "hash").agg(F.min("ordinal").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    links = hamming_pairs(nodes.select(run, F.col("node").alias("ordinal"), "hash"), threshold, run).select("u", "v")
+    found = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = found.groupBy("component").agg(F.min("first").alias("label"))
+    labelled = hashed.select(run, "ordinal", "hash").join(found.join(first, "component").select(run, "hash", "label"), [run, "hash"])
+    return labelled.select(run, "ordinal", (F.dense_rank().over(W.partitionBy(run).orderBy("label")) - 1).alias("duplicate_group"))
 
 
 def diversity(hashed: DataFrame, bits: int = 64, run: str = "run_id") -> DataFrame:
