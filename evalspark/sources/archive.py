@@ -5,52 +5,90 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_file_name
 from ..operators.review import reject_records
+from .shared import replace_file
+
+
+class _Run:
+    """One run's archive while its images come by."""
+
+    def __init__(self, run_id: str, manifest: str | None):
+        self.run_id, self.manifest = run_id, manifest or "{}"
+        self.report: list[dict] = []
+        self.rejects: list[dict] = []
+        self.buffer = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_DEFLATED)
+        self.passed = self.pending = 0
+        self.missing: list[str] = []
+        self.zipped: list[str] = []
+
+    def add(self, image_id: str, passed: bool | None, reject: str | None, content: bytes | None, ending: str | None) -> None:
+        self.report.append({"image_id": image_id, "passed": passed})
+        if reject is not None:
+            self.rejects.append(json.loads(reject))
+        self.passed += passed is True
+        self.pending += passed is None
+        if passed is not None and content is None:
+            self.missing.append(image_id)
+        if passed and content is not None:
+            name = f"{image_id}.{ending}" if ending else image_id
+            self.zip.writestr(name, bytes(content))
+            self.zipped.append(name)
+
+    def close(self, folder: str) -> tuple:
+        self.zip.close()
+        parts = {"manifest.json": self.manifest, "eval_report.json": json.dumps(self.report), "reject_archive.json": json.dumps(self.rejects)}
+        for name, text in parts.items():
+            replace_file(f"{folder}/{self.run_id}/{name}", text.encode())
+        if self.passed:
+            replace_file(f"{folder}/{self.run_id}/passing_images.zip", self.buffer.getvalue())
+        return self.run_id, self.passed, len(self.rejects), self.pending, len(self.zipped), self.missing
 
 
 def write_archives(images: DataFrame, files: DataFrame, manifests: DataFrame, folder: str) -> DataFrame:
-    """Write one folder per run and return ``run_id, n_passed, n_rejected, n_pending, n_zipped``.
+    """Write one folder per run and return ``run_id, n_passed, n_rejected, n_pending, n_zipped, missing``.
 
-    ``images(run_id, image_id, passed, ...)``, ``files(image_id, content)``,
-    ``manifests(run_id, ...)``. Runs are written where they are grouped, one at a
-    time; a passing image without a file counts as passed but is not zipped.
-    The rejects hold neither ids nor paths. ``folder`` is one that executors share.
+    ``images(run_id, image_id, passed, ...)``, ``files(image_id, content[, ending])``,
+    ``manifests(run_id, ...)``. Images come by one at a time, in order of run and
+    id; only the zip of the run at hand is held. A passing image without a file
+    counts as passed but is not zipped; ``missing`` names the decided images without
+    one. A run without passing images gets no zip. Names in the zip are ids with
+    the file's own ending ('png' where none is given). The rejects hold neither ids
+    nor paths. ``folder`` is a path or URI that executors share.
     """
     named = images.where(is_file_name(F.col("run_id")))
-    rejects = reject_records(named).groupBy("run_id").agg(F.to_json(F.collect_list(F.struct(*[c for c in reject_records(named).columns]))).alias("rejects"))
-    packed = named.join(files.select("image_id", "content"), "image_id", "left").groupBy("run_id").agg(
-        F.collect_list(F.when(F.col("passed") & F.col("content").isNotNull(), F.struct("image_id", "content"))).alias("held"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_rejected"), F.count_if(F.col("passed").isNull()).alias("n_pending"),
-        F.to_json(F.collect_list(F.struct("image_id", "passed"))).alias("report"),
-    )
-    rows = packed.join(rejects, "run_id", "left").join(manifests.select("run_id", F.to_json(F.struct("*")).alias("manifest")), "run_id", "left")
+    reject = F.when(~F.col("passed"), F.to_json(F.struct(*reject_records(named).columns)))
+    ending = F.col("ending") if "ending" in files.columns else F.lit("png")
+    held = files.select("image_id", "content", ending.alias("ending"))
+    rows = named.select("run_id", "image_id", "passed", reject.alias("reject")).join(held, "image_id", "left").join(manifests.select("run_id", F.to_json(F.struct("*")).alias("manifest")), "run_id", "left")
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "image_id")
 
     def write(batches):
-        from pathlib import Path
-
         import pandas as pd
 
+        columns = ["run_id", "n_passed", "n_rejected", "n_pending", "n_zipped", "missing"]
+        run = None
         for batch in batches:
-            out = []
+            done = []
             for r in batch.itertuples(index=False):
-                at = Path(folder) / r.run_id
-                at.mkdir(parents=True, exist_ok=True)
-                held = list(r.held) if r.held is not None else []
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for h in sorted(held, key=lambda h: h["image_id"]):
-                        z.writestr(f"{PurePosixPath(h['image_id']).name}.png", bytes(h["content"]))
-                parts = {"manifest.json": (r.manifest or "{}").encode(), "eval_report.json": r.report.encode(), "reject_archive.json": json.dumps(json.loads(r.rejects or "[]")).encode(), "passing_images.zip": buffer.getvalue()}
-                for name, body in parts.items():
-                    part = at / f".{name}.part"
-                    part.write_bytes(body)
-                    part.replace(at / name)
-                out.append((r.run_id, r.n_passed, r.n_rejected, r.n_pending, len(held)))
-            yield pd.DataFrame(out, columns=["run_id", "n_passed", "n_rejected", "n_pending", "n_zipped"])
-
-    return rows.mapInPandas(write, "run_id string, n_passed long, n_rejected long, n_pending long, n_zipped long")
+                if run is None or run.run_id != r.run_id:
+                    if run is not None:
+                        done.append(run.close(folder))
+                    run = _Run(r.run_id, r.manifest)
+                run.add(r.image_id, None if r.passed is None else bool(r.passed), r.reject, r.content, r.ending)
+            yield pd.DataFrame(done, columns=columns)
+        if run is not None:
+            yield pd.DataFrame([run.close(folder)], columns=columns)
+
+    return ordered.mapInPandas(write, "run_id string, n_passed long, n_rejected long, n_pending long, n_zipped long, missing array<string>")
+
+
+def loose_images(images: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """``path`` of the decided images below ``root``, which may go once they are archived; pending ones and files elsewhere stay."""
+    decided = images.where("passed is not null").select("image_id")
+    return files.join(decided, "image_id", "left_semi").where(F.col("path").startswith(root.rstrip("/") + "/")).where(~F.array_contains(F.split("path", "/"), "..")).select("path")

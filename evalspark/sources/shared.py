@@ -1,7 +1,8 @@
-"""The folder that all executors share, for checkpoints and logs."""
+"""Folders that all executors share, and access to them from Python workers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,3 +17,23 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="evalspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def open_store(uri: str):
+    """The file system of a URI and the path in it; a path without a scheme is a local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
+
+
+def replace_file(uri: str, body: bytes) -> None:
+    """Write a file whole under another name first, so that no reader sees a part of it."""
+    from uuid import uuid4
+
+    store, path = open_store(uri)
+    folder, _, name = path.rpartition("/")
+    store.create_dir(folder)
+    part = f"{folder}/.{name}.{uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(body)
+    store.move(part, path)

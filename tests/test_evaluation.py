@@ -309,7 +309,7 @@ def test_files(spark, tmp_path):
     run = tmp_path / "runs" / "r-1"
     run.mkdir(parents=True)
     (run / "manifest.json").write_text('{"run_id": "r-1", "proof_version": "1.2", "seeds": [18446744073709551615], "sampling": {"width": 64, "height": 32}}')
-    (run / "r-1-7.png").write_bytes(png(1024, 768, (b"tEXt", b"k\0v"), (b"zTXt", b"z\0\0" + zlib.compress(b"packed")), (b"zTXt", b"bad\0\0nope"), (b"iTXt", b"i\0\0\0en\0\0caf\xc3\xa9")))
+    (run / "r-1-7.png").write_bytes(png(1024, 768, (b"tEXt", b"k\0v"), (b"zTXt", b"z\0\0" + zlib.compress(b"packed")), (b"zTXt", b"bad\0\0nope"), (b"tEXt", b"noseparator"), (b"iTXt", b"i\0\0\0en\0\0caf\xc3\xa9")))
     (run / "r-1-18446744073709551615-2.jpg").write_bytes(b"x")
     (run / "r-10-7.png").write_bytes(b"x")
     found = {r.image_id: r for r in files.discover_images(spark, str(tmp_path / "runs")).collect()}
@@ -329,10 +329,39 @@ def test_exports(spark, tmp_path):
     (lines / "b.txt").write_text("never")
     (texts / "b.txt").write_text(" second ")
     (texts / "a.txt").write_text("first")
+    (texts / "_c.txt").write_text("zeroth")
+    (texts / ".d.txt").write_text("hidden")
+    (texts / "texts").mkdir()
+    (texts / "texts" / "z.txt").write_text("last")
+    beside = tmp_path / "beside"
+    beside.mkdir()
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "one.two.txt").write_text(" by the image ")
+    (beside / "manifest.jsonl").write_text('{"abs_path": "%s/images/one.two.png"}\nbroken\n{"abs_path": "%s/images/gone.png"}\n{"abs_path": 3}\n' % (tmp_path, tmp_path))
+    assert [r.prompt for r in files.export_prompts(spark, str(beside)).collect()] == ["by the image"]
     (texts / "c.txt").write_bytes(b"\xff\xfe")
     (texts / "blank.txt").write_text("  ")
     assert [r.prompt for r in files.export_prompts(spark, str(lines)).orderBy("pos").collect()] == ["one", "two"]
-    assert [r.prompt for r in files.export_prompts(spark, str(texts)).orderBy("pos").collect()] == ["first", "second"]
+    assert [r.prompt for r in files.export_prompts(spark, str(texts)).orderBy("pos").collect()] == ["zeroth", "first", "second", "last"]
+    assert {r.rel for r in files.files(spark, str(texts)).where("name = 'z.txt'").collect()} == {"texts/z.txt"}
+
+
+def test_report_store(spark, tmp_path):
+    schema, folder = "run_id string, n int", str(tmp_path / "reports")
+    rows = spark.createDataFrame([("run-1", 1), ("run-1-2", 2), ("_a", 3), (".b", 4)], schema)
+    assert files.save_reports(rows, folder).count() == 4
+    (tmp_path / "reports" / "foreign.json").write_text("no report")
+    assert [r["name"] for r in files.reports(spark, folder, schema).collect()] == [".b.json", "_a.json", "run-1-2.json", "run-1.json"]
+    files.save_reports(spark.createDataFrame([("run-1", 9)], schema), folder).count()
+    assert files.report(spark, folder, "run-1", schema).first().n == 9 and len(list((tmp_path / "reports").iterdir())) == 5
+    with pytest.raises(FileNotFoundError):
+        files.report(spark, folder, "gone", schema)
+    for bad in ("../x", "", ".", "a/b", "a\\b"):
+        with pytest.raises(ValueError, match="not a run"):
+            files.report(spark, folder, bad, schema)
+        with pytest.raises(Exception, match="not a run"):
+            files.save_reports(spark.createDataFrame([(bad, 1)], schema), folder).count()
+    assert files.stored(spark, str(tmp_path / "nothing"), schema).count() == 0
 
 
 def test_stream_keeps_the_latest(spark, tmp_path):
@@ -376,6 +405,22 @@ def test_archive(spark, tmp_path):
     table = spark.createDataFrame([("r", "a", True, "/p", 1), ("r", "b", False, "/p", 2), ("r", "c", None, "/p", 3), ("r", "d", True, "/p", 4), ("../x", "e", True, "/p", 5)], "run_id string, image_id string, passed boolean, path string, seed int")
     held = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"two"))], "image_id string, content binary")
     got = archive.write_archives(table, held, spark.createDataFrame([("r", "m")], "run_id string, engine string"), str(tmp_path)).collect()
-    assert [tuple(r) for r in got] == [("r", 2, 1, 1, 1)]
+    assert [tuple(r) for r in got] == [("r", 2, 1, 1, 1, ["d"])]
+    more = spark.createDataFrame([("s", "x", False), ("t", "y", True), ("t", "z", True)], "run_id string, image_id string, passed boolean")
+    jpg = spark.createDataFrame([("y", bytearray(b"1"), "jpg", "/runs/t/y.jpg"), ("x", bytearray(b"1"), "jpg", "/elsewhere/x.jpg")], "image_id string, content binary, ending string, path string")
+    done = {r.run_id: r for r in archive.write_archives(more, jpg, spark.createDataFrame([], "run_id string"), str(tmp_path)).collect()}
+    assert not (tmp_path / "s" / "passing_images.zip").exists() and zipfile.ZipFile(tmp_path / "t" / "passing_images.zip").namelist() == ["y.jpg"] and done["t"].missing == ["z"]
+    assert [r.path for r in archive.loose_images(more, jpg, "/runs").collect()] == ["/runs/t/y.jpg"]
     assert zipfile.ZipFile(tmp_path / "r" / "passing_images.zip").namelist() == ["a.png"]
     assert json.loads((tmp_path / "r" / "reject_archive.json").read_text()) == [{"run_id": "r", "seed": 2}]
+
+
+def test_numbers_as_text(spark):
+    values = [0.125, 0.375, 2.675, 1234567.5, 0.0005, 1e-4, 1.5e-4, 1e-5, 1.25e-7, 1e7, 12345678.25, 1e15, 1e16, 1.5e22, 0.8, 1.0, 100.0, -2.5e-4, 0.0, -1e20]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", text.fixed(F.col("x"), 2).alias("f"), text.python_float(F.col("x")).alias("s")).collect()
+    for r in got:
+        assert (r.f, r.s) == (f"{r.x:.2f}", str(r.x))
+    loras = spark.createDataFrame([("p", [("loras/subj.safetensors", 1e-4), ("char/v1.2.pt", 0.8)])], "prompt string, loras array<struct<name:string,weight:double>>")
+    assert loras.select(text.prompt_with_loras(F.col("prompt"), F.col("loras"))).first()[0] == "p <lora:loras/subj:0.0001> <lora:char/v1.2:0.8>"
+    names = ["plain", "it's", 'a "b"', "both ' and \"", "back\\slash"]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "x string").select(text.quoted(F.col("x"))).collect()] == [repr(n) for n in names]
