@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_id, not_blank, run_id, strip
+from ..functions.text import cell_id, labels_json, not_blank, run_id, strip
 from .numbering import numbered
 
 
@@ -96,6 +96,35 @@ def experiment_cells(bases: DataFrame, steps: DataFrame, images_per_cell: int, p
     )
 
 
+def plan(bases: DataFrame, combos: DataFrame, loras: DataFrame, weights: DataFrame, prefix: str, flexibility: DataFrame | None = None) -> DataFrame:
+    """The runs of one grid: prompts, then every checkpoint and weight with each of them."""
+    return expand(prompt_items(bases, combos, flexibility), loras, weights, prefix)
+
+
+def plan_from_export(prompts: DataFrame, axes: Mapping[str, Sequence[str]], loras: DataFrame, weights: DataFrame, prefix: str, most: int | None = None, cap: int | None = None, seed: int = 0) -> DataFrame:
+    """A grid over the prompts of an export, as ``sources.files.export_prompts`` reads them."""
+    return plan(base_prompts(prompts, most), token_combos(prompts.sparkSession, axes, cap, seed), loras, weights, prefix)
+
+
+def experiment_runs(cells: DataFrame, items: DataFrame, loras: DataFrame, weights: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
+    """The inner grid of every cell: the cell's id is the prefix of its runs, which carry its arm and labels."""
+    runs = cells.select("cell_id", F.col("base").alias("base_checkpoint"), F.col("step").alias("step_config")).crossJoin(items).crossJoin(loras).crossJoin(weights)
+    args = (F.col("cell_id"), F.col("lora_pos").cast("int"), F.col("weight_pos").cast("int"), F.col("item").cast("int"))
+    said = F.map_from_arrays(F.array(*[F.lit(k) for k in (*(labels or {}), "step_config")]), F.array(*[F.lit(v) for v in (labels or {}).values()], F.col("step_config")))
+    return runs.withColumns({"run_id": F.when(F.col("kind") == "f", run_id(*args, kind="f")).otherwise(run_id(*args)), "labels": labels_json(said)})
+
+
+def images_per_cell(runs: DataFrame, seeds: int) -> DataFrame:
+    """``per_cell``: one map from cell to its number of images."""
+    counted = runs.groupBy("cell_id").agg((F.count("*") * seeds).alias("n"))
+    return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cell_id", "n")))).alias("per_cell"))
+
+
+def preview(bases: DataFrame, n: int = 5) -> DataFrame:
+    """The first prompts of a plan."""
+    return bases.orderBy("item").limit(n)
+
+
 def within_budget(gpu_hours: float, most: float | None) -> None:
     """Refuses a plan that costs more than its budget; equal is fine."""
     if most is not None and gpu_hours > most:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import is_file_name, is_hidden, not_blank, strip
 from ..operators.numbering import numbered
@@ -51,21 +53,21 @@ def _content(uri: str) -> bytes | None:
 
 
 def _unseen(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
-    """Files that Spark's file source passes over: those with a name, or below a folder, that begins with '_' or '.'."""
+    """Files that Spark's file source passes over: empty ones, and those with a name, or below a folder, that begins with '_' or '.'."""
     system, root = _root(spark, folder)
     begin, found = len(root.toString().rstrip("/")) + 1, []
     each = system.listFiles(root, recursive)
     while each.hasNext():
         status = each.next()
         path = status.getPath().toString()
-        if any(part[:1] in ("_", ".") for part in path[begin:].split("/")):
+        if not status.getLen() or any(part[:1] in ("_", ".") for part in path[begin:].split("/")):
             found.append((path, status.getLen(), status.getModificationTime() / 1000))
     rows = spark.createDataFrame(found, "path string, length long, modified double").withColumn("modified", F.timestamp_millis((F.col("modified") * 1000).cast("long")))
     return rows.mapInPandas(_read_each, "path string, length long, modified timestamp, content binary")
 
 
 def files(spark: SparkSession, folder: str, recursive: bool = True, hidden: bool = False) -> DataFrame:
-    """``path, name, stem, ending, rel, length, modified, content`` of all files below a folder; with ``hidden`` also of '_' and '.' ones."""
+    """``path, name, stem, ending, rel, length, modified, content`` of all files below a folder; with ``hidden`` also of empty ones and of '_' and '.' ones."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     rows = rows.select("path", "length", F.col("modificationTime").alias("modified"), "content")
     if hidden:
@@ -177,6 +179,12 @@ def report(spark: SparkSession, folder: str, run_id: str, schema: str) -> DataFr
     return spark.createDataFrame([(body.decode("utf-8"),)], "body string").select(F.from_json("body", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def _plain_name(run_id: Column) -> Column:
+    """The id, or an error where it is no plain file name."""
+    name = run_id.cast("string")
+    return F.when(is_file_name(name), name).otherwise(F.raise_error(F.concat(F.lit("not a run's id: "), F.coalesce(name, F.lit("null")))).cast("string"))
+
+
 def save_reports(rows: DataFrame, folder: str) -> DataFrame:
     """Write each of ``rows(run_id, ...)`` as ``<run_id>.json``, over an earlier one, and return ``run_id, path``.
 
@@ -184,7 +192,6 @@ def save_reports(rows: DataFrame, folder: str) -> DataFrame:
     written stays; an id that is no plain file name is an error.
     """
     root = _root(rows.sparkSession, folder)[1].toString()
-    sound = F.when(is_file_name(F.col("run_id").cast("string")), F.col("run_id").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not a run's id: "), F.coalesce(F.col("run_id").cast("string"), F.lit("null")))).cast("string"))
 
     def write(batches):
         for batch in batches:
@@ -193,7 +200,32 @@ def save_reports(rows: DataFrame, folder: str) -> DataFrame:
                 replace_file(path, f"{body}\n".encode())
             yield batch[["run_id", "path"]]
 
-    return rows.select(sound.alias("run_id"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("body")).mapInPandas(write, "run_id string, path string")
+    return rows.select(_plain_name(F.col("run_id")).alias("run_id"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("body")).mapInPandas(write, "run_id string, path string")
+
+
+def save_manifests(rows: DataFrame, folder: str) -> DataFrame:
+    """Write each of ``rows(run_id, ...)`` as ``<run_id>/manifest.json`` and return ``run_id, path``."""
+    root = _root(rows.sparkSession, folder)[1].toString()
+
+    def write(batches):
+        for batch in batches:
+            batch["path"] = [f"{root}/{i}/manifest.json" for i in batch["run_id"]]
+            for path, body in zip(batch["path"], batch["body"], strict=True):
+                replace_file(path, f"{body}\n".encode())
+            yield batch[["run_id", "path"]]
+
+    return rows.select(_plain_name(F.col("run_id")).alias("run_id"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("body")).mapInPandas(write, "run_id string, path string")
+
+
+def schema_document(tables: Mapping[str, DataFrame | StructType]) -> str:
+    """The schemas of named tables as one JSON text, the same at every run."""
+    schemas = {n: t if isinstance(t, StructType) else t.schema for n, t in tables.items()}
+    return json.dumps({"$defs": {n: json.loads(s.json()) for n, s in sorted(schemas.items())}}, indent=2, sort_keys=True) + "\n"
+
+
+def is_stale(text: str | None, tables: Mapping[str, DataFrame | StructType]) -> bool:
+    """Whether a written schema document no longer says what the tables are."""
+    return text != schema_document(tables)
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -234,6 +266,23 @@ def export_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return numbered(kept.select("order", F.col("pos").alias("line"), "prompt"), "pos", "order", "line").select("pos", "prompt")
 
 
+def reference_images(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of all image files below a folder, in order."""
+    return files(spark, folder, hidden=True).where(F.col("ending").isin(*IMAGES)).select("path").orderBy("path")
+
+
+def exports(spark: SparkSession, root: str) -> DataFrame:
+    """``name, n_rows, has_references`` of the folders of ``root`` that hold a readable ``manifest.jsonl``, in order; blank lines don't count."""
+    system, path = _root(spark, root)
+    # Folders of one level: a listing, which may have no files below ``references``.
+    found = system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}/*/references")) or ()
+    held = [s.getPath().getParent().getName() for s in found if s.isDirectory()]
+    folder = F.element_at(F.split("rel", "/"), 1)
+    lists = files(spark, root, hidden=True).where("name = 'manifest.jsonl'").where(F.size(F.split("rel", "/")) == 2).where(F.expr("is_valid_utf8(cast(content as string))")).where(folder.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$"))
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: not_blank(x))
+    return lists.select(folder.alias("name"), F.size(lines).cast("long").alias("n_rows"), folder.isin(*held).alias("has_references")).orderBy("name")
+
+
 def image_paths(spark: SparkSession, folder: str) -> DataFrame:
     """``stem, path``: the first path of each name."""
     return files(spark, folder).where(F.col("ending").isin(*IMAGES, "gif", "bmp", "tif", "tiff")).groupBy("stem").agg(F.min("path").alias("path"))

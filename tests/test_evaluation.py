@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import scores as S
 from evalspark.functions import stats, text
-from evalspark.operators import acceptance, crossrun, explore, grid, manifests, moderation, review, rollup, similarity
+from evalspark.operators import acceptance, crossrun, explore, grid, manifests, moderation, review, rollup, scoring, similarity
 from evalspark.sources import archive, files
 from evalspark.streaming import upsert
 
@@ -424,3 +424,72 @@ def test_numbers_as_text(spark):
     assert loras.select(text.prompt_with_loras(F.col("prompt"), F.col("loras"))).first()[0] == "p <lora:loras/subj:0.0001> <lora:char/v1.2:0.8>"
     names = ["plain", "it's", 'a "b"', "both ' and \"", "back\\slash"]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "x string").select(text.quoted(F.col("x"))).collect()] == [repr(n) for n in names]
+
+
+def test_scorers(spark):
+    def gone():
+        raise ImportError("no model")
+
+    table = spark.createDataFrame([("a", 0.2), ("b", None)], "image_id string, raw double")
+    good = scoring.Scorer("clip", "clip_score", lambda: F.col("raw"), "2")
+    registry = scoring.Registry().add(good, scoring.Scorer("face", "identity", lambda: F.lit(1.0), probe=gone))
+    assert [tuple(r)[1:] for r in registry.listing(spark).orderBy("ord").collect()] == [("clip", "clip_score", "2", True), ("face", "identity", None, False)]
+    got = {r.image_id: r for r in scoring.score(table, registry.parts).collect()}
+    assert (got["a"].clip_score, got["b"].clip_score, got["a"].identity) == (0.2, None, None) and [s.name for s in got["a"].scorers] == ["clip"]
+    assert scoring.provenance_text(registry.parts) == "clip@2" and scoring.provenance_text([]) is None and registry.get("face").metric == "identity"
+    for bad, text_ in (([good, good], "same metric"), ([scoring.Scorer("x", "sharpness", lambda: F.lit(0.1))], "no metric")):
+        with pytest.raises(ValueError, match=text_):
+            scoring.score(table, bad)
+    for value in (1.5, float("nan")):
+        with pytest.raises(Exception, match="out of range"):
+            scoring.score(table, [scoring.Scorer("x", "safety", lambda v=value: F.lit(v))]).collect()
+
+
+def test_detectors(spark):
+    def flaky(item):
+        if "bad" in item:
+            raise RuntimeError("down")
+        return {"hate": 2.0}
+
+    def stub(item):
+        raise NotImplementedError
+
+    items = spark.createDataFrame([(1, "fine"), (2, "bad")], "item_id long, text string")
+    found = scoring.detect(items, [scoring.Detector("flaky", flaky), scoring.Detector("steady", lambda t: {"hate": 0.25}), scoring.Detector("off", stub, probe=lambda: False)])
+    assert {(r.item_id, r.category): r.score for r in moderation.combine(found).collect()} == {(1, "hate"): 1.0, (2, "hate"): 0.25}
+    with pytest.raises(Exception, match="NotImplementedError"):
+        scoring.detect(items, [scoring.Detector("stub", stub)]).collect()
+    unsafe = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.9), (2, "a", None), (3, "a", -0.5), (4, "a", float("nan"))], "item_id long, detector string, unsafe double")
+    safety = {r.item_id: r.safety for r in scoring.ensemble_safety(unsafe).collect()}
+    assert safety[1] == pytest.approx(0.1) and safety[2] is None and safety[3] == 1.0 and math.isnan(safety[4])
+
+
+def test_small_operators(spark, tmp_path):
+    faces = spark.createDataFrame([("a", 0, 0, 2, 2, [1.0]), ("a", 5, 5, 9, 9, [2.0]), ("a", 0, 0, 4, 4, [3.0])], "image_id string, x1 int, y1 int, x2 int, y2 int, embedding array<double>")
+    assert scoring.largest_face(faces).first().embedding == [3.0]
+    made = spark.createDataFrame([("r", 0, 7, None), ("r", 1, 7, None), ("r", 2, 8, "own"), ("r", 3, 9, "own")], "run_id string, ord int, seed long, image_id string")
+    assert {r.ord: r.image_id for r in scoring.unique_ids(made).collect()} == {0: "r-7", 1: "r-7-1", 2: "own", 3: "own-3"}
+    texts = ["aGk=", "data:image/png;base64,aGk=", "a Gk=", "aGk", "", None]
+    assert [None if r[0] is None else bytes(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "x string").select(scoring.decode_image(F.col("x"))).collect()] == [b"hi", b"hi", None, None, b"", None]
+    cells = grid.experiment_cells(spark.createDataFrame([(0, "base.ckpt")], "base_pos int, base string"), spark.createDataFrame([(0, "fast", None), (1, "slow", 9.0)], "step_pos int, step string, seconds double"), 4)
+    items = grid.prompt_items(grid.base_prompts(spark.createDataFrame([(0, "p"), (1, "q")], "pos int, prompt string")), grid.token_combos(spark, {}))
+    runs = grid.experiment_runs(cells, items, spark.createDataFrame([(0, "l")], "lora_pos int, lora string"), spark.createDataFrame([(0, 1.0)], "weight_pos int, weight double"), {"caption": "long"})
+    assert {r.run_id: r.labels for r in runs.where("step_config = 'slow'").collect()} == {f"exp-c01-base-slow-l00-w00-p00{i}": '{"caption":"long","step_config":"slow"}' for i in (0, 1)}
+    assert grid.images_per_cell(runs, 4).first().per_cell == {"exp-c00-base-fast": 8, "exp-c01-base-slow": 8}
+    rolled = rollup.verdicts(rollup.roll_up(rollup.gate(images(spark, [("r", "a", 0.9, None), ("r", "b", 0.1, None)]))))
+    assert rolled.select(scoring.digest_line(rolled)).first()[0] == "r: FAILED \u2014 pass rate 50% (1/2 groups, 2 images, 0 need review)"
+    found = spark.createDataFrame([("grid", "low", "widen", "diversity", 0.125, 0.3), ("refine", "open", "look", None, None, None)], "stage string, issue string, action string, metric string, value double, threshold double")
+    assert [r[0] for r in found.select(scoring.recommendation_line(found)).collect()] == ["[grid] low [diversity 0.12 vs 0.30]: widen", "[refine] open: look"]
+    for name, body in (("one", "a\n\nb\n"), ("two", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.jsonl").write_text(body)
+    (tmp_path / "one" / "references").mkdir()
+    (tmp_path / "none").mkdir()
+    assert [tuple(r) for r in files.exports(spark, str(tmp_path)).collect()] == [("one", 2, True), ("two", 0, False)]
+    (tmp_path / "one" / "references" / "B.PNG").write_bytes(b"x")
+    (tmp_path / "one" / "references" / "_a.jpg").write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in files.reference_images(spark, str(tmp_path / "one" / "references")).collect()] == ["B.PNG", "_a.jpg"]
+    assert files.save_manifests(spark.createDataFrame([("m-1", "e")], "run_id string, engine string"), str(tmp_path / "runs")).count() == 1
+    assert [r.run_id for r in files.manifests(spark, str(tmp_path / "runs")).collect()] == ["m-1"]
+    document = files.schema_document({"cells": cells, "runs": runs})
+    assert not files.is_stale(document, {"runs": runs, "cells": cells}) and files.is_stale(document, {"cells": cells}) and files.is_stale(None, {})
