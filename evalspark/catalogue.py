@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores as S
 from .functions import stats, text
-from .operators import acceptance, crossrun, explore, grid, moderation, review, rollup, similarity
+from .operators import acceptance, crossrun, explore, grid, moderation, review, rollup, scoring, similarity
 from .plans import tables as T
 from .plans.evaluation import evaluate
 
@@ -231,12 +231,12 @@ def slice_label_json(spark, d):
 
 
 # A factor that the outcome depends on: the run's mean identity, in quarters.
-_SPLIT = _STORE.replace("CASE WHEN o_custkey % 5 > 0 THEN round((o_custkey % 5) / 4.0::DOUBLE, 4) END AS lora_weight", "CASE WHEN n_images > 1 THEN floor(mean_identity * 4) / 4 END AS lora_weight")
+_SPLIT = _STORE.replace("CASE WHEN o_custkey % 5 > 0 THEN round((o_custkey % 5) / 4.0::DOUBLE, 4) END AS lora_weight", "CASE WHEN n_images > 1 THEN floor(round(mean_identity, 9) * 4) / 4 END AS lora_weight")
 _BEST = _slice_sql("lora_weight", _SPLIT).rpartition("ranked AS")[0] + "r2 AS (SELECT *, row_number() OVER (ORDER BY ci_low DESC, pass_rate DESC, value) AS p FROM slices WHERE value IS NOT NULL)"
 
 
 def _split_store(spark, d):
-    return _store(spark, d).withColumn("lora_weight", F.when(F.col("n_images") > 1, F.floor(F.col("mean_identity") * 4) / 4))
+    return _store(spark, d).withColumn("lora_weight", F.when(F.col("n_images") > 1, F.floor(F.round("mean_identity", 9) * 4) / 4))
 
 
 @query(_BEST + " SELECT a.value AS value, round(a.ci_low, 9) AS ci_low FROM r2 a JOIN r2 b ON a.p = 1 AND b.p = 2 AND a.ci_low > b.ci_high")
@@ -559,6 +559,87 @@ def tag_parse(spark, d):
     return rows.select("id", text.rating_of(F.col("tags")).alias("rating"), F.array_join(text.rejects_of(F.col("tags")), ",").alias("rejects"))
 
 
+# -- extension points and small operators -----------------------------------------
+
+
+@query("SELECT l_orderkey AS item_id, CASE WHEN min(l_linenumber) < 5 THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - max(CASE WHEN l_linenumber < 5 THEN l_tax * 15 END))), 9) END AS safety FROM lineitem GROUP BY 1")
+def safety_ensemble(spark, d):
+    scores = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").cast("string").alias("detector"), F.when(F.col("l_linenumber") < 5, F.col("l_tax") * 15).alias("unsafe"))
+    return _r(scoring.ensemble_safety(scores), "safety")
+
+
+@query("SELECT l_orderkey AS image_id, l_extendedprice AS face FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) = 1")
+def largest_face(spark, d):
+    at = F.col("l_linenumber")
+    faces = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), at.alias("x1"), F.col("l_partkey").alias("y1"), (at + F.col("l_quantity")).alias("x2"), (F.col("l_partkey") + 1).alias("y2"), F.array("l_extendedprice").alias("embedding"))
+    return scoring.largest_face(faces).select("image_id", F.col("embedding")[0].alias("face"))
+
+
+@query("""WITH p AS (SELECT o_custkey % 100 AS run_id, o_orderkey AS ord, (o_custkey % 100) || '-' || (o_orderkey % 7) AS id FROM orders)
+SELECT run_id, ord, CASE WHEN ord = min(ord) OVER (PARTITION BY run_id, id) THEN id ELSE id || '-' || ord END AS image_id FROM p""")
+def unique_ids(spark, d):
+    produced = T.read(spark, d, "orders").select((F.col("o_custkey") % 100).alias("run_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7).alias("seed"))
+    return scoring.unique_ids(produced).select("run_id", "ord", "image_id")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS decoded FROM part")
+def decode_image(spark, d):
+    plain = F.base64(F.col("p_name").cast("binary"))
+    sent = F.when(F.col("p_partkey") % 5 == 0, F.concat(plain, F.lit("!"))).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), plain)).otherwise(plain)
+    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), scoring.decode_image(sent).cast("string").alias("decoded"))
+
+
+def _experiment(spark, d):
+    bases = T.read(spark, d, "region").select(F.col("r_regionkey").alias("base_pos"), F.col("r_name").alias("base"))
+    steps = spark.createDataFrame([(0, "fast", None), (1, "high quality", 12.0)], "step_pos int, step string, seconds double")
+    prompts = T.read(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("prompt"))
+    items = grid.prompt_items(grid.base_prompts(prompts), grid.token_combos(spark, {}))
+    loras = spark.createDataFrame([(0, "l0"), (1, "l1")], "lora_pos int, lora string")
+    weights = spark.createDataFrame([(0, 0.8)], "weight_pos int, weight double")
+    return grid.experiment_runs(grid.experiment_cells(bases, steps, 200), items, loras, weights, {"caption": "long"})
+
+
+_EXPERIMENT = """WITH s AS (SELECT unnest(['fast', 'high quality']) AS step, unnest([0, 1]) AS sp), c AS (SELECT printf('exp-c%02d-', (r_regionkey * 2 + sp)::INT) || regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g') || '-' || replace(step, ' ', '-') AS cell_id, r_name, step FROM region, s),
+r AS (SELECT cell_id, r_name AS base_checkpoint, '{"caption":"long","step_config":"' || step || '"}' AS labels, printf('%s-l%02d-w00-p%03d', cell_id, l::INT, n_nationkey::INT) AS run_id, n_name AS prompt FROM c, range(2) l(l), nation)"""
+
+
+@query(f"{_EXPERIMENT} SELECT run_id, base_checkpoint, labels, prompt FROM r")
+def experiment_runs(spark, d):
+    return _experiment(spark, d).select("run_id", "base_checkpoint", "labels", "prompt")
+
+
+@query(f"{_EXPERIMENT} SELECT cell_id, count(*) * 4 AS n_images FROM r GROUP BY cell_id")
+def cell_images(spark, d):
+    return grid.images_per_cell(_experiment(spark, d), 4).select(F.explode("per_cell").alias("cell_id", "n_images"))
+
+
+@query(f"""{_RUNS} SELECT run_id || ': ' || CASE WHEN pending THEN 'PENDING' WHEN run_passed THEN 'PASSED' ELSE 'FAILED' END || ' — pass rate ' || format('{{:.0f}}', pass_rate * 100) || '% (' || n_passed || '/' || n_groups || ' groups, ' || n_images || ' images, ' || n_needs_hitl || ' need review)' AS line FROM runs""")
+def run_digests(spark, d):
+    runs = rollup.verdicts(rollup.roll_up(_gated(spark, d)))
+    return runs.select(scoring.digest_line(runs).alias("line"))
+
+
+@query(f"""{_RUNS} SELECT run_id, '[lens] unsafe outputs [unsafe_rate ' || format('{{:.2f}}', unsafe_rate) || ' vs 0.60]: filter/re-caption training data to remove unsafe content' AS line FROM runs WHERE unsafe_rate > 0.6""")
+def recommend_lines(spark, d):
+    floors = acceptance.Floors(0.6, None, None, None, None, None, None)
+    found = acceptance.recommend(evaluate(T.images(spark, d), CONFIG), floors).where("metric = 'unsafe_rate'")
+    return found.select("run_id", scoring.recommendation_line(found).alias("line"))
+
+
+@query("SELECT trim(text) AS prompt FROM benchmark WHERE trim(text) <> '' GROUP BY 1 ORDER BY min(item_id) LIMIT 5")
+def prompt_preview(spark, d):
+    b = T.read(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("prompt"))
+    return grid.preview(grid.base_prompts(b)).select("prompt")
+
+
+@query("SELECT o_orderkey AS item_id, o_totalprice / 600000 AS safety, 1 AS n_scorers FROM orders")
+def score_registry(spark, d):
+    """One scorer measures, another is not there: its metric stays null."""
+    rows = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), "o_totalprice")
+    scorers = [scoring.Scorer("price", "safety", lambda: F.col("o_totalprice") / 600000), scoring.Scorer("gone", "identity", lambda: F.lit(1.0), probe=lambda: False)]
+    return scoring.score(rows, scorers).where("identity IS NULL").select("item_id", "safety", F.size("scorers").alias("n_scorers"))
+
+
 @query()
 def stream_upsert(spark, d):
     """Orders arrive as files in three batches; the newest order of a customer is current. Rows only: the result is checked in the tests."""
