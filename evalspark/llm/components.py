@@ -1,48 +1,13 @@
-"""Connected components of a link table, by alternating star contraction.
-
-Each round replaces a vertex's links by links to its smallest neighbour, first
-towards larger neighbours, then towards smaller ones, so a component becomes a
-star around its smallest member in a number of rounds that grows with the
-logarithm of its size. Rounds are written tables: no link list ever reaches the
-driver and a lost executor costs one re-read.
-"""
+"""The library's star contraction, with rounds written to an operator's own scratch folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import components
 from .scratch import Scratch
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
-
-
 def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """``links(u, v)`` -> ``(node, component)`` for every linked node.
-
-    Self links and repeated links are ignored, as are links with a null end; the
-    component is the smallest node. An empty table gives an empty table.
-    """
-    ends = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    edges = scratch.save(links.where("u <> v").select(*ends).distinct(), "links")
-    before = _fingerprint(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, so that the joins have a plain shuffle on either side and Spark can split a crowded vertex.
-        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = scratch.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        scratch.drop(least)
-        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(*[F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")])
-        now = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
-        after = _fingerprint(now)
-        scratch.drop(edges, large, least)
-        edges = now
-        if after == before:
-            break
-        before = after
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    """``links(u, v)`` -> ``(node, component)`` for every linked node; the component is the smallest node."""
+    return components.connected_components(links, scratch.save, scratch.drop)

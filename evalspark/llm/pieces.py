@@ -49,7 +49,10 @@ class Vocabulary:
 
 
 def load(path: str = MODEL) -> Vocabulary:
-    """Read a model file on the driver; executors get the vocabulary, not the path."""
+    """Read a model file on the driver; executors get the vocabulary, not the path.
+
+    A model whose library encodes any of PROBES otherwise than ``Encoder`` is an error.
+    """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,7 +64,19 @@ def load(path: str = MODEL) -> Vocabulary:
     live = [s for s, x in zip(scores, special, strict=True) if not x]
     # A BPE model's scores count merges down from zero; a unigram model's are log probabilities.
     kind = "bpe" if all(float(s).is_integer() for s in live) else "unigram"
-    return Vocabulary(names, scores, tuple(not x for x in special), byte_ids if len(byte_ids) == 256 else None, p.unk_id(), kind, len(p.encode("a")) == 1 and p.id_to_piece(p.encode("a")[0]).startswith(SPACE))
+    prefix = len(p.encode("a")) == 1 and p.id_to_piece(p.encode("a")[0]).startswith(SPACE)
+    v = Vocabulary(names, scores, tuple(not x for x in special), byte_ids if len(byte_ids) == 256 else None, p.unk_id(), kind, prefix)
+    offsets, flat = Encoder(v).encode(list(PROBES))
+    for t, x, y in zip(PROBES, offsets, offsets[1:], strict=False):
+        if flat[x:y].tolist() != p.encode(t):
+            raise ValueError(f"{path} changes or cuts texts in a way that is not supported: {t!r}")
+    return v
+
+
+#: Texts that tell models apart which normalise characters, fold case or spaces, or were trained in another manner.
+PROBES = (
+    "The quick brown fox", "  two  spaces ", "\ttab\nline\r\n", "ﬁ Ａ ½ ²", "e\u0301 é Å \u212b", "\u00a0x\u2003y\u3000z", "UPPER lower İı ß", "日本語 한국어 🎉", "x\u200by \ufeff", "12345 3.14 a_b-c/d", "aaaaaaaaaaaa", "\u2581x",
+)
 
 
 class Encoder:

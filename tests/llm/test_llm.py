@@ -394,6 +394,16 @@ def test_sentencepiece_equals_the_library(docs, rows):
     assert all(r.exact and r.decoded_crc32 == zlib.crc32((text_of[r.doc_id] or "").encode()) for r in pieces.round_trip(docs).collect())
 
 
+def test_sentencepiece_refuses_models_it_cannot_follow(monkeypatch):
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, *args, **kwargs):
+            return super().encode(text.lower(), *args, **kwargs)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="not supported"):
+        pieces.load()
+
+
 def test_sentencepiece_odd_strings():
     model, encoder = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Encoder(pieces.load())
     odd = [" ", "  ", "\n\n a\n", "a" * 5000, "    if x:\n        return  y  ", "<s> </s> <0x0A> <unk>", "abcdef0123456789" * 400, "a\u2581\u2581b", "é́ñß" * 900, "\t\tx"]

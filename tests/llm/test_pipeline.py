@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import sentencepiece
+from pyspark.sql import functions as F
 from test_llm import components_of, linked, shingles, spans
 
 import corpus_pipeline
@@ -55,5 +56,35 @@ def test_near_copies_of_an_id_with_several_texts(spark):
     assert found == {(3, 57, 3, True), (5, 58, 3, False), (5, 57, 5, True), (7, 58, 5, False), (8, 0, 8, True)}
 
 
+ODD = [
+    (1, None, "en", None, None), (2, "", "en", "a", 0), (3, " \t ", "de", "a", 3), (4, "one two", "en", "b", 7), (4, "one two", "en", "b", 7), (None, "no id here at all but words", "en", "b", 1),
+    (6, " ".join(f"w{i * i % 977}" for i in range(60_000)), None, "", 9), (7, "see password=abcdefgh and more words to keep it apart", "en", "b", 5), (8, "ünï 日本 🎉 token: abcdef1", "fr", "c", 3),
+]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, blanks, a long text, repeated rows and clashing columns go through all stages; clean rows stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit("x") for c in ("spans", "blob", "kept", "ids", "toxic", "copies", "component_id", "text_hash")}
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(ODD, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.withColumns(clash), docs.where("false")):
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == table.columns, name
+            got = Counter((r.doc_id, r.text) for r in out.collect())
+            want = Counter((r.doc_id, r.text) for r in table.collect())
+            if name in ("toxicity", "near_duplicates"):
+                assert got == want, name
+            elif name == "secrets":
+                assert sum(got.values()) == sum(want.values()) and {i for (i, t), _ in (got - want).items()} <= {7, 8}
+            else:
+                assert all(n <= 2 * want[k] for k, n in got.items())
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    text_of = {r[0]: r[1] for r in ODD}
+    out = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs.withColumns(clash), str(tmp_path)).collect()
+    assert len(out) == len(ODD) and all(r.ids == (None if text_of[r.doc_id] is None else model.encode(text_of[r.doc_id])) for r in out)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
