@@ -210,23 +210,27 @@ def near_duplicates(table: DataFrame, least: float = 0.9, tables: int = TABLES,
         return both.mapInArrow(_verifier, f"{schema}, cosine double").where(F.col("cosine") >= least).drop("cosine")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """The members of buckets that hold several labels, and the label of the bucket's centre."""
-        held = rows.groupBy(*bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("class_id") == F.col("centre"), F.col("label"))).alias("main_label"))
+        """The members of buckets that hold several labels, and the label of the bucket's first member, which is its centre."""
+        held = rows.groupBy(*bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", order).alias("main_label"))
         return rows.join(held.where("lo < hi").select(*bucket, "main_label"), bucket)
 
     def relabelled(rows: DataFrame, component: DataFrame) -> DataFrame:
-        return rows.join(component.toDF("label", "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+        """``alone`` stays true while a label's component is its class alone."""
+        found = rows.join(component.toDF("label", "component"), "label", "left")
+        return found.withColumns({"label": F.coalesce("component", "label"), "alone": F.col("alone") & F.col("component").isNull()}).drop("component")
 
     # A class and the centre that most of its buckets share: chance meetings are single ones.
     shared = members.where(F.col("class_id") != F.col("centre")).groupBy(F.col("class_id").alias("u"), F.col("centre").alias("v")).agg(F.count("*").alias("n"))
     star = shared.groupBy("u").agg(F.max_by("v", F.struct(F.col("n"), F.xxhash64("v").alias("h"))).alias("v"))
     label = scratch.save(connected_components(scratch, linked(star)), "label")
-    apart = scratch.save(mixed(relabelled(members.withColumn("label", F.col("class_id")), label)), "apart")
+    apart = scratch.save(mixed(relabelled(members.withColumns({"label": F.col("class_id"), "alone": F.lit(True)}), label)), "apart")
     scratch.sweep()
     again = apart.where(F.col("label") != F.col("main_label")).groupBy(F.col("class_id").alias("u"), F.col("label").alias("label_u"), F.col("main_label").alias("label_v"))
     again = again.agg(F.min_by("centre", F.xxhash64("class_id", "centre")).alias("v"))
     between = scratch.save(linked(again).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")), "between")
-    left = scratch.save(mixed(relabelled(apart.drop("main_label"), connected_components(scratch, between))).withColumn("main", F.col("label") == F.col("main_label")), "left")
+    # A centre that has remained alone has met all its members above; where two meet by chance, nothing is left.
+    left = relabelled(apart.drop("main_label"), connected_components(scratch, between)).where((F.col("class_id") != F.col("centre")) | ~F.col("alone"))
+    left = scratch.save(mixed(left).withColumn("main", F.col("label") == F.col("main_label")), "left")
     counts = left.groupBy(*bucket).agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest"))
 
     def together(rows: DataFrame, *names: str) -> DataFrame:
@@ -238,7 +242,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, tables: int = TABLES,
     split = scratch.save(placed(left.join(counts, bucket), F.col("main"), "class_id", BLOCK).select("bucket", "width", "x", "y", "side", "class_id", "label"), "split")
     more = together(split, "bucket").applyInArrow(_linker(least), "u long, v long")
     outer = scratch.save(connected_components(scratch, between.unionByName(more)), "outer")
-    component = scratch.save(relabelled(label.toDF("class_id", "label"), outer).unionByName(outer.join(label, "node", "left_anti").toDF("class_id", "label")), "component")
+    component = scratch.save(relabelled(label.toDF("class_id", "label").withColumn("alone", F.lit(False)), outer).drop("alone").unionByName(outer.join(label, "node", "left_anti").toDF("class_id", "label")), "component")
     scratch.sweep()
     # Counting: angles to the component's first vector tell who needs no comparing.
     joined = component.select(F.col("class_id").alias("u"), F.col("label").alias("v"))
