@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Distinct ratings that agreement at the ordinal and ratio levels takes.
+MOST_VALUES = 2000
+
+
 def last_updates(updates: DataFrame, *key: str) -> DataFrame:
     """Only the last update of each key within a batch, by ``ord``."""
     picked = updates.groupBy(*key).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in key]), "ord").alias("u"))
@@ -89,7 +93,8 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "interval") -> DataFrame
 
     Only units with two ratings or more count; NaN without one, without two
     raters, or when all ratings are equal. ``interval`` needs sums per unit and
-    ``nominal`` counts per value: no pairs are made.
+    ``nominal`` counts per value: no pairs are made. ``ordinal`` and ``ratio`` pair
+    the distinct ratings, of which more than MOST_VALUES are refused.
     """
     held = ratings.where("rating is not null and not isnan(rating)")
     if level == "interval":
@@ -113,13 +118,15 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "interval") -> DataFrame
 
 
 def _alpha_by_values(held: DataFrame, level: str) -> DataFrame:
-    """Levels whose distance depends on both values: pairs of distinct values within units, and over all; values are few."""
+    """Levels whose distance depends on both values: pairs of distinct values within units, and over all; values are few, which is checked."""
     from pyspark.sql import Window
 
     counts = held.groupBy("unit_id", F.col("rating").alias("x")).agg(F.count("*").alias("c"))
     units = counts.groupBy("unit_id").agg(F.sum("c").alias("m")).where("m > 1")
     counts = counts.join(units, "unit_id")
     totals = counts.groupBy("x").agg(F.sum("c").alias("t"))
+    if totals.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct ratings: use the interval level")
     upto = F.sum("t").over(Window.orderBy("x"))  # a row per distinct rating
     totals = totals.withColumn("mid", upto - F.col("t") / 2)
     a, b = totals.toDF("x", "t", "mid"), totals.toDF("y", "u", "mid2")

@@ -493,3 +493,10 @@ def test_small_operators(spark, tmp_path):
     assert [r.run_id for r in files.manifests(spark, str(tmp_path / "runs")).collect()] == ["m-1"]
     document = files.schema_document({"cells": cells, "runs": runs})
     assert not files.is_stale(document, {"runs": runs, "cells": cells}) and files.is_stale(document, {"cells": cells}) and files.is_stale(None, {})
+
+
+def test_agreement_refuses_too_many_values(spark):
+    ratings = spark.range(2500).select(F.col("id").alias("unit_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("rater"), F.col("id").cast("double").alias("rating"))
+    with pytest.raises(ValueError, match="distinct ratings"):
+        review.krippendorff_alpha(ratings, "ordinal")
+    assert review.krippendorff_alpha(ratings, "interval").first().alpha == pytest.approx(1.0)
