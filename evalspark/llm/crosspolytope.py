@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import placed
-from .components import connected_components
+from .components import REACHED, connected_components
 from .scratch import Scratch, bounded_batches
 from .vectors import flagged
 
@@ -266,3 +266,15 @@ def near_duplicates(table: DataFrame, least: float = 0.9, tables: int = TABLES,
     out = rows.join(known, [*key, "usable"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+# The same by comparing all pairs.
+ORACLE = f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM e WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+{REACHED},
+d AS (SELECT u, count(*) AS n FROM ends GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM e LEFT JOIN d ON d.u = vec_id LEFT JOIN components ON node = vec_id
+"""

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .blocks import placed
-from .components import connected_components
+from .components import REACHED, connected_components
 from .scratch import Scratch, bounded_batches
 from .words import hashes, pieces, rolling, words
 
@@ -250,3 +250,20 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slack: float
     out = signed.select("doc_id", "text_hash", *key).join(found, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", *(["text_hash"] if with_hash else []), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+# The same by counting common shingles of all pairs that have any.
+ORACLE = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+p AS (SELECT doc_id, len(words) AS many, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+g AS (SELECT doc_id, many, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS shingle FROM p),
+s AS (SELECT DISTINCT doc_id, shingle FROM g WHERE pos <= greatest(many - 3, 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM m JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * common >= 80 * (nu.n + nv.n - common)),
+{REACHED}
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, w.doc_id = coalesce(component, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN components ON node = w.doc_id
+"""

@@ -203,3 +203,33 @@ def secret_report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFram
     counts = [of_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
     every = RULES + ADDED
     return out.select("doc_id", *counts, F.sha2(describe(base, every), 256).alias("base_sha256"), describe(F.col("spans"), every).alias("spans"))
+
+
+def _oracle_sql() -> str:
+    """The report as SQL: a match starts after all gaps and matches before it."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    every = RULES + ADDED
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, {quoted(r.pattern)}) AS whole, "
+        f"regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS held, string_split_regex(text, {quoted(r.pattern)}) AS gaps FROM t"
+        for i, r in enumerate(every)
+    )
+    counts = ", ".join(f"count(*) FILTER (k = {i}) AS n_{r.kind}" for i, r in enumerate(RULES))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+p AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM f),
+m AS (SELECT doc_id, k, kind, whole[i] AS found,
+             (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0))::BIGINT AS start
+      FROM p WHERE length(held[i]) >= least),
+s AS (SELECT doc_id, k, start, kind || ':' || start || ':' || (start + length(found)) AS span FROM m),
+a AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(RULES)}) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM s GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a ON a.doc_id = t.doc_id
+"""
+
+
+ORACLE = _oracle_sql()

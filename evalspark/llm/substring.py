@@ -258,3 +258,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, c
         *([F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
     ]
     return out.select("doc_id", "n_words", *kept)
+
+
+# The same by windows: whether a window's words start earlier is asked of every window.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, len(words) AS many, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+v AS (SELECT doc_id, many, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM p),
+r AS (SELECT doc_id, pos FROM v WHERE pos <= many - 19 QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) AS kept, count(*) AS n FROM p ANTI JOIN c ON c.doc_id = p.doc_id AND c.pos = p.pos GROUP BY p.doc_id)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from evalspark.llm import ann, components, crosspolytope, minhash, mixing, pieces, quality, secretscan, sharding, substring, toxicity
-from evalspark.llm.queries import ORACLES
+from evalspark.llm.queries import ORACLES, QUERIES
 from evalspark.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -657,5 +657,29 @@ def test_empty_tables(spark):
         assert out.collect() == []
 
 
-def test_oracles_name_known_queries():
-    assert set(ORACLES) == {"op3_mixing"}
+@pytest.fixture(scope="module")
+def odd_tables(docs, spark, tmp_path_factory):
+    """A folder whose documents hold the odd rows that have an id of their own, and DuckDB views of it."""
+    folder = tmp_path_factory.mktemp("tables")
+    docs.where("doc_id is not null and doc_id <> 9").write.parquet(f"{folder}/documents.parquet")
+    vecs = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(100_001, None), (100_002, []), (100_003, [0.0, 0.0]), (100_004, [1.0, float("nan")]), (100_005, [1.0, None]), (100_006, [1.0, 0.5]), (100_007, [1.0, 0.5])], "vec_id long, embedding array<float>")
+    vecs.unionByName(odd).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_its_sql(spark, odd_tables, name):
+    folder, con = odd_tables
+    df = QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    got = sorted(tuple(map(repr, r)) for r in df.select(*columns).collect())
+    want = sorted(tuple(map(repr, r)) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall())
+    assert got == want
+
+
+def test_equivalents_cover_what_sql_can_express():
+    assert set(ORACLES) == {"op3_mixing", "op6_minhash", "op7_secrets", "op9_substring", "op10_crosspolytope"}
