@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, bounded_batches
-from .terms import bit_filter, hashed_terms, passes, terms
-from .words import hashes, rolling
+from .terms import bit_filter, hashed_terms, hashes, passes, terms
+from .words import rolling
 
 #: Windows that one row of a prefix's list holds.
 LISTED = 64

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, crosspolytope, decontaminate, minhash, mixing, pieces, quality, secretscan, substring, toxicity
+from . import ann, crosspolytope, decontaminate, minhash, mixing, pieces, quality, ranked, secretscan, substring, toxicity
 from .sharding import shard
 
 
@@ -56,12 +56,16 @@ def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_mixing, op4_toxicity, op5_neighbours, op6_minhash, op7_secrets, op8_quality, op9_substring, op10_crosspolytope, op13_decontaminate)
+    f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_mixing, op4_toxicity, op5_neighbours, op6_minhash, op7_secrets, op8_quality, op9_substring, op10_crosspolytope, op11_ranked, op13_decontaminate)
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
@@ -69,5 +73,6 @@ ORACLES: dict[str, str] = {
     "op7_secrets": secretscan.ORACLE,
     "op9_substring": substring.ORACLE,
     "op10_crosspolytope": crosspolytope.ORACLE,
+    "op11_ranked": ranked.ORACLE,
     "op13_decontaminate": decontaminate.ORACLE,
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .words import hashes, pieces
+from .words import pieces
 
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest separates.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -17,11 +20,15 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_KEPT).split() if text else []
 
 
-def hashed_terms(texts: list[str | None], most: int = 1 << 22):
+def hashes(items: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, items, repeat(seed)), np.uint64, len(items))
+
+
+def hashed_terms(texts: list[str | None], seed: int = 0, most: int = 1 << 22):
     """For groups of texts of bounded length: their first index, each one's terms, and all term hashes in a row."""
     for begin, end in pieces(texts, lambda t: len(t or ""), most):
         split = [terms(t) for t in texts[begin:end]]
-        yield begin, split, hashes([w for s in split for w in s])
+        yield begin, split, hashes([w for s in split for w in s], seed)
 
 
 def bit_filter(hashed: DataFrame, most: int = 26) -> np.ndarray:
