@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, crosspolytope, decontaminate, minhash, mixing, pieces, quality, ranked, secretscan, substring, toxicity
+from . import ann, crosspolytope, decontaminate, dualtree, minhash, mixing, pieces, quality, ranked, secretscan, substring, toxicity
 from .sharding import shard
 
 
@@ -60,12 +60,16 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_dualtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.mine(_table(spark, sf_dir, "embeddings"), label=dualtree.shifted_label())
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_mixing, op4_toxicity, op5_neighbours, op6_minhash, op7_secrets, op8_quality, op9_substring, op10_crosspolytope, op11_ranked, op13_decontaminate)
+    f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_mixing, op4_toxicity, op5_neighbours, op6_minhash, op7_secrets, op8_quality, op9_substring, op10_crosspolytope, op11_ranked, op12_dualtree, op13_decontaminate)
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
@@ -74,5 +78,6 @@ ORACLES: dict[str, str] = {
     "op9_substring": substring.ORACLE,
     "op10_crosspolytope": crosspolytope.ORACLE,
     "op11_ranked": ranked.ORACLE,
+    "op12_dualtree": dualtree.ORACLE,
     "op13_decontaminate": decontaminate.ORACLE,
 }
