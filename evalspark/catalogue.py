@@ -296,6 +296,29 @@ def schema_union(spark, d):
     return crossrun.append(old, new, 1).select("run_id", "score", "labels")
 
 
+@query("""WITH b AS (SELECT o_custkey AS run_id, o_orderpriority AS batch, count(*) AS n_images, max(o_totalprice) AS best, min(CASE WHEN o_orderpriority >= '3' THEN o_orderdate END)::VARCHAR AS labels FROM orders GROUP BY ALL),
+r AS (SELECT run_id, n_images, best, labels FROM b QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY batch DESC) = 1)
+SELECT r.run_id, n_images, CASE WHEN c_custkey IS NULL THEN best ELSE c_acctbal END AS best, labels FROM r LEFT JOIN customer ON c_custkey = r.run_id AND c_mktsegment = 'MACHINERY'""")
+def snapshot_store(spark, d):
+    """A customer is a run, evaluated once for each priority of its orders; each is a commit, of which the later ones have a column more. Then some runs are reviewed in one update, and a repeated append counts once."""
+    from uuid import uuid4
+
+    from .sources.shared import shared_folder
+    from .sources.snapshots import SnapshotStore
+
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/snapshots-{uuid4().hex}", merged_after=4)
+    orders = T.read(spark, d, "orders")
+    # The five priorities of orders.
+    for number, priority in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")):
+        batch = orders.where(F.col("o_orderpriority") == priority).groupBy(F.col("o_custkey").alias("run_id")).agg(F.count("*").alias("n_images"), F.max("o_totalprice").alias("best"), F.min("o_orderdate").cast("string").alias("labels"))
+        for _ in range(2):
+            store.append(batch if number > 1 else batch.drop("labels"), source=("evaluation", number))
+    reviews = T.read(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("run_id"), F.col("c_acctbal").alias("reviewed"))
+    # Runs of every id may be touched, so none are named.
+    store.update(None, lambda rows: rows.join(reviews, "run_id").withColumn("best", F.col("reviewed")).drop("reviewed"))
+    return store.current()
+
+
 # -- review ----------------------------------------------------------------------
 
 _PASSED = "CASE WHEN o_orderstatus = 'F' THEN true WHEN o_orderstatus = 'O' THEN false END"
@@ -640,17 +663,18 @@ def score_registry(spark, d):
     return scoring.score(rows, scorers).where("identity IS NULL").select("item_id", "safety", F.size("scorers").alias("n_scorers"))
 
 
-@query()
+@query("SELECT o_custkey AS run_id, o_totalprice AS pass_rate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey DESC) = 1")
 def stream_upsert(spark, d):
-    """Orders arrive as files in three batches; the newest order of a customer is current. Rows only: the result is checked in the tests."""
+    """Orders arrive as files, those of one status after those of another; the last to arrive is a customer's current one."""
     from uuid import uuid4
 
     from .sources.shared import shared_folder
     from .streaming.upsert import current, follow
 
     root = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    rows = T.read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_totalprice").alias("pass_rate"), F.col("o_orderkey").alias("ord"))
-    for i in range(3):
-        rows.where(F.col("ord") % 3 == i).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    rows = T.read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_totalprice").alias("pass_rate"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("status"))
+    # The states of orders. A customer's orders of one state are in one file, so their order of arrival is known.
+    for status in "FOP":
+        rows.where(F.col("status") == status).drop("status").repartition(2, "run_id").write.mode("append").parquet(f"{root}/inbox")
     follow(spark, f"{root}/inbox", "run_id long, pass_rate double, ord long", f"{root}/log", f"{root}/checkpoint").awaitTermination()
     return current(spark, f"{root}/log")
