@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores as S
 from .functions import stats, text
-from .operators import acceptance, crossrun, explore, grid, moderation, review, rollup, scoring, similarity
+from .operators import acceptance, crossrun, explore, grid, moderation, order_stats, review, rollup, scoring, similarity
 from .plans import tables as T
 from .plans.evaluation import evaluate
 
@@ -119,8 +119,8 @@ def safety_tail(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY ALL")
 def percentile_tail(spark, d):
-    out = T.read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
-    return out.agg(F.round(stats.percentile(F.col("l_extendedprice"), 0.05), 6).alias("p05"), F.round(stats.percentile(F.col("l_extendedprice"), 0.95), 6).alias("p95"))
+    out = order_stats.percentiles(T.read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.05, 0.95], ["p05", "p95"])
+    return out.withColumns({p: F.round(p, 6) for p in ("p05", "p95")})
 
 
 @query(f"{ROLLED} SELECT run_id, round(unsafe_rate, 9) AS unsafe_rate FROM rolled")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import detector_score
-from ..functions.stats import percentile
+from .components import checkpointed
+from .order_stats import percentiles
 
 # The policy categories in order, the taxonomy's name, and hazard codes.
 CATEGORIES = ("sexual", "violence", "hate", "self_harm", "weapons", "illegal")
@@ -24,10 +25,11 @@ def combine(scores: DataFrame) -> DataFrame:
 def tails(items: DataFrame, combined: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Every category over all items: a missing score is 0.0; a hit is at or above the threshold."""
     grid = items.select("item_id").withColumn("category", F.explode(F.array(*[F.lit(c) for c in CATEGORIES])))
-    full = grid.join(combined, ["item_id", "category"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    full = checkpointed(grid.join(combined, ["item_id", "category"], "left").select("category", F.coalesce("score", F.lit(0.0)).alias("score")))
     hit = F.count_if(F.col("score") >= threshold)
     order = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)])
-    return full.groupBy("category").agg((hit > 0).alias("any_hit"), (hit / F.count("*")).alias("hit_rate"), F.max("score").alias("max_score"), percentile(F.col("score"), 0.95).alias("p95")).withColumn("category_order", order[F.col("category")])
+    counted = full.groupBy("category").agg((hit > 0).alias("any_hit"), (hit / F.count("*")).alias("hit_rate"), F.max("score").alias("max_score"))
+    return counted.join(percentiles(full, ["category"], "score", [0.95], ["p95"]), "category").withColumn("category_order", order[F.col("category")])
 
 
 def flagged(tail: DataFrame, floor: float = 0.0) -> DataFrame:

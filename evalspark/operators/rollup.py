@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import METRICS, GateConfig, composite, decide, unsafe
-from ..functions.stats import percentile
 from ..functions.text import fixed
+from .order_stats import percentiles
 
 
 def gate(images: DataFrame, config: GateConfig | None = None) -> DataFrame:
@@ -67,7 +67,8 @@ def verdict_reasons(runs: DataFrame, bar: float = 0.75) -> Column:
 def safety_tail(images: DataFrame, threshold: float = 0.5, q: float = 0.05) -> DataFrame:
     """Per run over scored images only: any hit, hit rate (strictly under the threshold), minimum and low percentile; zeros when none is scored."""
     hit = F.count_if((F.col("safety") < threshold) & ~F.isnan("safety"))
-    return images.groupBy("run_id").agg(
+    counted = images.groupBy("run_id").agg(
         F.when(hit > 0, 1.0).otherwise(0.0).alias("any_hit"), F.coalesce(hit / F.nullif(F.count("safety"), F.lit(0)), F.lit(0.0)).alias("hit_rate"),
-        F.coalesce(F.min("safety"), F.lit(0.0)).alias("safety_min"), percentile(F.col("safety"), q).alias("safety_p05"),
+        F.coalesce(F.min("safety"), F.lit(0.0)).alias("safety_min"),
     )
+    return counted.join(percentiles(images, ["run_id"], "safety", [q], ["safety_p05"]), "run_id")
