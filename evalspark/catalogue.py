@@ -430,6 +430,20 @@ def hamming_pairs(spark, d):
     return similarity.hamming_pairs(T.hashes(spark, d), 17)
 
 
+_MONTH = "((year(o_orderdate) * 12 + month(o_orderdate)) % 64)::INT"
+_MONTHS = f"months AS (SELECT c_mktsegment AS run_id, o_custkey AS ordinal, bit_or(CASE WHEN {_MONTH} = 63 THEN -9223372036854775808 ELSE 1::BIGINT << least(62, {_MONTH}) END) AS hash FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
+
+
+@query(f"WITH {_MONTHS} SELECT x.run_id, x.ordinal AS u, y.ordinal AS v, bit_count(xor(x.hash, y.hash))::INT AS distance FROM months x JOIN months y ON x.run_id = y.run_id AND x.ordinal < y.ordinal AND bit_count(xor(x.hash, y.hash)) <= 5")
+def hamming_months(spark, d):
+    """Customers of a segment whose order months differ in five bits at most."""
+    orders, customer = T.read(spark, d, "orders"), T.read(spark, d, "customer")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")) % 64
+    held = orders.join(customer, orders.o_custkey == customer.c_custkey).select(F.col("c_mktsegment").alias("run_id"), F.col("o_custkey").alias("ordinal"), month.alias("month"))
+    hashed = held.groupBy("run_id", "ordinal").agg(F.expr("bit_or(shiftleft(1L, month))").alias("hash"))
+    return similarity.hamming_pairs(hashed, 5)
+
+
 @query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT run_id, u, v FROM p WHERE distance <= 17 UNION ALL SELECT run_id, v, u FROM p WHERE distance <= 17),
 r AS (SELECT run_id, ordinal, ordinal AS seen FROM h UNION SELECT r.run_id, r.ordinal, e.v FROM r JOIN e ON e.run_id = r.run_id AND e.u = r.seen),
 m AS (SELECT run_id, ordinal, min(seen) AS label FROM r GROUP BY ALL) SELECT run_id, ordinal, (dense_rank() OVER (PARTITION BY run_id ORDER BY label) - 1)::INT AS duplicate_group FROM m""")

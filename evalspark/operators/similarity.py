@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb, inf
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,20 +22,96 @@ def sign_hash(table: DataFrame, vector: str = "embedding") -> DataFrame:
     return table.withColumn("hash", word)
 
 
-def hamming_pairs(hashed: DataFrame, threshold: int = 5, run: str = "run_id") -> DataFrame:
-    """``u, v, distance`` of pairs of a run's images within ``threshold`` bits.
+@dataclass(frozen=True)
+class Bands:
+    """The 64 bits in bands: where each begins and ends, and within how many bits its values are looked up."""
+
+    low: tuple[int, ...]
+    high: tuple[int, ...]
+    radius: tuple[int, ...]
+
+    @classmethod
+    def of(cls, threshold: int, count: int) -> Bands:
+        """Bands of which two hashes within ``threshold`` bits meet in one at least.
+
+        Were they farther apart than its radius in every band, they would differ in
+        more bits than the threshold: t % count + 1 bands have radius t // count,
+        the others one less.
+        """
+        cuts = [b * 64 // count for b in range(count + 1)]
+        radii = [threshold // count - (b > threshold % count) for b in range(count)]
+        held = [b for b in range(count) if radii[b] >= 0]
+        return cls(*(tuple(x[b] for b in held) for x in (cuts[:-1], cuts[1:], radii)))
+
+    def looked_up(self) -> int:
+        """Values that one hash looks up."""
+        return sum(comb(h - w, i) for w, h, r in zip(self.low, self.high, self.radius, strict=True) for i in range(r + 1))
+
+    def share(self) -> float:
+        """The share of random pairs that meet, counted once for each band."""
+        return sum(comb(h - w, i) / 2 ** (h - w) for w, h, r in zip(self.low, self.high, self.radius, strict=True) for i in range(r + 1))
+
+    @classmethod
+    def fitted(cls, threshold: int, rows: int, pairs: int) -> Bands:
+        """The number of bands for which values looked up and pairs met are fewest together."""
+        if threshold >= 64:
+            return cls((0,), (0,), (0,))
+        return min((cls.of(threshold, n) for n in range(1, threshold + 2)), key=lambda b: rows * b.looked_up() + pairs * b.share() if b.looked_up() <= 1 << 14 else inf)
+
+    def mask(self, b: int) -> int:
+        return (1 << self.high[b]) - (1 << self.low[b])
+
+    def flips(self, b: int) -> list[int]:
+        """Words of which each changes a value of the band into one within its radius."""
+        bits = range(self.low[b], self.high[b])
+        words = [sum(1 << i for i in c) for r in range(self.radius[b] + 1) for c in combinations(bits, r)]
+        return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+def met_pairs(hashed: DataFrame, threshold: int, bands: Bands, run: str = "run_id") -> DataFrame:
+    """``run, u, v, hu, hv`` of pairs u < v that meet in a band, each in the first band where they do.
+
+    Only one side is looked up under all values within the radius; the other has
+    a row a band.
+    """
+
+    def word(value: int) -> Column:
+        return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+    def values(b: int, flipped: bool) -> Column:
+        part = F.col("hash").bitwiseAND(word(bands.mask(b)))
+        # One literal, folded once: thousands of them would be a tree as large.
+        flips = F.split(F.lit(",".join(map(str, bands.flips(b)))), ",").cast("array<long>")
+        words = F.transform(flips, lambda f: f.bitwiseXOR(part)) if flipped else F.array(part)
+        return F.transform(words, lambda p: F.struct(F.lit(b).alias("b"), p.alias("p")))
+
+    def rows(side: str, flipped: bool) -> DataFrame:
+        keys = F.concat(*[values(b, flipped) for b in range(len(bands.low))])
+        keyed = hashed.select(F.col(run).alias("run"), F.col("ordinal").alias(side), F.col("hash").alias("h" + side), F.explode(keys).alias("k"))
+        return keyed.select("run", side, "h" + side, "k.b", "k.p")
+
+    differ = F.col("hu").bitwiseXOR(F.col("hv"))
+    first = F.lit(None).cast("int")
+    for b in range(len(bands.low) - 1, -1, -1):
+        first = F.when(F.bit_count(differ.bitwiseAND(word(bands.mask(b)))) <= bands.radius[b], b).otherwise(first)
+    met = rows("u", True).join(rows("v", False), ["run", "b", "p"]).where("u < v")
+    return met.where(F.col("b") == first).select("run", "u", "v", "hu", "hv")
+
+
+def hamming_pairs(hashed: DataFrame, threshold: int = 5, run: str = "run_id", bands: Bands | None = None) -> DataFrame:
+    """``run, u, v, distance`` of pairs of a run's images within ``threshold`` bits.
 
-    With t + 1 bands of the 64 bits, two hashes within t bits agree on one band
-    at least, so equal bands give all pairs without comparing everything. Widths
-    differ by one bit at most. From 64 bits on, one empty band pairs everything.
+    The bits are cut into bands, in each of which hashes are looked up under all
+    values within a few bits, so that wide thresholds keep wide bands. Without
+    ``bands`` their number is fitted to the runs' sizes. From 64 bits on, one empty
+    band pairs everything.
     """
-    bands = threshold + 1 if threshold < 64 else 1
-    cuts = [b * 64 // bands for b in range(bands + 1)] if threshold < 64 else [0, 0]
-    parts = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("hash", low).bitwiseAND(F.lit((1 << high - low) - 1 if high - low < 64 else -1).cast("long")).alias("p")) for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    rows = hashed.select(run, "ordinal", "hash", F.explode(parts).alias("k")).select(run, "ordinal", "hash", "k.b", "k.p")
-    x, y = rows.toDF("run", "u", "hu", "b", "p"), rows.toDF("run", "v", "hv", "b", "p")
+    if bands is None:
+        size = hashed.groupBy(run).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        bands = Bands.fitted(threshold, size["rows"] or 0, size["pairs"] or 0)
     distance = F.bit_count(F.col("hu").bitwiseXOR(F.col("hv")))
-    met = x.join(y, ["run", "b", "p"]).where("u < v").withColumn("distance", distance).where(F.col("distance") <= threshold)
+    met = met_pairs(hashed, threshold, bands, run).withColumn("distance", distance).where(F.col("distance") <= threshold)
+    # A repeated row would give its pairs again.
     return met.select(F.col("run").alias(run), "u", "v", "distance").distinct()
 
 
@@ -39,7 +119,7 @@ def group_labels(hashed: DataFrame, threshold: int = 5, run: str = "run_id") ->
     """``run, ordinal, duplicate_group``: components of near hashes, numbered by first appearance.
 
     Images with one hash are one node, however many they are; nodes are paired by
-    bands and joined by star contraction, whose rounds are checkpointed.
+    bands of their hashes and joined by star contraction, whose rounds are checkpointed.
     """
     nodes = checkpointed(hashed.groupBy(run, "hash").agg(F.min("ordinal").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     links = hamming_pairs(nodes.select(run, F.col("node").alias("ordinal"), "hash"), threshold, run).select("u", "v")
