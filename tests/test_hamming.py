@@ -32,10 +32,10 @@ def test_all_pairs_at_any_threshold(spark, threshold):
     assert want or threshold < 5
 
 
-@pytest.mark.parametrize("count", [1, 2, 3, 4, 6, 10, 18])
+@pytest.mark.parametrize("count", [3, 4, 6, 8])
 def test_any_number_of_bands_finds_all_pairs(spark, count):
     h, rows = table(spark, 200)
-    assert {tuple(r) for r in hamming_pairs(rows, 7, bands=Bands.of(7, min(count, 8))).collect()} == all_pairs(h, 7)
+    assert {tuple(r) for r in hamming_pairs(rows, 7, bands=Bands.of(7, count)).collect()} == all_pairs(h, 7)
 
 
 def test_bands_are_few_and_wide():
