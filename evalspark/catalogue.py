@@ -414,6 +414,28 @@ def alpha_nominal(spark, d):
     return _r(review.krippendorff_alpha(both, "nominal"), "alpha")
 
 
+_RATED = """WITH r AS (SELECT l_orderkey AS unit, {} AS x FROM lineitem), u AS (SELECT unit, count(*) AS m FROM r GROUP BY unit HAVING count(*) > 1), c AS (SELECT unit, x, m, count(*) AS c FROM r JOIN u USING (unit) GROUP BY ALL),
+t AS (SELECT x, sum(c) AS t, sum(sum(c)) OVER (ORDER BY x) - sum(c) / 2.0 AS mid FROM c GROUP BY x), n AS (SELECT sum(m)::DOUBLE AS n, count(*) AS k FROM u), """
+
+
+@query(_RATED.format("l_extendedprice") + """s AS (SELECT unit, m, sum(c * (mid - n / 2)) AS s, sum(c * (mid - n / 2) ** 2) AS q FROM c JOIN t USING (x), n GROUP BY ALL),
+o AS (SELECT sum(2 * (m * q - s * s) / (m - 1)) AS o FROM s), e AS (SELECT 2 * (any_value(n) * sum(t * (mid - n / 2) ** 2) - sum(t * (mid - n / 2)) ** 2) / (any_value(n) * (any_value(n) - 1)) AS e FROM t, n)
+SELECT round(1 - (o / n) / e, 9) AS alpha, n::BIGINT AS n_ratings, k AS n_units FROM n, o, e""")
+def alpha_ordinal(spark, d):
+    """Prices as ratings: nearly as many values as ratings."""
+    ratings = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("rater"), F.col("l_extendedprice").alias("rating"))
+    return _r(review.krippendorff_alpha(ratings, "ordinal"), "alpha")
+
+
+@query(_RATED.format("floor(l_extendedprice / 20)") + """o AS (SELECT sum(2 * a.c * b.c * ((a.x - b.x) / nullif(a.x + b.x, 0)) ** 2 / (a.m - 1)) AS o FROM c a JOIN c b ON a.unit = b.unit AND a.x < b.x),
+e AS (SELECT sum(2 * a.t * b.t * ((a.x - b.x) / nullif(a.x + b.x, 0)) ** 2) AS e FROM t a JOIN t b ON a.x < b.x)
+SELECT round(1 - (o / n) / (e / (n * (n - 1))), 9) AS alpha, n::BIGINT AS n_ratings, k AS n_units FROM n, o, e""")
+def alpha_ratio(spark, d):
+    """Prices in steps of 20 as ratings: some thousands of values."""
+    ratings = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("rater"), F.floor(F.col("l_extendedprice") / 20).cast("double").alias("rating"))
+    return _r(review.krippendorff_alpha(ratings, "ratio"), "alpha")
+
+
 @query(f"WITH im AS (SELECT o_orderkey AS image_id, {_PASSED} AS passed FROM orders) SELECT image_id, CASE WHEN passed THEN 'passed' WHEN NOT passed THEN 'failed' ELSE 'needs_review' END AS tags FROM im")
 def sample_tags(spark, d):
     return explore.sample_tags(_reviewed(spark, d)[0]).select("image_id", F.array_join("tags", ",").alias("tags"))
@@ -612,17 +634,22 @@ def largest_face(spark, d):
     return scoring.largest_face(faces).select("image_id", F.col("embedding")[0].alias("face"))
 
 
-@query("""WITH p AS (SELECT o_custkey % 100 AS run_id, o_orderkey AS ord, (o_custkey % 100) || '-' || (o_orderkey % 7) AS id FROM orders)
-SELECT run_id, ord, CASE WHEN ord = min(ord) OVER (PARTITION BY run_id, id) THEN id ELSE id || '-' || ord END AS image_id FROM p""")
+@query("""WITH p AS (SELECT o_custkey % 100 AS run_id, o_orderkey AS ord, (o_custkey % 100) || '-' || CASE WHEN o_orderpriority = '1-URGENT' THEN ((o_orderkey - 1) % 7) || '-' || (o_orderkey - 1) ELSE (o_orderkey % 7)::VARCHAR END AS id FROM orders),
+f AS (SELECT *, ord > min(ord) OVER (PARTITION BY run_id, id) AS taken FROM p), made AS (SELECT DISTINCT run_id, id || '-' || ord AS id, ord FROM f WHERE taken)
+SELECT f.run_id, f.ord, CASE WHEN taken OR made.ord IS NOT NULL THEN f.id || '-' || f.ord ELSE f.id END AS image_id FROM f LEFT JOIN made ON made.run_id = f.run_id AND made.id = f.id AND made.ord < f.ord""")
 def unique_ids(spark, d):
-    produced = T.read(spark, d, "orders").select((F.col("o_custkey") % 100).alias("run_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7).alias("seed"))
+    """Urgent orders are given an id: what the order before them would be made, if it is of their run and its own id is taken."""
+    run, before = F.col("o_custkey") % 100, F.col("o_orderkey") - 1
+    given = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat_ws("-", run.cast("string"), (before % 7).cast("string"), before.cast("string")))
+    produced = T.read(spark, d, "orders").select(run.alias("run_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7).alias("seed"), given.alias("image_id"))
     return scoring.unique_ids(produced).select("run_id", "ord", "image_id")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS decoded FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 1 THEN p_name END AS decoded FROM part")
 def decode_image(spark, d):
     plain = F.base64(F.col("p_name").cast("binary"))
-    sent = F.when(F.col("p_partkey") % 5 == 0, F.concat(plain, F.lit("!"))).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), plain)).otherwise(plain)
+    broken = F.when(F.col("p_partkey") % 5 == 0, F.concat(plain, F.lit("!"))).when(F.col("p_partkey") % 5 == 1, F.concat(plain, F.lit("\n")))
+    sent = F.coalesce(broken, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), plain)).otherwise(plain))
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), scoring.decode_image(sent).cast("string").alias("decoded"))
 
 

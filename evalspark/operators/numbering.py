@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import checkpointed
@@ -24,3 +24,19 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
         before += sizes.get(p, 0)
     offsets = F.lit(starts or [0]).cast("array<long>")
     return placed.withColumn(name, F.element_at(offsets, part + 1) + at).drop("_id")
+
+
+def running_total(rows: DataFrame, amount: str, name: str, *order: Column | str) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` up to and with each row, in the given order, which should have no ties.
+
+    As for numbers, only the sum of each range is collected.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = {r["p"]: r["s"] for r in ranged.groupBy(F.col("_part").alias("p")).agg(F.sum(amount).alias("s")).collect()}
+    before, starts = 0, []
+    for p in range(max(sums, default=-1) + 1):
+        starts.append(before)
+        before += sums.get(p) or 0
+    earlier = F.element_at(F.lit(starts or [0]), F.col("_part") + 1)
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # one range of the sort
+    return ranged.withColumn(name, earlier + inside).drop("_part")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import checkpointed
+from .numbering import running_total
 
-#: Distinct ratings that agreement at the ordinal and ratio levels takes.
-MOST_VALUES = 2000
+#: Distinct ratings of one block, when values meet in blocks.
+BLOCK = 2048
 
 
 def last_updates(updates: DataFrame, *key: str) -> DataFrame:
@@ -93,10 +97,14 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "interval") -> DataFrame
 
     Only units with two ratings or more count; NaN without one, without two
     raters, or when all ratings are equal. ``interval`` needs sums per unit and
-    ``nominal`` counts per value: no pairs are made. ``ordinal`` and ``ratio`` pair
-    the distinct ratings, of which more than MOST_VALUES are refused.
+    ``nominal`` counts per value. ``ordinal`` is ``interval`` on the ranks of the
+    values, each in the middle of its equals, since its distance is a difference
+    of those. For these three no pairs are made. At ``ratio`` the distinct values
+    of a unit, and of all units, meet in blocks of bounded size.
     """
-    held = ratings.where("rating is not null and not isnan(rating)")
+    held = ratings.where("rating is not null and not isnan(rating)").withColumn("rating", F.col("rating").cast("double"))
+    if level == "ordinal":
+        return krippendorff_alpha(_ranked(held), "interval")
     if level == "interval":
         units = held.groupBy("unit_id").agg(F.count("*").alias("m"), F.sum("rating").alias("s"), F.sum(F.col("rating") * F.col("rating")).alias("q")).where("m > 1")
         sums = units.agg(F.sum("m").alias("n"), F.count("*").alias("u"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(2 * (F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("o"))
@@ -107,8 +115,8 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "interval") -> DataFrame
         values = counts.join(units.select("unit_id"), "unit_id").groupBy("rating").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("vv"))
         sums = units.agg(F.sum("m").alias("n"), F.count("*").alias("u"), F.sum((F.col("m") * F.col("m") - F.col("cc")) / (F.col("m") - 1)).alias("o")).crossJoin(F.broadcast(values))
         expected = (F.col("n") * F.col("n") - F.col("vv")) / (F.col("n") * (F.col("n") - 1))
-    elif level in ("ordinal", "ratio"):
-        return _alpha_by_values(held, level)
+    elif level == "ratio":
+        return _alpha_by_ratio(held)
     else:
         raise ValueError(f"level {level!r} is not supported")
     raters = held.agg(F.approx_count_distinct("rater").alias("raters"))
@@ -117,25 +125,53 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "interval") -> DataFrame
     return sums.crossJoin(F.broadcast(raters)).select(alpha.alias("alpha"), F.coalesce("n", F.lit(0)).alias("n_ratings"), F.col("u").alias("n_units"))
 
 
-def _alpha_by_values(held: DataFrame, level: str) -> DataFrame:
-    """Levels whose distance depends on both values: pairs of distinct values within units, and over all; values are few, which is checked."""
-    from pyspark.sql import Window
-
+def _ranked(held: DataFrame) -> DataFrame:
+    """Ratings of the units that count, replaced by the middle of their ranks, measured from the middle of all."""
+    paired = held.groupBy("unit_id").agg(F.count("*").alias("m")).where("m > 1").select("unit_id")
+    rows = held.join(paired, "unit_id")
+    values = running_total(rows.groupBy("rating").agg(F.count("*").alias("t")), "t", "upto", "rating")
+    n = values.agg(F.max("upto")).first()[0] or 0
+    middle = values.select("rating", (F.col("upto") - F.col("t") / 2 - n / 2).alias("middle"))
+    return rows.join(middle, "rating").select("unit_id", "rater", F.col("middle").alias("rating"))
+
+
+def _distances(batches):
+    """Of two blocks of values with counts, the summed distances of all pairs, each counted in both orders."""
+    for batch in batches:
+        xs, cs, ys, ds = (batch.column(c).to_pylist() for c in ("x", "c", "y", "d"))
+        sums = []
+        for x, c, y, d, once in zip(xs, cs, ys, ds, batch.column("once").to_pylist(), strict=True):
+            a, b = np.array(x)[:, None], np.array(y)[None, :]
+            total = a + b
+            apart = np.divide(a - b, total, out=np.zeros(total.shape), where=total != 0)
+            sums.append(float(np.array(c, float) @ (apart * apart) @ np.array(d, float)) * (1 if once else 2))
+        yield pa.RecordBatch.from_arrays([batch.column("weight"), pa.array(sums, pa.float64())], names=["weight", "sum"])
+
+
+def _spread(counts: DataFrame) -> DataFrame:
+    """``total`` of ``counts(unit_id, x, c, weight)``: squared ratio distances of all pairs of a unit, weighted by unit."""
+    sizes = counts.groupBy("unit_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = counts.join(sizes, "unit_id").withColumn("part", F.pmod(F.xxhash64("x"), "parts").cast("int"))
+    blocks = placed.groupBy("unit_id", "part", "parts", "weight").agg(F.collect_list(F.struct("x", "c")).alias("v"))
+    blocks = checkpointed(blocks.select("unit_id", "part", "parts", "weight", F.col("v.x").alias("x"), F.col("v.c").alias("c")))
+    alone = blocks.where("parts = 1").select("weight", "x", "c", F.col("x").alias("y"), F.col("c").alias("d"), F.lit(True).alias("once"))
+    several = blocks.where("parts > 1").withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
+    others = blocks.where("parts > 1").select("unit_id", F.col("part").alias("other"), F.col("x").alias("y"), F.col("c").alias("d"))
+    met = several.join(others, ["unit_id", "other"]).select("weight", "x", "c", "y", "d", (F.col("part") == F.col("other")).alias("once"))
+    each = alone.unionByName(met).mapInArrow(_distances, "weight double, sum double")
+    return each.agg(F.coalesce(F.sum(F.col("weight") * F.col("sum")), F.lit(0.0)).alias("total"))
+
+
+def _alpha_by_ratio(held: DataFrame) -> DataFrame:
+    """Distances of two values are squares of their difference over their sum; 0 where the sum is."""
     counts = held.groupBy("unit_id", F.col("rating").alias("x")).agg(F.count("*").alias("c"))
     units = counts.groupBy("unit_id").agg(F.sum("c").alias("m")).where("m > 1")
-    counts = counts.join(units, "unit_id")
-    totals = counts.groupBy("x").agg(F.sum("c").alias("t"))
-    if totals.limit(MOST_VALUES + 1).count() > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} distinct ratings: use the interval level")
-    upto = F.sum("t").over(Window.orderBy("x"))  # a row per distinct rating
-    totals = totals.withColumn("mid", upto - F.col("t") / 2)
-    a, b = totals.toDF("x", "t", "mid"), totals.toDF("y", "u", "mid2")
-    gap = F.col("mid") - F.col("mid2") if level == "ordinal" else (F.col("x") - F.col("y")) / F.nullif(F.col("x") + F.col("y"), F.lit(0.0))
-    far = a.join(b, F.col("x") < F.col("y")).select("x", "y", "t", "u", F.coalesce(gap * gap, F.lit(0.0)).alias("d"))
-    inside = counts.join(counts.select("unit_id", F.col("x").alias("y"), F.col("c").alias("c2")), "unit_id").where("x < y").join(far.select("x", "y", "d"), ["x", "y"])
-    observed = inside.agg(F.coalesce(F.sum(2 * F.col("c") * F.col("c2") * F.col("d") / (F.col("m") - 1)), F.lit(0.0)).alias("o"))
-    expected = far.agg(F.coalesce(F.sum(2 * F.col("t") * F.col("u") * F.col("d")), F.lit(0.0)).alias("e"))
-    sums = units.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count("*").alias("k")).crossJoin(observed).crossJoin(expected).crossJoin(held.agg(F.count_distinct("rater").alias("raters")))
+    counts = checkpointed(counts.join(units, "unit_id"))
+    # Units of one value have no distances.
+    observed = _spread(counts.withColumn("weight", 1 / (F.col("m") - 1).cast("double"))).withColumnRenamed("total", "o")
+    everything = counts.groupBy("x").agg(F.sum("c").alias("c")).select(F.lit(0).alias("unit_id"), "x", "c", F.lit(1.0).alias("weight"))
+    expected = _spread(everything).withColumnRenamed("total", "e")
+    sums = units.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count("*").alias("k")).crossJoin(observed).crossJoin(expected).crossJoin(held.agg(F.count_distinct("rater").alias("raters")))  # one row each
     e = F.col("e") / (F.col("n") * (F.col("n") - 1))
     alpha = F.when((F.col("raters") > 1) & (F.col("k") > 0) & (F.col("e") > 0), 1 - (F.col("o") / F.col("n")) / e).otherwise(F.lit(float("nan")))
     return sums.select(alpha.alias("alpha"), F.col("n").alias("n_ratings"), F.col("k").alias("n_units"))

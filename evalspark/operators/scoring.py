@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import METRICS, checked, clamp01
+from .components import checkpointed
 
 
 def _always() -> bool:
@@ -143,20 +144,37 @@ def largest_face(faces: DataFrame) -> DataFrame:
 
 
 def unique_ids(produced: DataFrame) -> DataFrame:
-    """``run_id, ord, seed[, image_id]`` with ids of their own: what a later image of a run shares with an earlier one gets '-<ord>'."""
+    """``run_id, ord, seed[, image_id]`` with ids of their own: one that an earlier image of the run has, as given or as made, gets '-<ord>'.
+
+    ``ord`` tells a run's images apart. A made id can be what a later image is
+    named; those are few, and found by joins on the id without its last number.
+    """
     from pyspark.sql import Window
 
     given = F.col("image_id") if "image_id" in produced.columns else F.lit(None).cast("string")
     plain = F.coalesce(F.nullif(given, F.lit("")), F.concat_ws("-", F.col("run_id").cast("string"), F.col("seed").cast("string")))
     first = F.min("ord").over(Window.partitionBy("run_id", "_id"))  # the images of one run and id
-    named = produced.withColumn("_id", plain).withColumn("_first", first)
-    return named.withColumn("image_id", F.when(F.col("ord") == F.col("_first"), F.col("_id")).otherwise(F.concat_ws("-", "_id", F.col("ord").cast("string")))).drop("_id", "_first")
+    named = produced.withColumn("_id", plain).withColumn("_taken", F.col("ord") > first)
+    number = r"^(.*)-(-?[0-9]+)$"
+    ends = named.where(~F.col("_taken") & F.col("_id").rlike(number)).select(F.col("run_id").alias("_run"), F.col("ord").alias("_ord"), F.regexp_extract("_id", number, 1).alias("_of"), F.regexp_extract("_id", number, 2).alias("_at"))
+    maker = (F.col("run_id") == F.col("_run")) & (F.col("_id") == F.col("_of")) & (F.col("ord").cast("string") == F.col("_at")) & (F.col("ord") < F.col("_ord"))
+    # Images named like what an earlier one would be made: taken if that one is, which may hang on another such image.
+    hangs = checkpointed(named.join(ends, maker).select("_run", "_ord", F.col("ord").alias("_maker"), F.col("_taken").alias("_made")))
+    taken = hangs.where("_made").select("_run", "_ord")
+    last = taken
+    while not last.isEmpty():
+        last = checkpointed(hangs.where("not _made").join(last.select("_run", F.col("_ord").alias("_maker")), ["_run", "_maker"]).select("_run", "_ord"))
+        taken = taken.unionByName(last)
+    also = taken.distinct().withColumn("_also", F.lit(True))
+    out = named.join(also, (named["run_id"] == also["_run"]) & (named["ord"] == also["_ord"]), "left")
+    clash = F.col("_taken") | F.coalesce("_also", F.lit(False))
+    return out.withColumn("image_id", F.when(clash, F.concat_ws("-", "_id", F.col("ord").cast("string"))).otherwise(F.col("_id"))).drop("_id", "_taken", "_run", "_ord", "_also")
 
 
 def decode_image(encoded: Column) -> Column:
     """Bytes of a base64 text, with or without a ``data:`` prefix; null for anything that is not strict base64."""
     bare = F.when(F.ltrim(encoded).startswith("data:") & F.contains(encoded, F.lit(",")), F.regexp_replace(encoded, r"^[^,]*,", "")).otherwise(encoded)
-    strict = bare.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    strict = bare.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
     return F.when(strict, F.unbase64(bare))
 
 

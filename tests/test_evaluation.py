@@ -495,8 +495,43 @@ def test_small_operators(spark, tmp_path):
     assert not files.is_stale(document, {"runs": runs, "cells": cells}) and files.is_stale(document, {"cells": cells}) and files.is_stale(None, {})
 
 
-def test_agreement_refuses_too_many_values(spark):
-    ratings = spark.range(2500).select(F.col("id").alias("unit_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("rater"), F.col("id").cast("double").alias("rating"))
-    with pytest.raises(ValueError, match="distinct ratings"):
-        review.krippendorff_alpha(ratings, "ordinal")
-    assert review.krippendorff_alpha(ratings, "interval").first().alpha == pytest.approx(1.0)
+@pytest.mark.parametrize("block", [7, 2048])
+def test_agreement_of_many_values(spark, monkeypatch, block):
+    """Ordinal and ratio agreement of thousands of values, one unit rated very often, against all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(review, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    units = {u: (rng.uniform(0, 100) + rng.normal(0, 5, 3)).tolist() for u in range(600 if block > 7 else 40)} | {-1: rng.uniform(0, 100, 700 if block > 7 else 60).tolist(), -2: [5.0], -3: [0.0, 0.0, 4.0, 4.0]}
+    table = spark.createDataFrame([(u, i, x) for u, xs in units.items() for i, x in enumerate(xs)], "unit_id long, rater int, rating double")
+    paired = {u: np.array(xs) for u, xs in units.items() if len(xs) > 1}
+    every = np.concatenate(list(paired.values()))
+    n = len(every)
+    values, t = np.unique(every, return_counts=True)
+    middle = np.cumsum(t) - t / 2
+
+    def ordinal(a, b):
+        return (middle[np.searchsorted(values, a)] - middle[np.searchsorted(values, b)]) ** 2
+
+    def ratio(a, b):
+        return np.where(a + b == 0, 0, (a - b) / np.where(a + b == 0, 1, a + b)) ** 2
+
+    for level, d in (("ordinal", ordinal), ("ratio", ratio)):
+        o = sum(d(x[:, None], x[None, :]).sum() / (len(x) - 1) for x in paired.values()) / n
+        want = 1 - o / (d(every[:, None], every[None, :]).sum() / (n * (n - 1)))
+        got = review.krippendorff_alpha(table, level).first()
+        assert (got.alpha, got.n_ratings, got.n_units) == (pytest.approx(want, rel=1e-9), n, len(paired))
+
+
+def test_ids_that_are_made_count_as_seen(spark):
+    made = spark.createDataFrame([("r", 0, 7, None), ("r", 1, 7, None), ("r", 2, 8, "r-7-1"), ("r", 3, 9, "r-7-1-2"), ("r", 4, 9, "r-7-1-2"), ("s", 0, 1, "s-7-1"), ("s", 1, 7, "s-7"), ("t", 1, 0, "x"), ("t", 2, 0, "x-1")], "run_id string, ord int, seed int, image_id string")
+    seen, want = set(), {}
+    for r in sorted(made.collect()):
+        i = r.image_id or f"{r.run_id}-{r.seed}"
+        i = f"{i}-{r.ord}" if (r.run_id, i) in seen else i
+        seen.add((r.run_id, i))
+        want[r.run_id, r.ord] = i
+    assert {(r.run_id, r.ord): r.image_id for r in scoring.unique_ids(made).collect()} == want
+    assert want["r", 2] == "r-7-1-2" and want["r", 3] == "r-7-1-2-3" and want["t", 2] == "x-1"
+    ends = spark.createDataFrame([("aGk=",), ("aGk=\n",), ("data:x,aGk=\n",)], "x string")
+    assert [r[0] is None for r in ends.select(scoring.decode_image(F.col("x"))).collect()] == [False, True, True]
