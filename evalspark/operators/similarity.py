@@ -6,11 +6,13 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb, inf
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scores import cosine, unit_range
+from ..functions.scores import unit_range
 from .components import checkpointed, connected_components
 
 
@@ -138,15 +140,110 @@ def diversity(hashed: DataFrame, bits: int = 64, run: str = "run_id") -> DataFra
     return counted.select(run, "n", F.when(F.col("n") > 1, differing / pairs / bits).otherwise(0.0).alias("diversity"))
 
 
+#: References of one block, and images that meet a block in one task.
+BLOCK, IMAGES = 512, 4096
+
+
+def _unit(vector: Column) -> Column:
+    """The vector over its length; a zero vector stays."""
+    x = vector.cast("array<double>")
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.transform(x, lambda v: F.when(size == 0, F.lit(0.0)).otherwise(v / size))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    """Inner product; an error for different lengths."""
+    value = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(value)
+
+
+def _mean_cosine(images: DataFrame, refs: DataFrame) -> DataFrame:
+    """The mean cosine is one inner product with the subject's summed unit vectors."""
+    parts = refs.select("subject", F.posexplode("reference").alias("pos", "x")).groupBy("subject", "pos").agg(F.sum("x").alias("x"))
+    summed = parts.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))
+    sizes = refs.groupBy("subject").agg(F.count("*").alias("n"), F.min(F.size("reference")).alias("least"), F.max(F.size("reference")).alias("most"))
+    totals = checkpointed(sizes.join(summed, "subject", "left"))
+    score = F.when(F.col("least") != F.col("most"), F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(_dot(F.col("unit"), F.coalesce("total", F.array().cast("array<double>"))) / F.col("n"))
+    return images.join(totals, "subject").select("image", F.when(F.col("unit").isNull(), 0.0).otherwise(score).alias("s"))
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """A block of references as one row: its centre, the widest angle to it, and all vectors one after another."""
+    x = rows.column("reference").combine_chunks()
+    widths = np.diff(x.offsets.to_numpy())
+    if (widths != widths[0]).any():
+        raise ValueError("vectors differ in length")
+    flat = x.flatten().to_numpy(zero_copy_only=False)
+    vectors = flat.reshape(len(rows), widths[0])
+    centre = vectors.mean(axis=0)
+    size = np.linalg.norm(centre)
+    centre = centre / size if size > 0 else centre
+    reach = float(np.arccos(np.clip(vectors @ centre, -1, 1)).max()) if size > 0 else np.pi
+    keys = {c: rows.column(c)[:1] for c in ("subject", "cell", "part")}
+    return pa.table(keys | {"centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "reach": [reach], "vectors": pa.array([flat.tolist()], pa.list_(pa.float64()))})
+
+
+def _best_of_block(images: pa.Table, blocks: pa.Table) -> pa.Table:
+    """The greatest cosine of each image with the references of one block."""
+    best = np.empty(0)
+    if len(images) and len(blocks):
+        x = images.column("unit").combine_chunks()
+        width = len(blocks.column("centre")[0])
+        if (np.diff(x.offsets.to_numpy()) != width).any():
+            raise ValueError("vectors differ in length")
+        vectors = np.array(blocks.column("vectors")[0].as_py()).reshape(-1, width)
+        best = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(images), width) @ vectors.T).max(axis=1)
+    return pa.table({"image": images.column("image")[: len(best)], "s": best})
+
+
+def _greatest_cosine(images: DataFrame, refs: DataFrame) -> DataFrame:
+    """Images against blocks of references: first the block with the nearest centre, then those that may hold a nearer vector.
+
+    References with like signs share a block, of a bounded size. All vectors of a
+    block lie within an angle of its centre, so none is nearer to an image than
+    the angle between image and centre less that one.
+    """
+    sizes = refs.groupBy("subject").agg(F.least(F.lit(30), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)).cast("int"))).alias("bits"))
+    signs = F.aggregate(F.slice(F.transform("reference", lambda v: F.when(v > 0, 1).otherwise(0)), 1, 30), F.lit(1), lambda s, b: s * 2 + b)
+    cut = refs.join(sizes, "subject").withColumn("cell", F.when(F.col("bits") == 0, 1).otherwise(signs.cast("long") % F.pow(F.lit(2), F.col("bits")).cast("long")).cast("long"))
+    held = cut.groupBy("subject", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = cut.join(held, ["subject", "cell"]).withColumn("part", F.pmod(F.xxhash64("reference"), "parts").cast("long"))
+    kind = refs.schema["subject"].dataType.simpleString()
+    key = ["subject", "cell", "part"]
+    blocks = checkpointed(placed.select(*key, "reference").groupBy(*key).applyInArrow(_packed, f"subject {kind}, cell long, part long, centre array<double>, reach double, vectors array<double>"))
+    whole = images.where("unit is not null")
+    counts = whole.groupBy("subject").agg(F.ceil(F.count("*") / IMAGES).alias("chunks"))
+    whole = checkpointed(whole.join(counts, "subject").withColumn("chunk", F.pmod(F.xxhash64("image"), "chunks").cast("long")).drop("chunks"))
+    nearness = _dot(F.col("unit"), F.col("centre"))
+    angles = checkpointed(whole.join(blocks.drop("vectors"), "subject").select("image", *key, nearness.alias("near"), "reach"))
+
+    def visited(pairs: DataFrame) -> DataFrame:
+        come = whole.join(pairs.select("image", "cell", "part"), "image")
+        by = [*key, "chunk"]
+        goes = checkpointed(come.select(*by).distinct()).toDF(*[f"_{c}" for c in by]).join(blocks, [F.col(f"_{c}") == F.col(c) for c in key]).select(*[F.col(f"_{c}").alias(c) for c in by], "centre", "vectors")
+        return come.groupBy(*by).cogroup(goes.groupBy(*by)).applyInArrow(_best_of_block, "image long, s double")
+
+    first = angles.groupBy("image").agg(F.max_by(F.struct("cell", "part"), F.struct("near", "cell", "part")).alias("b")).select("image", "b.cell", "b.part")
+    first = checkpointed(first)
+    found = checkpointed(visited(first))
+    # Rounding is allowed for.
+    bound = F.cos(F.greatest(F.lit(0.0), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "near"))) - F.col("reach"))) + 1e-9
+    rest = angles.join(first, ["image", "cell", "part"], "left_anti").join(found, "image").where(F.isnan(bound) | (bound > F.col("s"))).select("image", "cell", "part")
+    more = visited(rest)
+    missing = images.where("unit is null").join(refs.select("subject").distinct(), "subject").select("image", F.lit(0.0).alias("s"))
+    return found.unionByName(more).groupBy("image").agg(F.max("s").alias("s")).unionByName(missing)
+
+
 def identity(images: DataFrame, references: DataFrame, how: str = "max") -> DataFrame:
     """``image_id, subject, embedding`` against ``subject, reference``: the best (or mean) cosine.
 
     Null without references; 0.0 without a face (a null embedding) and for a
-    negative similarity; NaN stays NaN.
+    negative similarity; NaN stays NaN. No pair of an image and a reference is a
+    row: the mean needs a sum a subject, the best meets references in blocks.
     """
-    pick = F.max if how == "max" else F.avg
-    refs = references.toDF("subject", "reference")
-    met = images.join(refs, "subject", "left")
-    score = F.when(F.col("reference").isNull(), F.lit(None).cast("double")).when(F.col("embedding").isNull(), 0.0).otherwise(cosine(F.col("embedding"), F.col("reference")))
-    best = met.groupBy("image_id", "subject").agg(pick(score).alias("s"))
+    refs = references.toDF("subject", "reference").where("reference is not null").select("subject", _unit(F.col("reference")).alias("reference"))
+    rows = checkpointed(images.select("image_id", "subject", _unit(F.col("embedding")).alias("unit")).withColumn("image", F.monotonically_increasing_id()))
+    scored = (_greatest_cosine if how == "max" else _mean_cosine)(rows, refs)
+    met = rows.select("image", "image_id", "subject").join(scored, "image", "left")
+    best = met.groupBy("image_id", "subject").agg((F.max if how == "max" else F.avg)("s").alias("s"))
     return best.select("image_id", "subject", F.when(F.isnan("s"), F.col("s")).otherwise(unit_range(F.col("s"))).alias("identity"))

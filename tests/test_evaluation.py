@@ -267,6 +267,32 @@ def test_identity(spark):
     assert (got["par"], got["neg"], got["none"], got["other"]) == (1.0, 0.0, 0.0, None) and math.isnan(got["nan"])
 
 
+@pytest.mark.parametrize("how", ["max", "mean"])
+def test_identity_of_many_references(spark, monkeypatch, how):
+    """One subject with most references, in clusters; blocks are small, so that bounds leave some out."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "IMAGES", 32)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 12))
+    vectors = {"hot": centres[np.arange(400) % 9] + 0.05 * rng.normal(size=(400, 12)), "small": rng.normal(size=(3, 12)), "zero": np.zeros((1, 12))}
+    faces = [(f"{s}{i}", s, (centres[i % 9] + 0.05 * rng.normal(size=12)).tolist()) for s in ("hot", "small", "zero", "none") for i in range(60)] + [("gone", "hot", None), ("flat", "hot", [0.0] * 12)]
+    images = spark.createDataFrame(faces, "image_id string, subject string, embedding array<double>")
+    refs = spark.createDataFrame([(s, v.tolist()) for s, vs in vectors.items() for v in vs] + [("hot", None)], "subject string, embedding array<double>")
+    got = {r.image_id: r.identity for r in similarity.identity(images, refs, how).collect()}
+    for name, subject, face in faces:
+        if subject == "none":
+            assert got[name] is None
+            continue
+        x, v = np.array(face or [0.0] * 12), vectors[subject]
+        sizes = np.linalg.norm(v, axis=1) * np.linalg.norm(x)
+        cosines = np.divide(v @ x, sizes, out=np.zeros(len(v)), where=sizes > 0)
+        assert got[name] == pytest.approx(min(1.0, max(0.0, cosines.max() if how == "max" else cosines.mean())), abs=1e-12)
+    with pytest.raises(Exception, match="length"):
+        similarity.identity(images, spark.createDataFrame([("hot", [1.0])], refs.schema), how).collect()
+
+
 def test_texts(spark):
     def one(column):
         return spark.range(1).select(column.alias("x")).first().x
