@@ -719,3 +719,30 @@ def stream_upsert(spark, d):
         rows.where(F.col("status") == status).drop("status").repartition(2, "run_id").write.mode("append").parquet(f"{root}/inbox")
     follow(spark, f"{root}/inbox", "run_id long, pass_rate double, ord long", f"{root}/log", f"{root}/checkpoint").awaitTermination()
     return current(spark, f"{root}/log")
+
+
+@query("""SELECT user_id::VARCHAR AS run_id, max(event_id) AS seq, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'scoring' WHEN 'error' THEN 'error' ELSE 'running' END AS status,
+arg_max(floor(value)::BIGINT, event_id) FILTER (event_type = 'signup') AS total, max(floor(value)::BIGINT) FILTER (event_type = 'view') AS completed, count(DISTINCT props) FILTER (event_type = 'click') AS n_images,
+CASE WHEN arg_max(event_type, event_id) = 'error' THEN arg_max(props, event_id) END AS message FROM events GROUP BY user_id""")
+def progress_state(spark, d):
+    """A user is a run and its events are frames, which arrive one type after another, those of images twice."""
+    from uuid import uuid4
+
+    from .sources.shared import shared_folder
+    from .sources.snapshots import SnapshotStore
+    from .streaming.progress import follow_progress
+
+    root = f"{shared_folder(spark)}/progress-{uuid4().hex}"
+    # The types of events, and what each stands for.
+    kinds = {"click": "image", "error": "error", "purchase": "scoring", "signup": "start", "view": "progress"}
+    kind, number = F.col("type"), F.floor("value").cast("long")
+    events = T.read(spark, d, "events").withColumn("type", F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")])
+    frames = events.select(
+        F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), "ts", "type", F.when(kind == "start", number).alias("total"), F.when(kind == "progress", number).alias("completed"),
+        F.when(kind == "image", F.col("props")).alias("image_id"), F.when(kind == "error", F.col("props")).alias("message"),
+    )
+    for k in ("image", "error", "scoring", "image", "start", "progress"):
+        frames.where(kind == k).write.mode("append").parquet(f"{root}/inbox")
+    store = SnapshotStore(spark, f"{root}/store")
+    follow_progress(spark, f"{root}/inbox", store, f"{root}/checkpoint", lateness="1000 days", silence_ms=10**12).awaitTermination()
+    return store.current().drop("last")
