@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores as S
 from .functions import stats, text
-from .operators import acceptance, crossrun, explore, grid, moderation, order_stats, review, rollup, scoring, similarity
+from .operators import acceptance, crossrun, explore, grid, moderation, order_stats, plugins, review, rollup, scoring, similarity
 from .plans import tables as T
 from .plans.evaluation import evaluate
 
@@ -746,3 +746,21 @@ def progress_state(spark, d):
     store = SnapshotStore(spark, f"{root}/store")
     follow_progress(spark, f"{root}/inbox", store, f"{root}/checkpoint", lateness="1000 days", silence_ms=10**12).awaitTermination()
     return store.current().drop("last")
+
+
+def _looks(spark, d):
+    return T.read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("look"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS run_id, o_orderkey AS ordinal, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS first FROM orders)
+SELECT run_id, ordinal, dense_rank() OVER (PARTITION BY run_id ORDER BY first) - 1 AS duplicate_group FROM f""")
+def plugin_groups(spark, d):
+    """A customer's orders are images that look alike if they have one priority; a user's function says so."""
+    deduper = plugins.Deduper("looks", lambda rows: rows["look"].factorize()[0].tolist())
+    return plugins.group_images(_looks(spark, d), deduper)
+
+
+@query("SELECT o_custkey AS run_id, round(count(DISTINCT o_orderpriority) / count(*)::DOUBLE, 9) AS diversity FROM orders GROUP BY ALL")
+def plugin_diversity(spark, d):
+    scorer = plugins.DiversityScorer("looks", lambda rows: rows["look"].nunique() / len(rows))
+    return _r(plugins.score_diversity(_looks(spark, d), scorer), "diversity")
