@@ -764,3 +764,38 @@ def plugin_groups(spark, d):
 def plugin_diversity(spark, d):
     scorer = plugins.DiversityScorer("looks", lambda rows: rows["look"].nunique() / len(rows))
     return _r(plugins.score_diversity(_looks(spark, d), scorer), "diversity")
+
+
+@query(f"""{_RUNS}, refined AS (SELECT run_id, count(*) FILTER (safety > 0.6 AND aesthetic > 0.4) AS n_refined FROM images GROUP BY run_id)
+SELECT run_id, run_passed, pending, round(pass_rate, 9) AS pass_rate, n_images, n_groups, n_needs_hitl, n_refined FROM runs JOIN refined USING (run_id)""")
+def report_summary(spark, d):
+    images = T.images(spark, d).withColumn("refinement", F.when((F.col("safety") > 0.6) & (F.col("aesthetic") > 0.4), F.struct(F.lit(1).alias("rank"))))
+    return _r(scoring.report_summaries(rollup.verdicts(rollup.roll_up(_gated(spark, d))), images), "pass_rate")
+
+
+@query(f"""WITH im AS (SELECT o_custkey AS run_id, o_orderkey AS ordinal, {_PASSED} AS passed, CASE WHEN o_orderpriority < '3' THEN left(o_orderpriority, 1)::INT END AS rating FROM orders)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ordinal) + 1 AS line_no, '  [' || CASE WHEN passed THEN '+' WHEN NOT passed THEN '-' ELSE '?' END || '] ' || ordinal || ' (seed ' || (ordinal + 1) || ')' ||
+ CASE WHEN rating IS NOT NULL THEN ' hitl=' || rating ELSE '' END || CASE WHEN passed = false THEN ' rejects=anatomy,other' ELSE '' END AS line FROM im
+UNION ALL SELECT run_id, 0, run_id || ': PENDING — pass rate 50% (1/2 groups, ' || count(*) || ' images, 1 need review)' FROM im GROUP BY run_id UNION ALL SELECT DISTINCT run_id, 1, '  reason: made up' FROM im""")
+def digest_lines(spark, d):
+    """A customer is a run, its orders are images."""
+    passed = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    codes = F.array(*[F.struct(F.lit(c).alias("code")) for c in ("anatomy", "other")])
+    rating = F.when(F.col("o_orderpriority") < "3", F.substring("o_orderpriority", 1, 1).cast("int"))
+    images = T.read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") + 1).alias("seed"), passed.alias("passed"), rating.alias("hitl_rating"), F.when(~passed, codes).alias("reject_reasons"))
+    runs = images.groupBy("run_id").agg(F.count("*").alias("n_images")).select("run_id", "n_images", F.lit(False).alias("run_passed"), F.lit(True).alias("pending"), F.lit(0.5).alias("pass_rate"), F.lit(1).alias("n_passed"), F.lit(2).alias("n_groups"), F.lit(1).alias("n_needs_hitl"), F.array(F.lit("made up")).alias("reasons"))
+    return scoring.digest_lines(runs, images)
+
+
+@query(f"""{_RUNS} SELECT run_id, 20 AS ord, 'grid' AS stage, 'images' AS metric, n_images::DOUBLE AS value, 3.0::DOUBLE AS threshold FROM runs WHERE n_images < 3
+UNION ALL SELECT run_id, 21, 'refine', 'needs_review', n_needs_hitl, 1 FROM runs WHERE n_needs_hitl > 1 UNION ALL SELECT run_id, 22, 'lens', 'safety', round(mean_safety, 9), 0.5 FROM runs WHERE mean_clip_score IS NULL AND mean_safety < 0.5""")
+def recommend_by_rows(spark, d):
+    """Rules that the library does not have, given as rows."""
+    rules = spark.createDataFrame(
+        [
+            (20, "grid", "images", "n_images", "below", 3.0, "n_images", None, "few images", "more seeds"), (21, "refine", "needs_review", "n_needs_hitl", "above", 1.0, "n_needs_hitl", None, "open", "review"),
+            (22, "lens", "safety", "mean_safety", "below", 0.5, "mean_safety", "mean_clip_score", "unsafe", "filter"), (23, "lens", "nothing", "no_such_measure", "below", 1.0, "pass_rate", None, "never", "never"),
+        ],
+        acceptance.RULE,
+    )
+    return _r(acceptance.recommend_by(evaluate(T.images(spark, d), CONFIG), rules).drop("issue", "action"), "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import unsafe
@@ -83,10 +83,10 @@ ADVICE = {
     ("lens", "unsafe_rate"): ("unsafe outputs", "filter/re-caption training data to remove unsafe content"),
     ("lens", "safety"): ("unsafe outputs", "filter/re-caption training data to remove unsafe content"),
     ("forge", "identity"): ("identity didn't transfer", "add/curate more identity-representative training images, or adjust training steps/rank"),
-    ("lens", "clip_score"): ("prompt adherence low", "outputs drift from the prompt \u2014 revisit the captioning strategy (more descriptive captions)"),
+    ("lens", "clip_score"): ("prompt adherence low", "outputs drift from the prompt — revisit the captioning strategy (more descriptive captions)"),
     ("grid", "clip_score"): ("prompt adherence low", "try different prompt / token combinations in the grid"),
     ("forge", "aesthetic"): ("technical/aesthetic quality low", "revisit training config (learning rate / steps) or the base checkpoint"),
-    ("forge", "preference"): ("human-preference proxy low", "the LoRA's outputs are under-preferred \u2014 revisit training data quality / config"),
+    ("forge", "preference"): ("human-preference proxy low", "the LoRA's outputs are under-preferred — revisit training data quality / config"),
     ("grid", "diversity"): ("low output diversity", "widen the token/prompt axes; if the LoRA reproduces training data, reduce training (overfit)"),
     ("refine", "pass_rate"): ("borderline results awaiting review", "run a HITL review on the needs-review band before deciding"),
 }
@@ -108,29 +108,40 @@ def recommend_from_store(store: DataFrame) -> DataFrame:
     return out
 
 
-def recommend(runs: DataFrame, floors: Floors | None = None) -> DataFrame:
-    """``run_id, ord, stage, metric, value, issue, action, threshold`` of the rules that fire. A metric that was not measured fires none; NaN does."""
-    f = floors or Floors()
+#: A rule fires for a run whose ``measure`` lies ``below`` or ``above`` the bound, or ``holds``; NaN fires too. ``shown`` is
+#: the measure that is reported, under the name ``metric``. A rule with ``unless`` fires only where that measure is missing.
+RULE = "ord int, stage string, metric string, measure string, direction string, bound double, shown string, unless string, issue string, action string"
 
-    def under(value: Column, floor: float | None) -> Column:
-        return F.lit(False) if floor is None else F.coalesce(F.isnan(value) | (value < floor), F.lit(False))
 
-    safe = F.lit(False) if f.max_unsafe_rate is None else F.coalesce(F.col("unsafe_rate") > f.max_unsafe_rate, F.lit(False))
-    mean_safe = F.lit(False) if f.max_unsafe_rate is None else F.col("unsafe_rate").isNull() & under(F.col("mean_safety"), f.min_safety)
+def default_rules(spark: SparkSession, floors: Floors | None = None) -> DataFrame:
+    """The rules as rows; those without a bound are left out."""
+    f = floors or Floors()
+    low = lambda ord_, stage, metric, bound, measure="", unless=None: (ord_, stage, metric, measure or f"mean_{metric}", "below", bound, measure or f"mean_{metric}", unless)
     rules = [
-        (0, "lens", "unsafe_rate", F.col("unsafe_rate"), safe, f.max_unsafe_rate), (0, "lens", "safety", F.col("mean_safety"), mean_safe, f.min_safety),
-        (1, "forge", "identity", F.col("mean_identity"), under(F.col("mean_identity"), f.min_identity), f.min_identity),
-        (2, "lens", "clip_score", F.col("mean_clip_score"), under(F.col("mean_clip_score"), f.min_clip_score), f.min_clip_score),
-        (3, "grid", "clip_score", F.col("mean_clip_score"), under(F.col("mean_clip_score"), f.min_clip_score), f.min_clip_score),
-        (4, "forge", "aesthetic", F.col("mean_aesthetic"), under(F.col("mean_aesthetic"), f.min_aesthetic), f.min_aesthetic),
-        (5, "forge", "preference", F.col("mean_preference"), under(F.col("mean_preference"), f.min_preference), f.min_preference),
-        (6, "grid", "diversity", F.col("diversity"), under(F.col("diversity"), f.min_diversity), f.min_diversity),
-        (7, "refine", "pass_rate", F.col("pass_rate"), F.col("pending"), None),
+        (0, "lens", "unsafe_rate", "unsafe_rate", "above", f.max_unsafe_rate, "unsafe_rate", None), low(0, "lens", "safety", None if f.max_unsafe_rate is None else f.min_safety, unless="unsafe_rate"),
+        low(1, "forge", "identity", f.min_identity), low(2, "lens", "clip_score", f.min_clip_score), low(3, "grid", "clip_score", f.min_clip_score), low(4, "forge", "aesthetic", f.min_aesthetic),
+        low(5, "forge", "preference", f.min_preference), low(6, "grid", "diversity", f.min_diversity, "diversity"), (7, "refine", "pass_rate", "pending", "holds", None, "pass_rate", None),
     ]
+    return spark.createDataFrame([(*r, *ADVICE[r[1], r[2]]) for r in rules if r[5] is not None or r[4] == "holds"], RULE)
+
 
-    def one(o: int, s: str, m: str, v: Column, floor: float | None) -> Column:
-        issue, action = ADVICE[s, m]
-        return F.struct(F.lit(o).alias("ord"), F.lit(s).alias("stage"), F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(issue).alias("issue"), F.lit(action).alias("action"), F.lit(floor).cast("double").alias("threshold"))
+def recommend_by(runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``run_id, ord, stage, metric, value, issue, action, threshold`` of the rules that fire.
 
-    made = [F.when(fires, one(o, s, m, v, floor)) for o, s, m, v, fires, floor in rules]
-    return runs.select("run_id", F.explode(F.array_compact(F.array(*made))).alias("r")).select("run_id", "r.*")
+    ``rules`` has the columns of RULE. All numbers and truth values of ``runs``
+    are measures; a rule about one that is not there, or not measured, does not fire.
+    """
+    numbers = [c for c, kind in runs.dtypes if c != "run_id" and (kind in ("double", "float", "bigint", "int", "smallint", "boolean") or kind.startswith("decimal"))]
+    held = F.map_from_arrays(F.array(*[F.lit(c) for c in numbers]), F.array(*[F.col(c).cast("double") for c in numbers]))
+    measured = runs.select("run_id", held.alias("all")).select("run_id", "all", F.explode("all").alias("measure", "x")).where("x is not null")
+    x, bound = F.col("x"), F.col("bound")
+    fires = F.when(F.col("direction") == "below", F.isnan(x) | (x < bound)).when(F.col("direction") == "above", x > bound).when(F.col("direction") == "holds", x == 1.0)
+    spared = F.col("unless").isNotNull() & F.get(F.map_values(F.map_filter("all", lambda k, _: k == F.col("unless"))), F.lit(0)).isNotNull()
+    shown = F.get(F.map_values(F.map_filter("all", lambda k, _: k == F.col("shown"))), F.lit(0))
+    fired = measured.join(rules, "measure").where(fires & ~spared)
+    return fired.select("run_id", "ord", "stage", "metric", shown.alias("value"), "issue", "action", bound.alias("threshold"))
+
+
+def recommend(runs: DataFrame, floors: Floors | None = None) -> DataFrame:
+    """The recommendations of the default rules. A metric that was not measured fires none; NaN does."""
+    return recommend_by(runs, default_rules(runs.sparkSession, floors))

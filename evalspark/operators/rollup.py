@@ -59,7 +59,7 @@ def verdict_reasons(runs: DataFrame, bar: float = 0.75) -> Column:
     """The reasons of a verdict as text, from the columns of ``verdicts`` and, where it is there, ``diversity``."""
     status = F.when(F.col("run_passed"), "passed").when(F.col("pending"), "pending review").otherwise("failed")
     counts = F.format_string("(%d/%d groups passed, %d need review)", F.col("n_passed"), F.col("n_groups"), F.col("n_needs_hitl"))
-    first = F.concat(F.lit("pass_rate "), fixed(F.col("pass_rate"), 2), F.lit(f" vs threshold {bar:.2f} \u2014 "), status, F.lit(" "), counts)
+    first = F.concat(F.lit("pass_rate "), fixed(F.col("pass_rate"), 2), F.lit(f" vs threshold {bar:.2f} — "), status, F.lit(" "), counts)
     spread = F.when(F.col("diversity").isNotNull(), F.concat(F.lit("diversity "), fixed(F.col("diversity"), 2))) if "diversity" in runs.columns else F.lit(None).cast("string")
     return F.array_compact(F.array(first, spread))
 

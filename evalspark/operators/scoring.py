@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import METRICS, checked, clamp01
@@ -149,8 +149,6 @@ def unique_ids(produced: DataFrame) -> DataFrame:
     ``ord`` tells a run's images apart. A made id can be what a later image is
     named; those are few, and found by joins on the id without its last number.
     """
-    from pyspark.sql import Window
-
     given = F.col("image_id") if "image_id" in produced.columns else F.lit(None).cast("string")
     plain = F.coalesce(F.nullif(given, F.lit("")), F.concat_ws("-", F.col("run_id").cast("string"), F.col("seed").cast("string")))
     first = F.min("ord").over(Window.partitionBy("run_id", "_id"))  # the images of one run and id
@@ -196,6 +194,31 @@ def digest_line(runs: DataFrame) -> Column:
     return F.concat(F.col("run_id").cast("string"), F.lit(": "), status, F.lit(" — pass rate "), share, F.lit("% "), counts)
 
 
+def image_line(images: DataFrame) -> Column:
+    """An image's outcome in one line: ``passed, image_id, seed`` and, where there are any, ``hitl_rating`` and the codes of ``reject_reasons``."""
+    mark = F.when(F.col("passed").isNull(), "?").when(F.col("passed"), "+").otherwise("-")
+    rating = F.when(F.col("hitl_rating").isNotNull(), F.concat(F.lit(" hitl="), F.col("hitl_rating").cast("string"))).otherwise("")
+    codes = F.transform("reject_reasons", lambda r: r["code"])
+    rejects = F.when(F.coalesce(F.size("reject_reasons"), F.lit(0)) > 0, F.concat(F.lit(" rejects="), F.array_join(codes, ","))).otherwise("")
+    return F.concat(F.lit("  ["), mark, F.lit("] "), F.col("image_id").cast("string"), F.lit(" (seed "), F.col("seed").cast("string"), F.lit(")"), rating, rejects)
+
+
+def digest_lines(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """``run_id, line_no, line``: a run's verdict, its reasons, then its images in order; ``runs`` has ``reasons array<string>``."""
+    head = runs.select("run_id", F.posexplode(F.concat(F.array(digest_line(runs)), F.transform("reasons", lambda r: F.concat(F.lit("  reason: "), r)))).alias("line_no", "line"))
+    reasons = runs.select("run_id", (F.size("reasons") + 1).cast("long").alias("above"))
+    place = F.count("*").over(Window.partitionBy("run_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))  # a report's own images
+    rows = images.join(reasons, "run_id").select("run_id", (F.col("above") + place).alias("line_no"), image_line(images).alias("line"))
+    return head.select("run_id", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(rows)
+
+
+def report_summaries(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """``run_id, run_passed, pending, pass_rate, n_images, n_groups, n_needs_hitl, n_refined``: the entry of each report in a list."""
+    refined = images.groupBy("run_id").agg(F.count("refinement").alias("n_refined"))
+    out = runs.join(refined, "run_id", "left").withColumn("n_refined", F.coalesce("n_refined", F.lit(0)))
+    return out.select("run_id", "run_passed", "pending", "pass_rate", "n_images", "n_groups", "n_needs_hitl", "n_refined", *[c for c in runs.columns if c == "created_at"])
+
+
 def recommendation_line(found: DataFrame) -> Column:
     """A recommendation in one line, with its figures where it has any."""
     from ..functions.text import fixed
