@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -26,14 +27,23 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
 
 
+class NewFile:
+    """A stream to a file that has its name only once it is closed, so that no reader sees a part of it."""
+
+    def __init__(self, uri: str):
+        self._store, self._path = open_store(uri)
+        folder, _, name = self._path.rpartition("/")
+        self._store.create_dir(folder)
+        self._part = f"{folder}/.{name}.{uuid4().hex}.part"
+        self.out = self._store.open_output_stream(self._part)
+
+    def close(self) -> None:
+        self.out.close()
+        self._store.move(self._part, self._path)
+
+
 def replace_file(uri: str, body: bytes) -> None:
-    """Write a file whole under another name first, so that no reader sees a part of it."""
-    from uuid import uuid4
-
-    store, path = open_store(uri)
-    folder, _, name = path.rpartition("/")
-    store.create_dir(folder)
-    part = f"{folder}/.{name}.{uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
-        out.write(body)
-    store.move(part, path)
+    """Write a file whole under another name first."""
+    file = NewFile(uri)
+    file.out.write(body)
+    file.close()
