@@ -13,7 +13,7 @@ the summed lengths of what lies before it. Lengths count code points.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,21 +56,49 @@ FINDINGS = "array<struct<start:int,kind:string,version:string,stop:int>>"
 SETTING = "evalspark.secrets.ledger"
 
 
+#: Matches, or spans, that are worked on at once: what grows with each of them is never longer than this.
+STRETCH = 256
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _stretches(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STRETCH).cast("int")), lambda c: F.slice(items, c * STRETCH + 1, STRETCH))
+
+
+def _before(totals: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each stretch what all earlier ones come to."""
+    return F.transform(totals, lambda _, i: F.aggregate(F.slice(totals, 1, i), zero, add))
+
+
 def _found(text: Column, number: int, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     both = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def measured(x: Column) -> Column:
+        held = F.regexp_extract(x["match"], rule.pattern, rule.group) if rule.group else x["match"]
+        return F.struct(x["gap"].alias("gap"), F.length(x["match"]).alias("size"), (F.length(held) >= rule.least).alias("counts"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
-        stop = start + F.length(x["match"])
-        held = F.regexp_extract(x["match"], rule.pattern, rule.group) if rule.group else x["match"]
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop")))
-        spans = F.when(F.length(held) >= rule.least, F.concat(state["spans"], one)).otherwise(state["spans"])
-        return F.when(x["match"].isNull(), state).otherwise(F.struct(stop.alias("at"), spans.alias("spans")))
+        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + x["size"]).alias("stop")))
+        spans = F.when(x["counts"], F.concat(state["spans"], one)).otherwise(state["spans"])
+        return F.when(x["size"].isNull(), state).otherwise(F.struct((start + x["size"]).alias("at"), spans.alias("spans")))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(both, begin, step, lambda s: s["spans"])).otherwise(F.array().cast(SPANS))
+    def spans(stretch: Column, at: Column) -> Column:
+        return F.aggregate(stretch, F.struct(at.alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda s: s["spans"])
+
+    def located(stretches: Column) -> Column:
+        length = lambda s: F.aggregate(s, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["size"], F.lit(0)))
+        starts = _bound(F.transform(stretches, length), lambda totals: _before(totals, F.lit(0), lambda a, b: a + b))
+        return F.flatten(F.zip_with(stretches, starts, spans))
+
+    found = _bound(F.transform(both, measured), lambda items: _bound(_stretches(items), located))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def find_spans(text: Column, rules: Sequence[Rule] = RULES) -> Column:
@@ -86,14 +114,24 @@ def describe(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span replaced; a span that begins inside an earlier one extends it."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], _slice(text, state["at"], s["start"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
-
-    whole = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], _slice(text, s["at"], F.length(text))))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, whole).otherwise(text)
+        fresh = F.concat(state["out"], _slice(state["rest"], state["at"] - state["from"], s["start"] - state["from"]), F.lit(mark))
+        masked = F.when(s["start"] >= state["at"], fresh).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), masked.alias("out"), state["rest"].alias("rest"), state["from"].alias("from"))
+
+    def masked(stretch: Column, at: Column) -> Column:
+        # The text from where earlier spans end to the last span of the stretch.
+        rest = _slice(text, at, F.greatest(at, stretch[F.size(stretch) - 1]["start"]))
+        return F.aggregate(stretch, F.struct(at.alias("at"), F.lit("").alias("out"), rest.alias("rest"), at.alias("from")), step, lambda s: s["out"])
+
+    def whole(stretches: Column) -> Column:
+        furthest = lambda s: F.aggregate(s, F.lit(0), lambda m, x: F.greatest(m, x["stop"]))
+        ends = F.transform(stretches, furthest)
+        starts = _bound(ends, lambda e: _before(e, F.lit(0), lambda a, b: F.greatest(a, b)))
+        return F.concat(F.array_join(F.zip_with(stretches, starts, masked), ""), _slice(text, F.array_max(ends), F.length(text)))
+
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, _bound(_stretches(spans), whole)).otherwise(text)
 
 
 def _slice(text: Column, start: Column, stop: Column) -> Column:

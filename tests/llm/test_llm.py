@@ -382,6 +382,33 @@ def test_redaction(spark):
     assert {r.doc_id: r.t for r in out} == {1: "a 🎉 [secret] b", 2: "clean", 3: None, 4: "[secret]"}
 
 
+@pytest.mark.parametrize("stretch", [3, 256])
+def test_secrets_in_stretches(spark, monkeypatch, stretch):
+    """Many spans in one text, with characters outside ASCII between them, overlapping kinds and ends on either side of a stretch."""
+    monkeypatch.setattr(secretscan, "STRETCH", stretch)
+    rng = np.random.default_rng(2)
+    odd = [f"{'é' * (i % 3)}token={'0123456789abcdef' * 2}{'-' * (i % 2)} " if i % 3 else f"AKIA{'A' * (14 + i % 5)} 日本 password: {'x' * (i % 9)} " for i in rng.integers(0, 1000, 1300).tolist()]
+    texts = ["".join(odd), "".join(odd[:256]), "".join(odd[:257]), "token=abcdef", "no secret", "", "".join(f"secret={i:07d} " for i in range(2000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows.select("doc_id", "text", secretscan.find_spans(F.col("text")).alias("spans")).withColumn("masked", secretscan.redact(F.col("text"), F.col("spans"))).collect()
+    for r in found:
+        want = spans(r.text)
+        assert [(s.start, s.kind, s.stop) for s in r.spans] == want, r.doc_id
+        out, at = [], 0
+        for a, _, b in want:
+            out += [r.text[at:a], "[secret]"] if a >= at else []
+            at = max(at, b)
+        assert r.masked == "".join(out) + r.text[at:]
+
+
+def test_secrets_of_a_very_long_text(spark):
+    """160,000 keys in one text: time grows with their number, not with its square."""
+    text = "".join(f"token={i:012d} " for i in range(160_000))
+    rows = spark.createDataFrame([(text,)], "text string").select("text", secretscan.find_spans(F.col("text")).alias("spans"))
+    got = rows.select(F.size("spans").alias("n"), F.expr("spans[159999].start").alias("last"), F.length(secretscan.redact(F.col("text"), F.col("spans"))).alias("size")).first()
+    assert (got.n, got["last"], got["size"]) == (160_000, 19 * 159_999, 9 * 160_000)
+
+
 def test_sentencepiece_equals_the_library(docs, rows):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     encoded = pieces.encode(docs).cache()
