@@ -187,8 +187,10 @@ d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '[^\x
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
 b AS (SELECT item_id, words, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos FROM i WHERE len(words) > 0),
 w AS (SELECT DISTINCT item_id, n, array_to_string(words[pos:pos + n - 1], ' ') AS run FROM b),
-p AS (SELECT row, n, words, unnest(range(1, len(words) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM w) WHERE len(words) >= n),
-o AS (SELECT row, pos, p.n, item_id FROM (SELECT row, pos, n, array_to_string(words[pos:pos + n - 1], ' ') AS run FROM p) p JOIN w ON p.run = w.run AND p.n = w.n),
+x AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+y AS (SELECT row, pos, list(word) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS following FROM x),
+p AS (SELECT row, pos, n, array_to_string(following[1:n], ' ') AS run FROM y, (SELECT DISTINCT n FROM w) WHERE len(following) >= n),
+o AS (SELECT row, pos, p.n, item_id FROM p JOIN w ON p.run = w.run AND p.n = w.n),
 h AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS word FROM o) GROUP BY row),
 t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM o WHERE item_id IS NOT NULL) GROUP BY row)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
