@@ -133,13 +133,13 @@ def recommend_by(runs: DataFrame, rules: DataFrame) -> DataFrame:
     """
     numbers = [c for c, kind in runs.dtypes if c != "run_id" and (kind in ("double", "float", "bigint", "int", "smallint", "boolean") or kind.startswith("decimal"))]
     held = F.map_from_arrays(F.array(*[F.lit(c) for c in numbers]), F.array(*[F.col(c).cast("double") for c in numbers]))
-    measured = runs.select("run_id", held.alias("all")).select("run_id", "all", F.explode("all").alias("measure", "x")).where("x is not null")
-    x, bound = F.col("x"), F.col("bound")
+    # Rules are few: they go to the runs, which are not shuffled again.
+    rows = runs.select("run_id", held.alias("all")).crossJoin(F.broadcast(rules))
+    x, bound = F.try_element_at("all", F.col("measure")), F.col("bound")
     fires = F.when(F.col("direction") == "below", F.isnan(x) | (x < bound)).when(F.col("direction") == "above", x > bound).when(F.col("direction") == "holds", x == 1.0)
-    spared = F.col("unless").isNotNull() & F.get(F.map_values(F.map_filter("all", lambda k, _: k == F.col("unless"))), F.lit(0)).isNotNull()
-    shown = F.get(F.map_values(F.map_filter("all", lambda k, _: k == F.col("shown"))), F.lit(0))
-    fired = measured.join(rules, "measure").where(fires & ~spared)
-    return fired.select("run_id", "ord", "stage", "metric", shown.alias("value"), "issue", "action", bound.alias("threshold"))
+    spared = F.try_element_at("all", F.col("unless")).isNotNull()
+    fired = rows.where(x.isNotNull() & fires & ~spared)
+    return fired.select("run_id", "ord", "stage", "metric", F.try_element_at("all", F.col("shown")).alias("value"), "issue", "action", bound.alias("threshold"))
 
 
 def recommend(runs: DataFrame, floors: Floors | None = None) -> DataFrame:

@@ -561,3 +561,12 @@ def test_ids_that_are_made_count_as_seen(spark):
     assert want["r", 2] == "r-7-1-2" and want["r", 3] == "r-7-1-2-3" and want["t", 2] == "x-1"
     ends = spark.createDataFrame([("aGk=",), ("aGk=\n",), ("data:x,aGk=\n",)], "x string")
     assert [r[0] is None for r in ends.select(scoring.decode_image(F.col("x"))).collect()] == [False, True, True]
+
+
+def test_rules_go_to_the_runs(spark):
+    """Neither the runs nor a row for each of their measures is shuffled for the rules; a rule about nothing does not fire."""
+    runs = spark.createDataFrame([("a", 1.0, None), ("b", 3.0, 0.5), ("c", float("nan"), None)], "run_id string, x double, y double")
+    rules = spark.createDataFrame([(1, "s", "m", "x", "below", 2.0, "x", None, "i", "a"), (2, "s", "m", "x", "above", 2.0, "y", "y", "i", "a"), (3, "s", "m", "z", "below", 9.0, "x", None, "i", "a"), (4, "s", "m", None, "holds", None, "x", None, "i", "a")], acceptance.RULE)
+    fired = acceptance.recommend_by(runs, rules)
+    assert sorted((r.run_id, r.ord, str(r.value)) for r in fired.collect()) == [("a", 1, "1.0"), ("c", 1, "nan"), ("c", 2, "None")]
+    assert "hashpartitioning" not in fired._jdf.queryExecution().executedPlan().toString()
