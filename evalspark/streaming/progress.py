@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.snapshots import SnapshotStore
 
 FRAME = "run_id string, seq long, ts timestamp, type string, total long, completed long, image_id string, message string"
-CURRENT = "run_id string, seq long, status string, total long, completed long, n_images long, message string, last timestamp"
+CURRENT = "run_id string, seq long, status string, total long, completed long, n_images long, message string, last_ms long"
+#: So many images of a run are told apart in memory before the state is asked.
+REMEMBERED = 100_000
 # What a run's status is after its latest frame of a kind.
 STATUS = {"start": "running", "image": "running", "progress": "running", "scoring": "scoring", "done": "scoring", "complete": "complete", "error": "error"}
 ENDED = ("complete", "error")
@@ -40,26 +42,29 @@ class RunProgress(StatefulProcessor):
         self.run = handle.getValueState("run", "seq long, status string, message string, total_seq long, total long, completed long, n_images long, last_ms long, timer_ms long")
         self.images = handle.getMapState("images", "image_id string", "seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, status, message, total_seq, total, completed, n_images, last_ms, timer_ms = self.run.get() if self.run.exists() else (-1, None, None, -1, None, None, 0, 0, None)
-        for frames in rows:
-            frames = frames[frames["type"].isin(STATUS) & frames["seq"].notna()]
-            if frames.empty:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.run.get()
+        seq, status, message, total_seq, total, completed, n_images, last_ms, timer_ms = held or (-1, None, None, -1, None, None, 0, 0, None)
+        # Each call of the state goes to the JVM, so what is new in this batch is told apart here first.
+        known, fresh = n_images > 0, set()
+        for f in rows:
+            if f.type not in STATUS or f.seq is None:
                 continue
-            latest = frames.loc[frames["seq"].idxmax()]
-            if latest["seq"] > seq:
-                seq, status = int(latest["seq"]), STATUS[latest["type"]]
-                message = latest["message"] if status == "error" and pd.notna(latest["message"]) else None
-            sized = frames[frames["total"].notna()]
-            if len(sized) and (last := sized.loc[sized["seq"].idxmax()])["seq"] > total_seq:
-                total_seq, total = int(last["seq"]), int(last["total"])
-            if frames["completed"].notna().any():
-                completed = max(completed or 0, int(frames["completed"].max()))
-            for image in frames.loc[frames["type"] == "image", "image_id"].dropna().unique():
-                if not self.images.containsKey((image,)):
-                    self.images.updateValue((image,), (seq,))
+            if f.seq > seq:
+                seq, status = f.seq, STATUS[f.type]
+                message = f.message if status == "error" else None
+            if f.total is not None and f.seq > total_seq:
+                total_seq, total = f.seq, f.total
+            if f.completed is not None:
+                completed = max(completed or 0, f.completed)
+            if f.type == "image" and f.image_id is not None and f.image_id not in fresh:
+                if not known or not self.images.containsKey((f.image_id,)):
+                    self.images.updateValue((f.image_id,), (f.seq,))
                     n_images += 1
-            last_ms = max(last_ms, int(frames["ts"].max().timestamp() * 1000))
+                fresh.add(f.image_id)
+                if len(fresh) >= REMEMBERED:
+                    known, fresh = True, set()
+            last_ms = max(last_ms, f.ms or 0)
         if status is None:
             return
         if timer_ms != last_ms + self.silence_ms:
@@ -67,41 +72,43 @@ class RunProgress(StatefulProcessor):
                 self.handle.deleteTimer(timer_ms)
             timer_ms = last_ms + self.silence_ms
             self.handle.registerTimer(timer_ms)
-        self.run.update((seq, status, message, total_seq, total, completed, n_images, last_ms, timer_ms))
-        yield self._row(key, status)
+        held = (seq, status, message, total_seq, total, completed, n_images, last_ms, timer_ms)
+        self.run.update(held)
+        yield self._row(key, status, held)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.run.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.run.get()
+        if held is None:
             return
-        if self.run.get()[1] in ENDED:
+        if held[1] in ENDED:
             self.run.clear()
             self.images.clear()
         else:
-            yield self._row(key, "silent")
+            yield self._row(key, "silent", held)
 
-    def _row(self, key, status: str) -> pd.DataFrame:
-        seq, _, message, _, total, completed, n_images, last_ms, _ = self.run.get()
-        row = {"run_id": [key[0]], "seq": [seq], "status": [status], "total": pd.array([total], "Int64"), "completed": pd.array([completed], "Int64"), "n_images": [n_images], "message": pd.array([message], "object")}
-        return pd.DataFrame(row | {"last": pd.to_datetime([last_ms], unit="ms")})
+    def _row(self, key, status: str, held: tuple) -> Row:
+        seq, _, message, _, total, completed, n_images, last_ms, _ = held
+        return Row(run_id=key[0], seq=seq, status=status, total=total, completed=completed, n_images=n_images, message=message, last_ms=last_ms)
 
     def close(self) -> None:
         pass
 
 
 def progress(frames: DataFrame, lateness: str = "1 hour", silence_ms: int = 600_000) -> DataFrame:
-    """A stream of ``frames`` (columns of FRAME) -> a row of CURRENT whenever a run has changed or fallen silent.
+    """A stream of ``frames`` (columns of FRAME) -> a row of CURRENT, with the time ``last`` for its milliseconds, whenever a run has changed or fallen silent.
 
     Frames that come more than ``lateness`` of event time behind the latest are
     left out, frames of unknown kind or without a number too.
     """
-    runs = frames.where("run_id is not null").withWatermark("ts", lateness).groupBy("run_id")
-    return runs.transformWithStateInPandas(statefulProcessor=RunProgress(silence_ms), outputStructType=CURRENT, outputMode="Update", timeMode="EventTime")
+    runs = frames.where("run_id is not null").withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts")).groupBy("run_id")
+    rows = runs.transformWithState(statefulProcessor=RunProgress(silence_ms), outputStructType=CURRENT, outputMode="Update", timeMode="EventTime")
+    return rows.withColumn("last", F.timestamp_millis("last_ms")).drop("last_ms")
 
 
-def follow_progress(spark: SparkSession, inbox: str, store: SnapshotStore, checkpoint: str, name: str = "progress", lateness: str = "1 hour", silence_ms: int = 600_000):
+def follow_progress(spark: SparkSession, inbox: str, store: SnapshotStore, checkpoint: str, name: str = "progress", lateness: str = "1 hour", silence_ms: int = 600_000, batch_bytes: int = 1 << 30):
     """Start a query that keeps the current row of each run in ``store``; it ends when all Parquet files of the inbox are read.
 
-    A batch that is done again after a failure counts once.
+    A batch takes files of ``batch_bytes``, as each batch costs a round over all of the state; one that is done again after a failure counts once.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -110,7 +117,7 @@ def follow_progress(spark: SparkSession, inbox: str, store: SnapshotStore, check
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)  # keyed state with timers needs it
     try:
-        stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).parquet(inbox)
+        stream = spark.readStream.schema(FRAME).option("maxBytesPerTrigger", batch_bytes).parquet(inbox)
         return progress(stream, lateness, silence_ms).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         if before is None:

@@ -47,3 +47,14 @@ def test_settings_are_restored(spark, tmp_path):
     assert spark.conf.get(key, None) == before
     query.awaitTermination()
     assert query.exception() is None
+
+
+def test_many_files_are_few_batches(spark, tmp_path):
+    """A batch costs a round over all of the state, so it is not one a file; a frame without a time still counts."""
+    frames = [*run_of("a", []), *run_of("b", []), ("a", 20, None, "image", None, None, "a-9", None)]
+    for i in range(4):
+        spark.createDataFrame(frames[i::4], FRAME).coalesce(1).write.mode("append").parquet(f"{tmp_path}/inbox")
+    store = SnapshotStore(spark, f"{tmp_path}/store")
+    follow_progress(spark, f"{tmp_path}/inbox", store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert store.version() <= 2  # one batch, and one without data, in which event time passes
+    assert {(r.run_id, r.seq, r.n_images, r.completed) for r in store.current().collect()} == {("a", 20, 5, 4), ("b", 9, 4, 4)}
