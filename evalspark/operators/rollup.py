@@ -21,6 +21,24 @@ def _code():
     return F.when(F.col("passed"), 2).when(F.col("passed").isNull(), 1).otherwise(0)
 
 
+# A metric's coarse part is a multiple of 2**-25, its fine part a whole number of 2**-59, to which
+# it is rounded. For metrics in [0, 1], sums of both are exact to 2**28 images of a run, so a mean does not depend on the order of rows.
+COARSE, FINE = 2.0**25, 2.0**59
+
+
+def _parts(metric: str) -> tuple[Column, Column]:
+    """The coarse and the fine part of a metric; non-finite values and those of 2**26 and more stay whole."""
+    x = F.col(metric).cast("double")
+    split = F.abs(x) < 2.0**26
+    coarse = F.when(split, F.rint(x * COARSE) / COARSE).otherwise(x)
+    return coarse, F.when(split, F.rint((x - coarse) * FINE).cast("long"))
+
+
+def _mean(metric: str) -> Column:
+    total = F.sum(f"sum_{metric}") + F.coalesce(F.sum(f"fine_{metric}"), F.lit(0)) / FINE
+    return total / F.nullif(F.sum(f"n_{metric}"), F.lit(0))
+
+
 def group_outcomes(gated: DataFrame) -> DataFrame:
     """``run_id, duplicate_group, n_images, passed``: any pass, else any open, else fail; rows without a group stand alone in ``n_alone``.
 
@@ -29,7 +47,7 @@ def group_outcomes(gated: DataFrame) -> DataFrame:
     unsafe_rows = F.count_if(unsafe()) if "reject_codes" in gated.columns else F.lit(None).cast("long")
     grouped = gated.groupBy("run_id", "duplicate_group").agg(
         F.count("*").alias("n_images"), F.max(_code()).alias("best"), F.count_if(_code() == 2).alias("n_pass"), F.count_if(_code() == 1).alias("n_open"),
-        *[F.sum(m).alias(f"sum_{m}") for m in METRICS], *[F.count(m).alias(f"n_{m}") for m in METRICS], unsafe_rows.alias("n_unsafe"),
+        *[F.sum(part).alias(f"{name}_{m}") for m in METRICS for name, part in zip(("sum", "fine"), _parts(m), strict=True)], *[F.count(m).alias(f"n_{m}") for m in METRICS], unsafe_rows.alias("n_unsafe"),
     )
     return grouped
 
@@ -42,7 +60,7 @@ def roll_up(gated: DataFrame) -> DataFrame:
         F.sum(F.when(alone, F.col("n_images")).otherwise(1)).alias("n_groups"),
         F.sum(F.when(alone, F.col("n_pass")).when(F.col("best") == 2, 1).otherwise(0)).alias("n_passed"),
         F.sum(F.when(alone, F.col("n_open")).when(F.col("best") == 1, 1).otherwise(0)).alias("n_needs_hitl"),
-        (F.sum("n_unsafe") / F.sum("n_images")).alias("unsafe_rate"), *[(F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(f"mean_{m}") for m in METRICS],
+        (F.sum("n_unsafe") / F.sum("n_images")).alias("unsafe_rate"), *[_mean(m).alias(f"mean_{m}") for m in METRICS],
     )
     return out.withColumn("pass_rate", F.when(F.col("n_groups") > 0, F.col("n_passed") / F.col("n_groups")).otherwise(0.0))
 

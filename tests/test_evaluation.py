@@ -1,5 +1,6 @@
 """Behaviours of the evaluation operators on small hand-made cases."""
 
+import itertools
 import math
 import struct
 import zlib
@@ -85,6 +86,20 @@ def test_runs(spark):
     assert got["three"].mean_aesthetic == pytest.approx(0.7) and got["three"].mean_safety is None
 
 
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    """Plain sums of .875, .875 and twice just under .125 are 2 or just under, by order; a rule at a mean of 0.5 must not tell."""
+    taxes = [p for values in ((0.01, 0.01, 0.07, 0.07), (0.0, 0.02, 0.07, 0.07)) for p in sorted(set(itertools.permutations(values)))]
+    rows = [(f"{i}-{group}", str(j), None, None, None, None, 1 - t * 12.5, j if group == "apart" else 0) for i, p in enumerate(taxes) for group in ("one", "apart") for j, t in enumerate(p)]
+    runs = rollup.roll_up(rollup.gate(images(spark, rows))).cache()
+    assert {r.mean_safety for r in runs.collect()} == {math.fsum(1 - t * 12.5 for t in taxes[0]) / 4} and runs.count() == 36
+    rule = spark.createDataFrame([(1, "lens", "safety", "mean_safety", "below", 0.5, "mean_safety", None, "i", "a")], acceptance.RULE)
+    assert acceptance.recommend_by(runs, rule).count() == 36
+    nan, inf = float("nan"), float("inf")
+    odd = [(k, str(i), None, None, None, None, x, None) for k, xs in (("nan", [0.1, nan]), ("inf", [0.1, inf]), ("big", [1e300, 1e300]), ("tiny", [5e-10, 1e-9]), ("none", [None])) for i, x in enumerate(xs)]
+    got = {r.run_id: r.mean_safety for r in rollup.roll_up(rollup.gate(images(spark, odd))).collect()}
+    assert math.isnan(got["nan"]) and got["inf"] == inf and got["big"] == 1e300 and got["tiny"] == pytest.approx(7.5e-10, abs=1e-17) and got["none"] is None
+
+
 def test_tails_and_unsafe_rate(spark):
     rows = [("a", str(i), None, None, None, None, s, None) for i, s in enumerate([0.95, 0.98, 0.99, 0.1])] + [("b", "0", None, None, None, None, None, None)]
     table = images(spark, rows)
